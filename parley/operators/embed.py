@@ -45,18 +45,21 @@ def hash_counts(col: Column | str, dim: int = DEFAULT_DIM) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _counts(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            words = _TOKEN.findall(t.lower())
-            if words:
-                idx = np.fromiter((_bucket(w, dim) for w in words), dtype=np.int64, count=len(words))
-                out.append(np.bincount(idx, minlength=dim).astype(np.int32))
-            else:
-                out.append(np.zeros(dim, dtype=np.int32))
-        return pd.Series(out, dtype=object)
+        # tokenise every text of the Arrow batch, hash each distinct token once, count with one
+        # bincount over (row, bucket)
+        n = len(texts)
+        present = texts.notna().to_numpy()
+        toks = [_TOKEN.findall(t.lower()) if ok else [] for t, ok in zip(texts, present)]
+        lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
+        flat = [w for x in toks for w in x]
+        if flat:
+            codes, uniq = pd.factorize(pd.Series(flat, dtype=object))
+            ub = np.fromiter((_bucket(w, dim) for w in uniq), dtype=np.int64, count=len(uniq))
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            counts = np.bincount(rows * dim + ub[codes], minlength=n * dim).reshape(n, dim).astype(np.int32)
+        else:
+            counts = np.zeros((n, dim), dtype=np.int32)
+        return pd.Series([counts[i] if present[i] else None for i in range(n)], dtype=object)
 
     return _counts(F.col(col) if isinstance(col, str) else col)
 

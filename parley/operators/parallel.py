@@ -1,0 +1,18 @@
+"""Parallelism for CPU-heavy row-wise stages (regex chains, tokenising, parsing)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when its scan has fewer splits than cores.
+
+    A table stored as a few large files or row groups scans in a few tasks; the regex and
+    tokenising work after it would then use a few cores. With enough input splits (the normal case
+    at scale) this returns ``df`` unchanged and adds no shuffle. Planning only, no job.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -40,10 +40,11 @@ def apply_privacy(df: DataFrame, optout: DataFrame | None = None, *, content_col
     """Opt-out drop, then redaction of the content if enabled; other fields untouched."""
     out = exclude_opted_out(df, optout, author_col, author_id_col) if optout is not None else df
     if redact:
-        red = redact_pii(F.col(content_col), patterns, added)
+        # the chain is evaluated once into a column; the flag and the content both read it
+        out = out.withColumn("_redacted", redact_pii(F.col(content_col), patterns, added))
         if changed_col:
-            out = out.withColumn(changed_col, F.coalesce(F.col(content_col) != red, F.lit(False)))
-        out = out.withColumn(content_col, red)
+            out = out.withColumn(changed_col, F.coalesce(F.col(content_col) != F.col("_redacted"), F.lit(False)))
+        out = out.withColumn(content_col, F.col("_redacted")).drop("_redacted")
     elif changed_col:
         out = out.withColumn(changed_col, F.lit(False))
     return out

@@ -104,30 +104,37 @@ def _partial_topk_fn(bq, k: int, metric: str, id_col: str, vec_col: str, chunk:
     return run
 
 
+def _to_block(rows):
+    qids = rows.column("qid").to_numpy()
+    vecs = np.stack([np.asarray(v, dtype=np.float32) for v in rows.column("v").to_pylist()])
+    return qids, vecs
+
+
 def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, max_query_bytes: int):
-    """Yield the query blocks as driver-side (ids, matrix) pairs, each checked against the size bound."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
-    n, dim = stats["n"], stats["dim"] or 0
-    if n == 0:
+    """Yield the query blocks as driver-side (ids, matrix) pairs, each checked against the size bound.
+
+    Common case, one job: fetch at most ``cap + 1`` rows; if they fit, that is the only block. Else
+    the queries are hashed into blocks whose sizes are counted before any is fetched.
+    """
+    dim_row = queries.select(F.size(qvec_col).alias("d")).filter(F.col("d") > 0).limit(1).collect()
+    dim = dim_row[0]["d"] if dim_row else 1
+    cap = max(1, max_query_bytes // (dim * 4 + 16))
+    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("v"))
+    first = q.limit(cap + 1).toArrow()
+    if first.num_rows == 0:
+        return
+    if first.num_rows <= cap:
+        yield _to_block(first)
         return
-    per_row = max(1, dim) * 4 + 16
-    cap = max(1, max_query_bytes // per_row)
-    nblocks = max(1, math.ceil(2 * n / cap)) if n > cap else 1
-    block = F.pmod(F.xxhash64(F.col(qid_col)), F.lit(nblocks)) if nblocks > 1 else F.lit(0)
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("v"),
-                       block.alias("_blk"))
-    if nblocks > 1:
-        sizes = {r["_blk"]: r["n"] for r in q.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if max(sizes.values()) > cap:
-            raise ValueError(f"query block of {max(sizes.values())} rows exceeds the {cap}-row bound")
-    for b in range(nblocks):
-        # bounded by ``cap`` rows x dim floats (checked above): the broadcast payload of this block
-        rows = q.filter(F.col("_blk") == b).select("qid", "v").toArrow()
-        if rows.num_rows == 0:
-            continue
-        qids = rows.column("qid").to_numpy()
-        vecs = np.stack([np.asarray(v, dtype=np.float32) for v in rows.column("v").to_pylist()])
-        yield qids, vecs
+    n = q.count()
+    nblocks = math.ceil(2 * n / cap)
+    qb = q.withColumn("_blk", F.pmod(F.xxhash64(F.col("qid")), F.lit(nblocks)))
+    sizes = {r["_blk"]: r["n"] for r in qb.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if max(sizes.values()) > cap:
+        raise ValueError(f"query block of {max(sizes.values())} rows exceeds the {cap}-row bound")
+    for b in sorted(sizes):
+        # at most ``cap`` rows x dim floats (counted above): the broadcast payload of this block
+        yield _to_block(qb.filter(F.col("_blk") == b).select("qid", "v").toArrow())
 
 
 def search_batch(collection: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", *,

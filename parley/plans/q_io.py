@@ -61,7 +61,7 @@ def q_ingest_stream(spark, sf):
     """The same files through a restartable file stream (10 files per micro-batch) into parquet."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "ingest_out"), shared_dir(spark, "ingest_ckpt")
-    ingest_stream(spark, path, out, ckpt, glob="part-*", max_files_per_trigger=10)
+    ingest_stream(spark, path, out, ckpt, glob="part-*", max_files_per_trigger=25)
     return spark.read.parquet(out).select(*_BATCH_COLS)
 
 
@@ -70,7 +70,7 @@ def q_progress_stream(spark, sf):
     """Running per-channel counters maintained by a streaming aggregation."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "progress_out"), shared_dir(spark, "progress_ckpt")
-    progress_stream(message_file_stream(spark, path, "part-*", 10), out, ckpt)
+    progress_stream(message_file_stream(spark, path, "part-*", 25), out, ckpt)
     return latest_progress(spark, out)
 
 
@@ -101,13 +101,11 @@ def q_collection_stream(spark, sf):
     micro-batch is an insert-if-absent load, so each id is stored once."""
     src = shared_dir(spark, "vector_files")
     rows = _embedding_rows(spark, sf)
-    rows.repartition(4, "label").write.mode("overwrite").parquet(f"{src}/part_a")
-    rows.drop("label").write.mode("overwrite").parquet(f"{src}/part_b")
-    schema = rows.drop("label").schema
+    rows.repartition(4, "label").drop("label").write.mode("overwrite").parquet(src)
+    rows.drop("label").write.mode("append").parquet(src)  # every id arrives a second time
     root, ckpt = shared_dir(spark, "collections"), shared_dir(spark, "collection_ckpt")
-    for sub in ("part_a", "part_b"):
-        stream = file_table_stream(spark, f"{src}/{sub}", schema, max_files_per_trigger=2)
-        collection_stream(stream, root, "vectors", f"{ckpt}_{sub}")
+    stream = file_table_stream(spark, src, rows.drop("label").schema, max_files_per_trigger=2)
+    collection_stream(stream, root, "vectors", ckpt)
     return open_collection(spark, root, "vectors").select("id", F.col("metadata.author").alias("author"))
 
 

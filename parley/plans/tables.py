@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.parallel import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def documents_as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("author"),
                     F.col("lang").alias("channel_id"))
 
@@ -33,7 +35,7 @@ def events_as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id"), F.col("turn"),
                     F.col("text").alias("content"), F.col("role").alias("author"),
                     F.col("conv_id").cast("string").alias("channel_id"))

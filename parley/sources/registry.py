@@ -31,12 +31,16 @@ def load_ingest_state(spark: SparkSession, path: str, channel: str | None = None
     Missing path, unreadable or malformed records = no state; ``oldest_message_id`` is read as text
     even when written as a JSON number; counters default to 0.
     """
+    def read(multi_line: bool):
+        return (spark.read.schema(_STATE_READ).option("multiLine", str(multi_line).lower())
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path))
+
     try:
-        raw = (spark.read.schema(_STATE_READ).option("multiLine", "true").option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt").json(path))
+        # one pretty-printed object per file (reference checkpoint) or JSON lines (our sink)
+        raw = read(True).unionByName(read(False))
     except AnalysisException:
         return spark.createDataFrame([], INGEST_STATE)
-    ok = raw.filter(F.col("_corrupt").isNull() & F.col("channel_id").isNotNull())
+    ok = raw.filter(F.col("_corrupt").isNull() & F.col("channel_id").isNotNull()).drop("_corrupt").distinct()
     if channel is not None:
         ok = ok.filter(F.col("channel_id") == F.lit(str(channel)))
     rec = F.struct(F.col("oldest_message_id"), F.coalesce("batch_count", F.lit(0).cast("bigint")).alias("batch_count"),

@@ -17,11 +17,13 @@ from parley.operators.privacy import apply_privacy, drop_empty_content
 from parley.sources.batches import BATCH_GLOB, parse_batch_files
 from parley.sources.collection import collection_add
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def message_file_stream(spark: SparkSession, in_dir: str, glob: str = BATCH_GLOB,
                         max_files_per_trigger: int = 100) -> DataFrame:
     """R1 source: new batch files as canonical messages, with ``file``, ``batch``, ``pos``."""
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger)
              .load(in_dir))
     raw = parse_batch_files(files)
