@@ -23,7 +23,7 @@ from parley.sources.batches import read_message_batches, write_batch_files
 from parley.sources.collection import open_collection
 from parley.sources.registry import load_ingest_state, read_opt_out
 from parley.streaming.ingest import (collection_stream, file_table_stream, ingest_stream, latest_progress,
-                                     message_file_stream, progress_stream)
+                                     message_file_stream, privacy_stream, progress_stream)
 
 _STATE_TIME = dt.datetime(2025, 1, 1, 0, 0, 0)
 
@@ -65,6 +65,20 @@ def q_ingest_stream(spark, sf):
     return spark.read.parquet(out).select(*_BATCH_COLS)
 
 
+@register("privacy_stream", f"""
+select cast(id as varchar) id, author, {default_chain_sql('content')} content from {CONV_SQL}
+where content is not null and content <> '' and author not in ('system')""")
+def q_privacy_stream(spark, sf):
+    """R2: the batch-file stream through drop-empty, opt-out (stream-static anti join) and redaction."""
+    path = _conversation_batches(spark, sf)
+    out, ckpt = shared_dir(spark, "privacy_out"), shared_dir(spark, "privacy_ckpt")
+    s = privacy_stream(message_file_stream(spark, path, "part-*", 25), _users(spark, ("system",)))
+    q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", "author", "content")
+
+
 @register("progress_stream", f"select channel_id, count(*) messages from {CONV_SQL} group by all")
 def q_progress_stream(spark, sf):
     """Running per-channel counters maintained by a streaming aggregation."""
