@@ -87,7 +87,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
         max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
     sort = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in order_cols]
 
-    r = _slices(df, keys, order_cols[0], descending, max_group_rows)
+    sliced = _slices(df, keys, order_cols[0], descending, max_group_rows)
+    r = sliced
     key_cols = [F.col(k) for k in keys]
     local = Window.partitionBy(*key_cols, F.col(_S)).orderBy(*sort)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,11 +99,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     for name, c in lags.items():
         r = r.withColumn(f"_lg_{name}", F.lag(c).over(local))
 
+    # per-slice totals straight from the sliced input (partial aggregation, no second window sort);
+    # the last row of a slice in window order is the max of the order tuple (min when descending:
+    # struct ordering puts nulls first, matching nulls first / nulls last)
+    last_of = F.min_by if descending else F.max_by
+    order_key = F.struct(*order_cols)
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     aggs += [F.sum(c).alias(f"_ts_{name}") for name, c in running_sums.items()]
-    # value of the last row of the (key, slice) group, found by the local row number
-    aggs += [F.max_by(c, F.col("_lrn")).alias(f"_last_{name}") for name, c in lags.items()]
-    stats = r.groupBy(*key_cols, F.col(_S)).agg(*aggs)
+    aggs += [last_of(c, order_key).alias(f"_last_{name}") for name, c in lags.items()]
+    stats = sliced.groupBy(*key_cols, F.col(_S)).agg(*aggs)
     sw = (Window.partitionBy(*key_cols) if keys else Window).orderBy(F.col(_S))
     before = sw.rowsBetween(Window.unboundedPreceding, -1)
     sel = [*[F.col(k).alias(f"_ok_{k}") for k in keys], F.col(_S).alias("_os"),

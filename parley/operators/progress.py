@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.ordered import ordered_scan
+from pyspark.sql import Window
+
+from parley.operators.ordered import _S, DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS_CONF, _slices, ordered_scan
 
 STALL_TIMEOUT_S = 300
 MAX_FAILURES = 3
@@ -40,37 +42,53 @@ def stalls(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: str = "id
 
 def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: str = "id",
                    failed: Column, max_failures: int = MAX_FAILURES,
-                   reset_timeout_s: int = RESET_TIMEOUT_S) -> DataFrame:
+                   reset_timeout_s: int = RESET_TIMEOUT_S, max_group_rows: int | None = None) -> DataFrame:
     """W5 + W6: circuit-breaker state after each outcome, and whether the call was allowed before it.
 
     A failure adds one, a success resets to zero; the breaker is open once failures >= max_failures.
     Before an event, a call is allowed iff the breaker was not open, or more than ``reset_timeout_s``
     passed since the previous event (which, when open, is by construction the last failure).
 
-    Gaps and islands without a per-key window: one skew-safe ordered pass gives the running success
-    count (island id) and running failure count; the failure count at each island start comes from a
-    grouped minimum, joined back. The previous row's state uses the same island table.
+    One windowed pass per (key, slice) (slices as in :func:`ordered_scan`, so a hot key is split):
+    failures since the last success are counted inside the slice; what a slice inherits is the
+    failure count at the end of the slices before it, a segmented prefix over the small per-slice
+    table (reset at every slice that contains a success). No join on island ids, no per-key task.
     """
-    f = failed.cast("long")
-    base = df.withColumn("_fail", f).withColumn("_succ", F.lit(1) - F.col("_fail"))
-    order = [F.col(ts_col), F.col(id_col)]
-    s = ordered_scan(base, [key_col], order, row_number="_rn",
-                     running_sums={"_grp": F.col("_succ"), "_cf": F.col("_fail")},
-                     lags={"_prev_ts": F.col(ts_col)})
-    # failures before this row, counting from the start of the key
-    s = s.withColumn("_excl", F.col("_cf") - F.col("_fail"))
-    islands = s.groupBy(key_col, "_grp").agg(F.min("_excl").alias("_base"))
-    cur = islands.select(F.col(key_col).alias("_k1"), F.col("_grp").alias("_g1"), F.col("_base").alias("_b1"))
-    prv = islands.select(F.col(key_col).alias("_k2"), F.col("_grp").alias("_g2"), F.col("_base").alias("_b2"))
-    s = s.join(cur, (F.col(key_col).eqNullSafe(F.col("_k1"))) & (F.col("_grp") == F.col("_g1")), "left")
-    s = s.join(prv, (F.col(key_col).eqNullSafe(F.col("_k2"))) & (F.col("_grp") - F.col("_succ") == F.col("_g2")),
-               "left")
-    failures = (F.col("_cf") - F.col("_b1")).cast("bigint")
-    prev_failures = F.when(F.col("_rn") > 1, F.col("_excl") - F.col("_b2"))
+    if max_group_rows is None:
+        max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    base = df.withColumn("_succ", ~F.coalesce(failed, F.lit(False)))
+    sliced = _slices(base, [key_col], F.col(ts_col), False, max_group_rows)
+    local = Window.partitionBy(key_col, _S).orderBy(F.col(ts_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = (sliced.withColumn("_lrn", F.row_number().over(local))
+         .withColumn("_ls", F.max(F.when(F.col("_succ"), F.col("_lrn"))).over(upto))
+         .withColumn("_lsp", F.lag("_ls").over(local))
+         .withColumn("_pts", F.lag(ts_col).over(local)))
+
+    # per slice: trailing failures, whether it holds a success, time of its last event
+    st = r.groupBy(key_col, _S).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_ls").alias("_last_succ"),
+                                    F.max_by(F.col(ts_col), F.struct(F.col(ts_col), F.col(id_col))).alias("_last_ts"))
+    st = st.withColumn("_trail", F.col("_cnt") - F.coalesce(F.col("_last_succ"), F.lit(0))) \
+        .withColumn("_has", F.col("_last_succ").isNotNull().cast("long"))
+    by_key = Window.partitionBy(key_col).orderBy(_S)
+    st = st.withColumn("_seg", F.sum("_has").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    seg = Window.partitionBy(key_col, "_seg").orderBy(_S).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    st = st.withColumn("_end_failures", F.sum("_trail").over(seg))
+    offsets = st.select(F.col(key_col).alias("_ok"), F.col(_S).alias("_os"),
+                        F.lag("_end_failures").over(by_key).alias("_carry"),
+                        F.lag("_last_ts").over(by_key).alias("_prev_last_ts"))
+
+    out = r.join(offsets, F.col(key_col).eqNullSafe(F.col("_ok")) & (F.col(_S) == F.col("_os")), "inner")
+    carry = F.coalesce(F.col("_carry"), F.lit(0))
+    failures = F.when(F.col("_ls").isNotNull(), F.col("_lrn") - F.col("_ls")).otherwise(carry + F.col("_lrn"))
+    prev_failures = (F.when(F.col("_lrn") == 1, F.col("_carry"))
+                     .when(F.col("_lsp").isNotNull(), F.col("_lrn") - 1 - F.col("_lsp"))
+                     .otherwise(carry + F.col("_lrn") - 1))
+    prev_ts = F.when(F.col("_lrn") == 1, F.col("_prev_last_ts")).otherwise(F.col("_pts"))
     prev_open = prev_failures >= F.lit(max_failures)
     allowed = F.coalesce(~prev_open, F.lit(True)) | \
-        (F.col(ts_col) > F.col("_prev_ts") + F.expr(f"INTERVAL {int(reset_timeout_s)} SECONDS"))
-    out = s.withColumn("failures", failures) \
-        .withColumn("is_open", (failures >= F.lit(max_failures)).cast("int")) \
-        .withColumn("can_execute", F.coalesce(allowed, F.lit(True)).cast("int"))
-    return out.drop("_fail", "_succ", "_rn", "_grp", "_cf", "_prev_ts", "_excl", "_k1", "_g1", "_b1", "_k2", "_g2", "_b2")
+        F.coalesce(F.col(ts_col) > prev_ts + F.expr(f"INTERVAL {int(reset_timeout_s)} SECONDS"), F.lit(False))
+    out = out.withColumn("failures", failures.cast("bigint")) \
+        .withColumn("is_open", (F.col("failures") >= F.lit(max_failures)).cast("int")) \
+        .withColumn("can_execute", allowed.cast("int"))
+    return out.drop("_succ", _S, "_lrn", "_ls", "_lsp", "_pts", "_ok", "_os", "_carry", "_prev_last_ts")
