@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.messages import embed_test, message_metadata
 from parley.operators.embed import embed_hashing_long
+from parley.operators.parallel import spread
 from parley.operators.normalize import normalize_api, normalize_saved, serialize_messages, validate_source
 from parley.plans.registry import register
 from parley.plans.tables import CONV_SQL, EVENTS_SQL, conversations_as_messages, events_as_messages
@@ -46,7 +47,7 @@ def q_embed_hashing(spark, sf):
 def _event_messages(spark, sf):
     """Events as canonical messages with derived lists: a reaction when value > 25, the author
     mentioned on clicks, an attachment on purchases."""
-    e = events_as_messages(spark, sf)
+    e = spread(events_as_messages(spark, sf))  # row-wise JSON work: use every core
     att = F.when(F.col("channel_id") == "purchase",
                  F.array(F.struct(F.col("id").cast("string").alias("id"), F.lit("receipt.png").alias("filename"),
                                   F.lit(25000).cast("bigint").alias("size"), F.lit("").alias("url"),
