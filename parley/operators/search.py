@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.session import cut_lineage
+
 METRICS = ("l2", "cosine", "ip")
 # half of one unit in the 6th decimal, plus slack for float error: partial lists keep every row that
 # could tie with the k-th after rounding, so the final rank is exact.
@@ -178,11 +180,13 @@ def search_topk(collection: DataFrame, query, k: int = 5, metric: str = "l2", **
 
 def hydrate(results: DataFrame, documents: DataFrame, *, id_col: str = "id", doc_id_col: str = "id",
             include: tuple[str, ...] = ("documents", "metadatas", "distances"),
-            document_col: str = "document", metadata_cols: tuple[str, ...] = ()) -> DataFrame:
+            document_col: str = "document", metadata_cols: tuple[str, ...] = (),
+            max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """J5 + N10: attach document text / metadata to the top-k rows; ``include`` prunes columns.
 
-    The top-k side holds at most ``queries x k`` rows (bounded by :func:`search_batch`), so it is the
-    broadcast side and the documents are streamed once with no shuffle.
+    The top-k side (``queries x k`` rows) is written once through a reliable checkpoint and counted;
+    within ``max_broadcast_rows`` it is broadcast and the documents are streamed once with no shuffle,
+    above it the join is left to the planner.
     """
     keep = [F.col(c) for c in ("qid", "rank", id_col)]
     if "distances" in include:
@@ -194,7 +198,9 @@ def hydrate(results: DataFrame, documents: DataFrame, *, id_col: str = "id", doc
     if "metadatas" in include:
         cols += [F.col(c) for c in metadata_cols]
     docs = documents.select(*cols)
-    return docs.join(F.broadcast(r), docs["_doc_key"] == r[id_col], "inner").drop("_doc_key")
+    r = cut_lineage(r)
+    small = r.count() <= max_broadcast_rows
+    return docs.join(F.broadcast(r) if small else r, docs["_doc_key"] == r[id_col], "inner").drop("_doc_key")
 
 
 def format_results(df: DataFrame, metadata_cols: tuple[str, ...] = ()) -> DataFrame:
