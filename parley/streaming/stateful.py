@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -124,7 +125,9 @@ def stall_stream(events: DataFrame, key_col: str, *, alarm: bool = False, waterm
     """R5. ``alarm=True`` switches to event time: the input gets a watermark on ``ts``."""
     use_rocksdb(events.sparkSession)
     if alarm:
-        events = events.withWatermark(kw.get("ts_col", "ts"), watermark)
+        ts = kw.get("ts_col", "ts")
+        # watermarks need TIMESTAMP; naive times are UTC (session time zone)
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     return events.groupBy(key_col).transformWithStateInPandas(
         statefulProcessor=StallProcessor(alarm=alarm, **kw), outputStructType=STALL_OUT, outputMode="Append",
         timeMode="EventTime" if alarm else "None")

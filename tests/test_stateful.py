@@ -41,3 +41,20 @@ def test_stall_gaps(spark, tmp_path):
     s = _stream_of(spark, ev, tmp_path, "s")
     rows = _drain(spark, stall_stream(s, "user"), tmp_path, "s")
     assert [(r.event_id, r.gap_seconds, r.kind) for r in rows] == [(2, 400.0, "gap"), (3, 301.0, "gap")]
+
+
+def test_stall_alarm_timer_fires_on_silence(spark, tmp_path):
+    t0 = dt.datetime(2025, 1, 1)
+    src = str(tmp_path / "a_src")
+    # three files, one per micro-batch: 'u' goes silent after 100 s; 'v' moves event time far ahead
+    batches = [[("u", 0, t0), ("u", 1, t0 + dt.timedelta(seconds=100))],
+               [("v", 2, t0 + dt.timedelta(seconds=2000))],
+               [("v", 3, t0 + dt.timedelta(seconds=4000))]]
+    schema = "user string, event_id long, ts timestamp_ntz, failed boolean"
+    for b in batches:
+        spark.createDataFrame([(k, i, ts, False) for k, i, ts in b], schema).coalesce(1) \
+            .write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    rows = _drain(spark, stall_stream(s, "user", alarm=True, watermark="1 second"), tmp_path, "a")
+    silent = [(r.key, r.event_id) for r in rows if r.kind == "silent"]
+    assert ("u", 1) in silent
