@@ -12,11 +12,19 @@ conversion.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pyspark import cloudpickle
+
+# The processors are shipped by value: the driver-side runner of transformWithState starts its own
+# Python process, which does not see files added with addPyFile.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 BREAKER_OUT = "key string, event_id long, failures long, is_open int, can_execute int, executed int"
