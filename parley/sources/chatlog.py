@@ -42,3 +42,12 @@ def parse_chat_log(df: DataFrame, text_col: str = "text", keep_cols: tuple[str,
         F.array().cast("array<struct<emoji:string,count:bigint>>").alias("reactions"),
         F.array().cast("array<string>").alias("mentions"),
     )
+
+
+def read_chat_logs(spark, path: str, glob: str | None = None) -> DataFrame:
+    """S2 over files: each file is one chat-log text (``wholetext``); rows carry their ``file``."""
+    r = spark.read
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    texts = r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return parse_chat_log(texts, "text", keep_cols=("file",))
