@@ -5,7 +5,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from parley.operators.normalize import normalize_saved
 from parley.sources.batches import read_message_batches

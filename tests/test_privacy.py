@@ -1,7 +1,6 @@
 """Redaction patterns, chain order, custom patterns, opt-out and registry operations."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from parley.functions import redact as R
 from parley.operators.privacy import (apply_privacy, audit_pii, drop_empty_content, exclude_opted_out, optout_add,

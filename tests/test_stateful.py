@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from parley.streaming.stateful import breaker_stream, stall_stream
 
