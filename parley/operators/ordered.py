@@ -52,9 +52,10 @@ def _slices(df: DataFrame, keys: list[str], first: Column, descending: bool, max
     # every heavy key holds more than max_rows rows, so there are at most rows / max_rows of them
     # (500k at 10^12 rows and the default): a proven bound, broadcast without a counting job
     heavy = F.broadcast(heavy.select(*[F.col(k).alias(f"_hk_{k}") for k in keys], "_lo", "_hi", "_nb"))
-    cond = F.lit(True)
+    cond = None
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
+        c = F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
+        cond = c if cond is None else cond & c
     joined = base.join(heavy, cond, "left")
     width = F.col("_hi") - F.col("_lo")
     pos = F.floor((F.col("_v") - F.col("_lo")) / width * F.col("_nb")).cast("double")
@@ -82,6 +83,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     running_sums = dict(running_sums or {})
     lags = dict(lags or {})
     keys = list(keys)
+    if not keys:
+        raise ValueError("ordered_scan needs at least one key (a global order would be one window partition)")
     order_cols = _as_cols(order)
     if max_group_rows is None:
         max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
@@ -108,7 +111,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     aggs += [F.sum(c).alias(f"_ts_{name}") for name, c in running_sums.items()]
     aggs += [last_of(c, order_key).alias(f"_last_{name}") for name, c in lags.items()]
     stats = sliced.groupBy(*key_cols, F.col(_S)).agg(*aggs)
-    sw = (Window.partitionBy(*key_cols) if keys else Window).orderBy(F.col(_S))
+    sw = Window.partitionBy(*key_cols).orderBy(F.col(_S))
     before = sw.rowsBetween(Window.unboundedPreceding, -1)
     sel = [*[F.col(k).alias(f"_ok_{k}") for k in keys], F.col(_S).alias("_os"),
            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]

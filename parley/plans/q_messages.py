@@ -99,7 +99,7 @@ def q_serialize_messages(spark, sf):
     """The JSON documents themselves; checked here through the length of the ISO timestamp and
     fully by the round trip above."""
     js = serialize_messages(_event_messages(spark, sf))
-    return js.select("id", F.length(F.get_json_object("json", "$.timestamp")).alias("ts_len"))
+    return js.select("id", F.length(F.get_json_object("json", "$.timestamp")).cast("bigint").alias("ts_len"))
 
 
 def _api_json(spark, sf):
