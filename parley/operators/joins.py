@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, *,
+                      materialize: bool = False) -> DataFrame:
     """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The count is one cheap job on the small side (a list of users, channels, cursors...).
+    The count is one cheap job on the small side (a list of users, channels, cursors...). When that
+    side is itself derived from a large plan (``materialize=True``), it is first written through a
+    reliable checkpoint, so the count and the join read it instead of computing it twice.
     """
+    if materialize:
+        from parley.session import cut_lineage
+        df = cut_lineage(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
