@@ -40,14 +40,19 @@ def read_message_batches(spark: SparkSession, path: str, glob: str = BATCH_GLOB,
     return parse_batch_files(files, schema)
 
 
-def write_batch_files(df: DataFrame, path: str, batch_col: str, order_col: str) -> None:
-    """K1, reference file shape: one JSON array per batch value (``batch=N/part-*``), messages in
-    ``order_col`` order. A batch is a page (at most 100 rows), so each group is bounded."""
+def write_batch_files(df: DataFrame, path: str, batch_col: str, order_col: str, max_rows: int = 100) -> None:
+    """K1, reference file shape: one JSON array per batch (``batch=N/part=M/part-*``), messages in
+    ``order_col`` order. A batch larger than ``max_rows`` (a page) is cut into parts of ``max_rows``
+    by a skew-safe row number, so no array (and no task building it) grows with the data."""
+    from parley.operators.ordered import ordered_scan
+
+    ranked = ordered_scan(df, [batch_col], [F.col(order_col)], row_number="_rn")
+    ranked = ranked.withColumn("part", F.floor((F.col("_rn") - 1) / F.lit(max_rows)).cast("bigint"))
     msg = F.struct(*[F.col(c) for c in df.columns if c != batch_col])
-    arrays = df.groupBy(batch_col).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_o"), msg.alias("_m")))).alias("_a"))
-    out = arrays.select(batch_col, F.to_json(F.transform("_a", lambda x: x["_m"])).alias("value"))
-    out.write.mode("overwrite").partitionBy(batch_col).text(path)
+    arrays = ranked.groupBy(batch_col, "part").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_rn").alias("_o"), msg.alias("_m")))).alias("_a"))
+    out = arrays.select(batch_col, "part", F.to_json(F.transform("_a", lambda x: x["_m"])).alias("value"))
+    out.write.mode("overwrite").partitionBy(batch_col, "part").text(path)
 
 
 def write_message_batches(df: DataFrame, path: str, *, channel_col: str = "channel_id", batch_col: str = "page",

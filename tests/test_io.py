@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.operators.normalize import normalize_saved
 from parley.sources.batches import read_message_batches
@@ -130,3 +131,15 @@ def test_privacy_stream(spark, batch_dir, tmp_path):
         .trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(out).count() == 15
+
+
+def test_write_batch_files_splits_large_batches(spark, tmp_path):
+    from parley.sources.batches import write_batch_files
+    rows = [(1 if i < 250 else 2, i, str(i), f"m{i}", "a", "2025-01-01T12:00:00", "c") for i in range(260)]
+    df = spark.createDataFrame(rows, "batch long, turn long, id string, content string, author string, "
+                                     "timestamp string, channel_id string")
+    out = str(tmp_path / "b")
+    write_batch_files(df, out, "batch", "turn", max_rows=100)
+    back = read_message_batches(spark, out, glob="part-*")
+    assert back.count() == 260 and back.select("file").distinct().count() == 4  # 100 + 100 + 50, and 10
+    assert back.groupBy("file").count().agg(F.max("count")).first()[0] == 100
