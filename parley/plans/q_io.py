@@ -156,3 +156,17 @@ def q_read_opt_out(spark, sf):
     lines.write.mode("overwrite").text(path)
     return read_opt_out(spark, path)
 
+
+
+@register("encrypt_files", _BATCH_ORACLE)
+def q_encrypt_files(spark, sf):
+    """K5 + S8: the batch files encrypted under their own names into a table, decrypted and parsed back."""
+    from parley.sources.batches import parse_batch_files
+    from parley.sources.secure import decrypt_files, encrypt_files
+    key = b"fedcba9876543210fedcba9876543210"
+    path = _conversation_batches(spark, sf)
+    enc_path = shared_dir(spark, "encrypted")
+    enc = encrypt_files(spark, path, enc_path, key, glob="part-*", keep_path=True)
+    files = decrypt_files(spark, enc_path, key).select(F.col("source_path").alias("path"), "content")
+    raw = parse_batch_files(files)
+    return normalize_saved(raw, keep=("batch", "pos")).select(*_BATCH_COLS)

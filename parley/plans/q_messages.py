@@ -175,3 +175,21 @@ def q_validate_source(spark, sf):
                  .otherwise("irc").alias("source"))
     ok, bad = validate_source(m)
     return ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+
+
+@register("embed_plugin", f"""
+select conv_id, turn,
+       round(((ord(substring(rpad(content, 4, ' '), 1, 1)) % 10)::double * 0.1::double)::float::double, 6) e1,
+       round(((ord(substring(rpad(content, 4, ' '), 2, 1)) % 10)::double * 0.1::double)::float::double, 6) e2,
+       round(((ord(substring(rpad(content, 4, ' '), 3, 1)) % 10)::double * 0.1::double)::float::double, 6) e3,
+       round(((ord(substring(rpad(content, 4, ' '), 4, 1)) % 10)::double * 0.1::double)::float::double, 6) e4
+from {CONV_SQL}""")
+def q_embed_plugin(spark, sf):
+    """A user encoder through the plug-in (iterator pandas UDF, encoder built once per worker,
+    batches of 100 texts); here the reference's test encoder, so its output is known exactly."""
+    from parley.operators.embed import FirstCharsEncoder, embed
+    c = conversations_as_messages(spark, sf)
+    e = embed(c, FirstCharsEncoder, "content", batch=100)
+    # the plug-in returns float32 vectors; compare the double values the test encoder produces
+    return e.select("conv_id", "turn", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"e{i + 1}")
+                                         for i in range(4)])

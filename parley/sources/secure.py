@@ -38,15 +38,21 @@ def decrypt_rows(df: DataFrame, key: bytes | str, schema: T.StructType | str, *,
     return df.select(*keep, parsed.alias("_d")).select(*keep, "_d.*")
 
 
-def encrypt_files(spark: SparkSession, in_dir: str, out: str, key: bytes | str, glob: str = "*") -> DataFrame:
-    """K5: every file of ``in_dir`` encrypted under its own name into a parquet table ``(name, blob)``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(in_dir)
-    enc = files.select(F.element_at(F.split("path", "/"), -1).alias("name"),
-                       F.aes_encrypt(F.col("content"), _key(key), F.lit("GCM")).alias("blob"))
-    enc.write.mode("overwrite").parquet(out)
+def encrypt_files(spark: SparkSession, in_dir: str, out: str, key: bytes | str, glob: str = "*", *,
+                  keep_path: bool = False) -> DataFrame:
+    """K5: every file under ``in_dir`` encrypted under its own name into a parquet table
+    ``(name, blob)`` (plus ``source_path`` if asked). One file per row: files are message batches."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(in_dir))
+    cols = [F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.aes_encrypt(F.col("content"), _key(key), F.lit("GCM")).alias("blob")]
+    if keep_path:
+        cols.append(F.col("path").alias("source_path"))
+    files.select(*cols).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
 def decrypt_files(spark: SparkSession, path: str, key: bytes | str) -> DataFrame:
+    """Inverse of :func:`encrypt_files`: ``(name, content)`` and any carried columns."""
     t = spark.read.parquet(path)
-    return t.select("name", F.aes_decrypt(F.col("blob"), _key(key), F.lit("GCM")).alias("content"))
+    return t.withColumn("content", F.aes_decrypt(F.col("blob"), _key(key), F.lit("GCM"))).drop("blob")
