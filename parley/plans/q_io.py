@@ -28,9 +28,15 @@ from parley.streaming.ingest import (collection_stream, file_table_stream, inges
 _STATE_TIME = dt.datetime(2025, 1, 1, 0, 0, 0)
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _conversation_batches(spark, sf) -> str:
     """Conversation turns saved as batch files: one JSON array per conversation, author as a plain
-    string, naive timestamps (the saved-message shape)."""
+    string, naive timestamps (the saved-message shape). Written once per application and table dir."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _WRITTEN:
+        return _WRITTEN[key]
     out = shared_dir(spark, "batches")
     c = conversations_as_messages(spark, sf)
     saved = c.select(F.col("conv_id").alias("batch"), F.col("turn"), F.col("id").cast("string").alias("id"),
@@ -38,6 +44,7 @@ def _conversation_batches(spark, sf) -> str:
                      F.concat(F.lit("2025-01-01T12:00:"), F.lpad(F.col("turn").cast("string"), 2, "0")).alias("timestamp"),
                      "channel_id")
     write_batch_files(saved, out, "batch", "turn")
+    _WRITTEN[key] = out
     return out
 
 

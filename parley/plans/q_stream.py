@@ -19,7 +19,17 @@ from parley.streaming.stateful import breaker_stream, stall_stream
 ROWS_PER_FILE = 2500
 
 
-def _events_in_time_order(spark, sf) -> tuple[str, str]:
+_WRITTEN: dict = {}
+
+
+def _events_in_time_order(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _write_events_in_time_order(spark, sf)
+    return _WRITTEN[key]
+
+
+def _write_events_in_time_order(spark, sf):
     path = shared_dir(spark, "event_files")
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type",
                                           (F.col("event_type") == "error").alias("failed"))
