@@ -107,7 +107,11 @@ def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str =
 
 
 class FirstCharsEncoder:
-    """The reference's test encoder (E2) as an E1 plug-in: 4 characters, ``(ord % 10) * 0.1``."""
+    """E2 as an E1 plug-in: code points of the first four characters (blank-padded), mod 10, in tenths."""
+
+    width = 4
 
     def encode(self, texts):
-        return [[float(ord(c) % 10) * 0.1 for c in t[:4].ljust(4)] for t in texts]
+        heads = [t[:self.width].ljust(self.width, " ") for t in texts]
+        codes = np.array([list(map(ord, h)) for h in heads], dtype=np.int64).reshape(len(heads), self.width)
+        return (codes % 10).astype(np.float64) * 0.1
