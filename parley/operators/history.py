@@ -16,6 +16,20 @@ from parley.operators.joins import bounded_broadcast
 from parley.operators.ordered import ordered_scan
 
 PAGE_SIZE = 100
+_INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
+
+def _numeric_id(df: DataFrame, id_col: str) -> Column:
+    """Ids compare numerically: integral columns as they are, text ids (64-bit snowflakes) as decimal."""
+    if isinstance(df.schema[id_col].dataType, _INTEGRAL):
+        return F.col(id_col)
+    return F.col(id_col).cast("decimal(20,0)")
+
+
+def _numeric_literal(df: DataFrame, id_col: str, value) -> Column:
+    if isinstance(df.schema[id_col].dataType, _INTEGRAL):
+        return F.lit(int(value))
+    return F.lit(str(value)).cast("decimal(20,0)")
 
 
 def _bound(value, dtype: T.DataType) -> Column:
@@ -56,8 +70,8 @@ def history_page(df: DataFrame, channel=None, before=None, limit: int = PAGE_SIZ
     if channel is not None:
         out = out.filter(F.col(channel_col) == F.lit(channel))
     if before is not None:
-        out = out.filter(F.col(id_col).cast("decimal(20,0)") < F.lit(str(before)).cast("decimal(20,0)"))
-    return out.orderBy(F.col(id_col).cast("decimal(20,0)").desc()).limit(limit)
+        out = out.filter(_numeric_id(df, id_col) < _numeric_literal(df, id_col, before))
+    return out.orderBy(_numeric_id(df, id_col).desc()).limit(limit)
 
 
 def history_pages(df: DataFrame, size: int = PAGE_SIZE, *, channel_col: str = "channel_id",
@@ -67,8 +81,7 @@ def history_pages(df: DataFrame, size: int = PAGE_SIZE, *, channel_col: str = "c
     The row number comes from :func:`ordered_scan`, so a channel holding most rows is still spread
     over many tasks.
     """
-    num = F.col(id_col).cast("decimal(20,0)")
-    ranked = ordered_scan(df, [channel_col], [num], descending=True, row_number="_rn")
+    ranked = ordered_scan(df, [channel_col], [_numeric_id(df, id_col)], descending=True, row_number="_rn")
     out = ranked.withColumn(page_col, (F.floor((F.col("_rn") - 1) / F.lit(size)) + 1).cast("bigint"))
     return out.withColumnRenamed("_rn", rn_col) if rn_col else out.drop("_rn")
 
@@ -102,7 +115,7 @@ def resume_filter(df: DataFrame, state: DataFrame, *, channel_col: str = "channe
     st = state.select(F.col(channel_col).alias("_ch"), F.col(cursor_col).cast("decimal(20,0)").alias("_cur"))
     st = bounded_broadcast(st, materialize=True)
     out = df.join(st, F.col(channel_col) == F.col("_ch"), "left")
-    out = out.filter(F.col("_cur").isNull() | (F.col(id_col).cast("decimal(20,0)") < F.col("_cur")))
+    out = out.filter(F.col("_cur").isNull() | (F.col(id_col).cast("decimal(20,0)") < F.col("_cur")))  # cursor is text
     return out.drop("_ch", "_cur")
 
 

@@ -44,19 +44,25 @@ def _numeric(df: DataFrame, c: Column) -> Column:
     return c.cast("double")
 
 
-def _slices(df: DataFrame, keys: list[str], first: Column, descending: bool, max_rows: int) -> DataFrame:
-    base = df.withColumn("_v", _numeric(df, first))
-    heavy = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-             .filter(F.col("_n") > F.lit(max_rows))
-             .withColumn("_nb", F.ceil(F.col("_n") / F.lit(max_rows)).cast("double")))
-    # every heavy key holds more than max_rows rows, so there are at most rows / max_rows of them
-    # (500k at 10^12 rows and the default): a proven bound, broadcast without a counting job
-    heavy = F.broadcast(heavy.select(*[F.col(k).alias(f"_hk_{k}") for k in keys], "_lo", "_hi", "_nb"))
+# above this many heavy keys the heavy-key table stays a (broadcast) DataFrame instead of a literal
+_MAX_COLLECTED_HEAVY = 100_000
+
+
+def _heavy_keys(base: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .filter(F.col("_n") > F.lit(max_rows))
+            .select(*[F.col(k).alias(f"_hk_{k}") for k in keys], "_lo", "_hi",
+                    F.ceil(F.col("_n") / F.lit(max_rows)).cast("double").alias("_nb")))
+
+
+def _slices(base: DataFrame, keys: list[str], heavy: DataFrame, descending: bool) -> DataFrame:
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
         cond = c if cond is None else cond & c
-    joined = base.join(heavy, cond, "left")
+    # every heavy key holds more than max_rows rows, so there are at most rows / max_rows of them:
+    # a proven bound for the broadcast
+    joined = base.join(F.broadcast(heavy), cond, "left")
     width = F.col("_hi") - F.col("_lo")
     pos = F.floor((F.col("_v") - F.col("_lo")) / width * F.col("_nb")).cast("double")
     pos = F.least(F.greatest(pos, F.lit(0.0)), F.col("_nb") - 1)
@@ -69,6 +75,19 @@ def _slices(df: DataFrame, keys: list[str], first: Column, descending: bool, max
     return joined.withColumn(_S, sl).drop("_v", "_lo", "_hi", "_nb", *[f"_hk_{k}" for k in keys])
 
 
+def heavy_key_table(df: DataFrame, keys: list[str], first: Column, max_rows: int) -> DataFrame | None:
+    """Keys with more than ``max_rows`` rows, with the range of the first order value; ``None`` if
+    there is none. One partial aggregation (a small job); a short result becomes a literal table."""
+    base = df.withColumn("_v", _numeric(df, first))
+    heavy = _heavy_keys(base, keys, max_rows)
+    found = heavy.limit(_MAX_COLLECTED_HEAVY + 1).collect()
+    if not found:
+        return None
+    if len(found) <= _MAX_COLLECTED_HEAVY:
+        return df.sparkSession.createDataFrame(found, heavy.schema)
+    return heavy
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, descending: bool = False,
                  row_number: str | None = None,
                  running_sums: dict[str, Column] | None = None,
@@ -90,9 +109,22 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
         max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
     sort = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in order_cols]
 
-    sliced = _slices(df, keys, order_cols[0], descending, max_group_rows)
-    r = sliced
     key_cols = [F.col(k) for k in keys]
+    heavy = heavy_key_table(df, keys, order_cols[0], max_group_rows)
+    if heavy is None:
+        # no key is larger than max_group_rows: the plain window is bounded per task and exact
+        w = Window.partitionBy(*key_cols).orderBy(*sort)
+        out = df
+        if row_number:
+            out = out.withColumn(row_number, F.row_number().over(w).cast("bigint"))
+        for name, c in running_sums.items():
+            out = out.withColumn(name, F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        for name, c in lags.items():
+            out = out.withColumn(name, F.lag(c).over(w))
+        return out
+
+    sliced = _slices(df.withColumn("_v", _numeric(df, order_cols[0])), keys, heavy, descending)
+    r = sliced
     local = Window.partitionBy(*key_cols, F.col(_S)).orderBy(*sort)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Window
 
-from parley.operators.ordered import _S, DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS_CONF, _slices, ordered_scan
+from parley.operators.ordered import (_S, DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS_CONF, _numeric, _slices,
+                                     heavy_key_table, ordered_scan)
 
 STALL_TIMEOUT_S = 300
 MAX_FAILURES = 3
@@ -57,7 +58,11 @@ def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: s
     if max_group_rows is None:
         max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
     base = df.withColumn("_succ", ~F.coalesce(failed, F.lit(False)))
-    sliced = _slices(base, [key_col], F.col(ts_col), False, max_group_rows)
+    heavy = heavy_key_table(base, [key_col], F.col(ts_col), max_group_rows)
+    if heavy is None:  # every key fits one task: a single slice per key, nothing to carry
+        sliced = base.withColumn(_S, F.lit(0.0))
+    else:
+        sliced = _slices(base.withColumn("_v", _numeric(base, F.col(ts_col))), [key_col], heavy, False)
     local = Window.partitionBy(key_col, _S).orderBy(F.col(ts_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = (sliced.withColumn("_lrn", F.row_number().over(local))
@@ -65,6 +70,11 @@ def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: s
          .withColumn("_lsp", F.lag("_ls").over(local))
          .withColumn("_pts", F.lag(ts_col).over(local)))
 
+    if heavy is None:
+        out = r.withColumn("_carry", F.lit(None).cast("long")) \
+            .withColumn("_prev_last_ts", F.lit(None).cast(base.schema[ts_col].dataType))
+        return _breaker_columns(out, ts_col, max_failures, reset_timeout_s)
+
     # per slice: trailing failures, whether it holds a success, time of its last event
     st = r.groupBy(key_col, _S).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_ls").alias("_last_succ"),
                                     F.max_by(F.col(ts_col), F.struct(F.col(ts_col), F.col(id_col))).alias("_last_ts"))
@@ -79,6 +89,10 @@ def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: s
                         F.lag("_last_ts").over(by_key).alias("_prev_last_ts"))
 
     out = r.join(offsets, F.col(key_col).eqNullSafe(F.col("_ok")) & (F.col(_S) == F.col("_os")), "inner")
+    return _breaker_columns(out, ts_col, max_failures, reset_timeout_s)
+
+
+def _breaker_columns(out: DataFrame, ts_col: str, max_failures: int, reset_timeout_s: int) -> DataFrame:
     carry = F.coalesce(F.col("_carry"), F.lit(0))
     failures = F.when(F.col("_ls").isNotNull(), F.col("_lrn") - F.col("_ls")).otherwise(carry + F.col("_lrn"))
     prev_failures = (F.when(F.col("_lrn") == 1, F.col("_carry"))
