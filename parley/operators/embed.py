@@ -4,8 +4,9 @@
   per Python worker (module cache keyed by the factory) and fed Arrow batches in chunks of
   ``batch`` texts. Filter first: Catalyst does not move filters below a Python UDF.
 * :func:`hash_counts` is the default offline encoder (feature hashing of lower-case ASCII word
-  tokens into ``dim`` buckets by MD5). Only the tokenising and bucketing run in Python, vectorised
-  per batch with a per-worker vocabulary cache; normalising is a native expression.
+  tokens into ``dim`` buckets by MD5). Only the tokenising and bucketing run in Python, per Arrow
+  batch, with a per-worker word -> bucket table (each word is hashed once per worker); counting is
+  one ``bincount``; normalising is a native expression.
 """
 
 from __future__ import annotations
@@ -25,19 +26,22 @@ from parley.functions.messages import embed_test  # noqa: F401  (E2 lives with t
 DEFAULT_DIM = 64
 _TOKEN = re.compile(r"[a-z]+")
 _ENCODERS: dict = {}
-_VOCAB: dict[tuple[str, int], int] = {}
+_VOCAB: dict[int, dict[str, int]] = {}  # per worker: dim -> word -> bucket
 _VOCAB_MAX = 2_000_000
 
 
 def _bucket(word: str, dim: int) -> int:
-    key = (word, dim)
-    b = _VOCAB.get(key)
-    if b is None:
-        b = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:6], 16) % dim
-        if len(_VOCAB) >= _VOCAB_MAX:
-            _VOCAB.clear()
-        _VOCAB[key] = b
-    return b
+    return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:6], 16) % dim
+
+
+def _vocab(words: list[str], dim: int) -> dict[str, int]:
+    """The worker's word -> bucket table, extended with the words it has not seen (hashed once)."""
+    table = _VOCAB.setdefault(dim, {})
+    if len(table) > _VOCAB_MAX:
+        table.clear()
+    for w in set(words).difference(table):
+        table[w] = _bucket(w, dim)
+    return table
 
 
 def hash_counts(col: Column | str, dim: int = DEFAULT_DIM) -> Column:
@@ -53,10 +57,10 @@ def hash_counts(col: Column | str, dim: int = DEFAULT_DIM) -> Column:
         lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
         flat = [w for x in toks for w in x]
         if flat:
-            codes, uniq = pd.factorize(pd.Series(flat, dtype=object))
-            ub = np.fromiter((_bucket(w, dim) for w in uniq), dtype=np.int64, count=len(uniq))
+            table = _vocab(flat, dim)
+            buckets = np.fromiter(map(table.__getitem__, flat), dtype=np.int64, count=len(flat))
             rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            counts = np.bincount(rows * dim + ub[codes], minlength=n * dim).reshape(n, dim).astype(np.int32)
+            counts = np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.int32)
         else:
             counts = np.zeros((n, dim), dtype=np.int32)
         return pd.Series([counts[i] if present[i] else None for i in range(n)], dtype=object)
