@@ -12,7 +12,8 @@ from parley.operators import history as H
 from parley.operators.embed import embed_hashing
 from parley.operators.privacy import apply_privacy, drop_empty_content
 from parley.operators.search import hydrate, search_batch
-from parley.sources.batches import write_message_batches
+from parley.operators.normalize import normalize_with_rejects
+from parley.sources.batches import read_message_batches, write_message_batches
 from parley.sources.collection import collection_add, collection_count
 from parley.sources.registry import save_ingest_state, state_from_totals
 
@@ -60,3 +61,15 @@ def search_text(collection: DataFrame, texts: DataFrame, k: int = 5, *, metric:
                        q.select("qid", "embedding"), k, metric)
     docs = collection.select(F.col("id").cast("long").alias("id"), "document", "metadata")
     return hydrate(res, docs, doc_id_col="id", metadata_cols=("metadata",))
+
+
+def compact_message_batches(spark, in_dir: str, out: str, rejects: str | None = None, *,
+                            glob: str = "messages_batch_*.json") -> DataFrame:
+    """SURVEY §4 small files: read the many small batch files once, normalise, and write one columnar
+    table partitioned by channel (rejected rows to ``rejects``); later jobs work from the table."""
+    raw = read_message_batches(spark, in_dir, glob)
+    good, bad = normalize_with_rejects(raw, keep=("file", "batch", "pos"))
+    good.write.mode("overwrite").partitionBy("channel_id").parquet(out)
+    if rejects:
+        bad.write.mode("overwrite").parquet(rejects)
+    return spark.read.parquet(out)

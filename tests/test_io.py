@@ -143,3 +143,10 @@ def test_write_batch_files_splits_large_batches(spark, tmp_path):
     back = read_message_batches(spark, out, glob="part-*")
     assert back.count() == 260 and back.select("file").distinct().count() == 4  # 100 + 100 + 50, and 10
     assert back.groupBy("file").count().agg(F.max("count")).first()[0] == 100
+
+
+def test_compact_message_batches(spark, batch_dir, tmp_path):
+    from parley.plans.jobs import compact_message_batches
+    t = compact_message_batches(spark, batch_dir, str(tmp_path / "t"), str(tmp_path / "rej"))
+    assert t.count() == 15 and t.select("channel_id").distinct().count() == 1
+    assert spark.read.parquet(str(tmp_path / "rej")).count() == 0
