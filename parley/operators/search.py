@@ -50,7 +50,14 @@ def _distances(q: np.ndarray, qn: np.ndarray, c: np.ndarray, metric: str) -> np.
 
 
 def _prune(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
-    """Keep, per query, every candidate within the tie margin of its k-th smallest distance."""
+    """Per query, a superset of its top-k under the final order ``(round(distance, 6), id)``, of
+    bounded size.
+
+    Rows clearly below the k-th distance stay (fewer than k). Rows near it (within the rounding
+    margin) are classed by their rounded distance; a class keeps only its k smallest ids, since any
+    further row of the class is preceded by k others. A row whose rounding is ambiguous (within a
+    hair of a .5 boundary) is kept as it is. So ties never grow the output past about 4k rows per query.
+    """
     if len(qi) == 0:
         return qi, ids, d
     o = np.lexsort((ids, d, qi))
@@ -60,7 +67,18 @@ def _prune(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
     kth = np.full(len(starts), np.inf)
     full = counts >= k
     kth[full] = d[starts[full] + k - 1]
-    keep = d <= np.repeat(kth, counts) + _TIE_MARGIN
+    kth_rows = np.repeat(kth, counts)
+    keep = d <= kth_rows + _TIE_MARGIN
+    band = keep & np.isfinite(kth_rows) & (d >= kth_rows - _TIE_MARGIN)
+    if band.any():
+        scaled = d * 1e6 + 0.5
+        lo, hi = np.floor(scaled - 1e-6), np.floor(scaled + 1e-6)
+        sure = np.flatnonzero(band & (lo == hi))
+        if len(sure):
+            o2 = sure[np.lexsort((ids[sure], lo[sure], qi[sure]))]
+            new = np.r_[True, (qi[o2][1:] != qi[o2][:-1]) | (lo[o2][1:] != lo[o2][:-1])]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(o2)), 0))
+            keep[o2[(np.arange(len(o2)) - first) >= k]] = False
     return qi[keep], ids[keep], d[keep]
 
 
@@ -92,10 +110,11 @@ def _partial_topk_fn(bq, k: int, metric: str, id_col: str, vec_col: str, chunk:
                     rows, cols = np.nonzero(d <= kth[:, None] + _TIE_MARGIN)
                 else:
                     rows, cols = np.nonzero(np.ones_like(d, dtype=bool))
-                acc_q.append(rows.astype(np.int64) + s)
-                acc_id.append(ids[cols])
-                acc_d.append(d[rows, cols])
-                pending += len(rows)
+                qi_, ii_, dd_ = _prune(rows.astype(np.int64) + s, ids[cols], d[rows, cols], k)
+                acc_q.append(qi_)
+                acc_id.append(ii_)
+                acc_d.append(dd_)
+                pending += len(qi_)
             if pending > 8 * k * len(q):
                 qi, ii, dd = _prune(np.concatenate(acc_q), np.concatenate(acc_id), np.concatenate(acc_d), k)
                 acc_q, acc_id, acc_d, pending = [qi], [ii], [dd], len(qi)

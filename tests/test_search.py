@@ -69,3 +69,17 @@ def test_hydrate_include(spark):
     assert (full.document, full.author, full.similarity) == ("one", "a", 1.0)
     slim = hydrate(res, docs, include=("documents",))
     assert "distance" not in slim.columns and "author" not in slim.columns
+
+
+def test_many_exact_ties_stay_bounded_and_exact(spark):
+    import numpy as np
+    from parley.operators.search import _prune
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0, 0.0]) for i in range(3000)]  # 3,000 identical vectors
+    rows += [(3000 + i, [float(x), float(y)]) for i, (x, y) in enumerate(rng.normal(size=(500, 2)))]
+    coll = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4)
+    res = search_topk(coll, [1.0, 0.0], k=5).orderBy("rank").collect()
+    assert [r.id for r in res] == [0, 1, 2, 3, 4]
+    qi = np.zeros(3000, dtype=np.int64)
+    kept = _prune(qi, np.arange(3000, dtype=np.int64)[::-1].copy(), np.zeros(3000), 5)
+    assert sorted(kept[1].tolist()) == [0, 1, 2, 3, 4]
