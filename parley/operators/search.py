@@ -79,6 +79,11 @@ def _prune(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
             new = np.r_[True, (qi[o2][1:] != qi[o2][:-1]) | (lo[o2][1:] != lo[o2][:-1])]
             first = np.maximum.accumulate(np.where(new, np.arange(len(o2)), 0))
             keep[o2[(np.arange(len(o2)) - first) >= k]] = False
+    inf = np.flatnonzero(keep & np.isinf(d))  # undefined distances (e.g. zero vectors, cosine): one class
+    if len(inf):
+        new = np.r_[True, qi[inf][1:] != qi[inf][:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(inf)), 0))
+        keep[inf[(np.arange(len(inf)) - first) >= k]] = False
     return qi[keep], ids[keep], d[keep]
 
 

@@ -83,3 +83,11 @@ def test_many_exact_ties_stay_bounded_and_exact(spark):
     qi = np.zeros(3000, dtype=np.int64)
     kept = _prune(qi, np.arange(3000, dtype=np.int64)[::-1].copy(), np.zeros(3000), 5)
     assert sorted(kept[1].tolist()) == [0, 1, 2, 3, 4]
+
+
+def test_zero_vectors_under_cosine_stay_bounded(spark):
+    import numpy as np
+    from parley.operators.search import _prune
+    d = np.r_[np.full(1000, np.inf), [0.5, 0.25]]
+    kept = _prune(np.zeros(1002, dtype=np.int64), np.arange(1002, dtype=np.int64), d, 3)
+    assert len(kept[0]) <= 5 and {1000, 1001} <= set(kept[1].tolist())
