@@ -5,11 +5,13 @@ are heavily skewed (one key can hold a third of all rows), so every ordered comp
 library goes through :func:`ordered_scan`:
 
 1. Heavy keys are found with one partial aggregation (count, min and max of the first order column
-   per key). A key with more than ``max_group_rows`` rows is cut into ``ceil(n / max_group_rows)``
-   equal-width slices of that order value; every other key is one slice. The slice is a pure
-   function of the row, so every branch of the plan sees the same slices (a sampled range
-   partitioner would not: its bounds depend on the RDD). The heavy-key table has at most
-   ``rows / max_group_rows`` entries and is broadcast behind a count check.
+   per key). With none, the plain per-key window runs: every group is bounded. A key with more than
+   ``max_group_rows`` rows gets a 1,024-bin histogram of that order value (another partial
+   aggregation); bins are packed in order into slices of about ``max_group_rows`` rows, so slices
+   stay balanced however the values cluster. The slice is a pure function of the row (a lookup in
+   the key's small bin -> slice array), so every branch of the plan sees the same slices (a sampled
+   range partitioner would not: its bounds depend on the RDD). The heavy-key table has at most
+   ``rows / max_group_rows`` entries.
 2. The window runs per ``(key, slice)``: one hash shuffle, each group bounded by the slice.
 3. Per (key, slice) totals (a small table) give, by a prefix over slices, the offset to add to the
    row number and running sums, and the last value for the first row's lag. They are joined back
@@ -46,6 +48,10 @@ def _numeric(df: DataFrame, c: Column) -> Column:
 
 # above this many heavy keys the heavy-key table stays a (broadcast) DataFrame instead of a literal
 _MAX_COLLECTED_HEAVY = 100_000
+# heavy keys get a histogram of this many equal-width bins; bins are packed into balanced slices
+_BINS = 1024
+# up to this many heavy keys the per-key bin -> slice arrays are built (bins x keys ints, broadcast)
+_MAX_HISTOGRAM_KEYS = 4096
 
 
 def _heavy_keys(base: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
@@ -55,37 +61,82 @@ def _heavy_keys(base: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
                     F.ceil(F.col("_n") / F.lit(max_rows)).cast("double").alias("_nb")))
 
 
-def _slices(base: DataFrame, keys: list[str], heavy: DataFrame, descending: bool) -> DataFrame:
+def _key_cond(keys: list[str]):
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
         cond = c if cond is None else cond & c
+    return cond
+
+
+def _bin(width: Column) -> Column:
+    raw = F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(_BINS))
+    return F.least(F.greatest(raw, F.lit(0)), F.lit(_BINS - 1)).cast("int")
+
+
+def _with_bin_slices(base: DataFrame, keys: list[str], heavy: DataFrame, max_rows: int) -> DataFrame:
+    """Heavy-key table plus ``_bins``: for each of the key's histogram bins, the slice it belongs to.
+
+    Greedy packing in value order: a bin goes to slice ``floor(rows before it / max_rows)``, so a
+    slice holds about ``max_rows`` rows (plus at most one bin) however the values are clustered.
+    One partial aggregation over the heavy keys' rows; the result is keys x bins small numbers.
+    """
+    rows = base.join(F.broadcast(heavy), _key_cond(keys), "inner").filter(F.col("_hi") > F.col("_lo"))
+    hist = rows.groupBy(*[f"_hk_{k}" for k in keys], _bin(F.col("_hi") - F.col("_lo")).alias("_b")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*[f"_hk_{k}" for k in keys]).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_sl", F.floor(F.coalesce(F.sum("_c").over(w), F.lit(0)) / F.lit(max_rows)).cast("int"))
+    per_key = hist.groupBy(*[f"_hk_{k}" for k in keys]).agg(
+        F.map_from_entries(F.collect_list(F.struct("_b", "_sl"))).alias("_m"), F.max("_sl").alias("_top"))
+    # a dense array over all bins (empty bins never hold a row; they get 0); arrays are bounded by _BINS
+    dense = per_key.select(*[F.col(f"_hk_{k}").alias(f"_dk_{k}") for k in keys], "_top",
+                           F.transform(F.sequence(F.lit(0), F.lit(_BINS - 1)),
+                                       lambda i: F.coalesce(F.element_at("_m", i), F.lit(0))).alias("_bins"))
+    cond = None
+    for k in keys:  # null-safe: a null key can be heavy too
+        c = F.col(f"_hk_{k}").eqNullSafe(F.col(f"_dk_{k}"))
+        cond = c if cond is None else cond & c
+    out = heavy.join(dense, cond, "left").drop(*[f"_dk_{k}" for k in keys])
+    return out.withColumn("_nb", F.coalesce(F.col("_top") + 1, F.col("_nb")).cast("double")).drop("_top")
+
+
+def _slices(base: DataFrame, keys: list[str], heavy: DataFrame, descending: bool) -> DataFrame:
     # every heavy key holds more than max_rows rows, so there are at most rows / max_rows of them:
     # a proven bound for the broadcast
-    joined = base.join(F.broadcast(heavy), cond, "left")
+    joined = base.join(F.broadcast(heavy), _key_cond(keys), "left")
     width = F.col("_hi") - F.col("_lo")
-    pos = F.floor((F.col("_v") - F.col("_lo")) / width * F.col("_nb")).cast("double")
-    pos = F.least(F.greatest(pos, F.lit(0.0)), F.col("_nb") - 1)
+    if "_bins" in heavy.columns:
+        pos = F.element_at(F.col("_bins"), _bin(width) + 1).cast("double")
+    else:  # many heavy keys: equal-width slices of the value range
+        pos = F.floor((F.col("_v") - F.col("_lo")) / width * F.col("_nb")).cast("double")
+        pos = F.least(F.greatest(pos, F.lit(0.0)), F.col("_nb") - 1)
     if descending:
         pos = F.col("_nb") - 1 - pos
     null_slice = F.lit(math.inf if descending else -math.inf)  # nulls last when descending, first otherwise
     sl = (F.when(F.col("_nb").isNull() | (width <= 0), F.lit(0.0))
           .when(F.col("_v").isNull(), null_slice)
           .otherwise(pos))
-    return joined.withColumn(_S, sl).drop("_v", "_lo", "_hi", "_nb", *[f"_hk_{k}" for k in keys])
+    return joined.withColumn(_S, sl).drop("_v", "_lo", "_hi", "_nb", "_bins", *[f"_hk_{k}" for k in keys])
 
 
 def heavy_key_table(df: DataFrame, keys: list[str], first: Column, max_rows: int) -> DataFrame | None:
-    """Keys with more than ``max_rows`` rows, with the range of the first order value; ``None`` if
-    there is none. One partial aggregation (a small job); a short result becomes a literal table."""
+    """Keys with more than ``max_rows`` rows, with the range of the first order value and (for up to
+    ``_MAX_HISTOGRAM_KEYS`` keys) the bin -> slice arrays; ``None`` if there is none. Small jobs:
+    partial aggregations; short results become literal tables."""
     base = df.withColumn("_v", _numeric(df, first))
     heavy = _heavy_keys(base, keys, max_rows)
     found = heavy.limit(_MAX_COLLECTED_HEAVY + 1).collect()
     if not found:
         return None
-    if len(found) <= _MAX_COLLECTED_HEAVY:
-        return df.sparkSession.createDataFrame(found, heavy.schema)
-    return heavy
+    if len(found) > _MAX_COLLECTED_HEAVY:
+        return heavy
+    spark = df.sparkSession
+    lit_heavy = spark.createDataFrame(found, heavy.schema)
+    if len(found) > _MAX_HISTOGRAM_KEYS:
+        return lit_heavy
+    with_bins = _with_bin_slices(base, keys, lit_heavy, max_rows)
+    return spark.createDataFrame(with_bins.collect(), with_bins.schema)
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, descending: bool = False,

@@ -37,20 +37,27 @@ def main():
     total = data.count()
     hot = data.filter("channel_id = 'hot'").count()
 
-    def run(df):
-        t = time.perf_counter()
-        df.write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - t, 2)
+    def run(build):
+        # times plan construction too: ordered_scan runs its small heavy-key jobs while building
+        best = None
+        for _ in range(2):
+            t = time.perf_counter()
+            build().write.format("noop").mode("overwrite").save()
+            el = time.perf_counter() - t
+            best = el if best is None else min(best, el)
+        return round(best, 2)
 
     w = Window.partitionBy("channel_id").orderBy(F.col("id").desc())
-    plain = data.withColumn("page", F.floor((F.row_number().over(w) - 1) / 100) + 1)
-    t_plain = min(run(plain), run(plain))
-    adaptive = history_pages(data)  # default bound: no key is heavy here, plain window after one aggregation
-    t_adaptive = min(run(adaptive), run(history_pages(data)))
+
+    def plain():
+        return data.withColumn("page", F.floor((F.row_number().over(w) - 1) / 100) + 1)
+
+    t_plain = run(plain)
+    t_adaptive = run(lambda: history_pages(data))  # default bound: no heavy key here -> plain window
     spark.conf.set("parley.ordered.maxGroupRows", str(max(1, total // 64)))
-    sliced = history_pages(data)  # the hot key is cut into ~21 slices
-    t_sliced = min(run(sliced), run(history_pages(data)))
-    same = plain.select("id", "page").exceptAll(sliced.select("id", F.col("page").cast("double"))).count() == 0
+    t_sliced = run(lambda: history_pages(data))  # every channel is heavy; the hot one gets ~21 slices
+    same = plain().select("id", "page").exceptAll(history_pages(data).select("id", F.col("page").cast("double"))) \
+        .count() == 0
     print({"rows": total, "hot_rows": hot, "plain_window_s": t_plain, "adaptive_no_heavy_s": t_adaptive,
            "sliced_s": t_sliced, "equal": same})
 

@@ -45,3 +45,18 @@ def test_heavy_key_is_split(spark):
     plan = ordered_scan(ev, ["event_type"], ["event_id"], row_number="rn", max_group_rows=37)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "_slice" in text
+
+
+def test_clustered_values_give_balanced_slices(spark):
+    from parley.operators.ordered import _numeric, _slices, heavy_key_table
+    # 900 of 1,000 rows of key 'h' sit in 1/20 of the key's span (equal-width slices would put 900 in one)
+    rows = [("h", i / 180.0) for i in range(900)] + [("h", float(i)) for i in range(1, 101)] + \
+           [("s", 1.0), ("s", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    heavy = heavy_key_table(df, ["k"], F.col("v"), 100)
+    sl = _slices(df.withColumn("_v", _numeric(df, F.col("v"))), ["k"], heavy, False)
+    sizes = [r["count"] for r in sl.filter("k = 'h'").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 200 and len(sizes) >= 5
+    got = ordered_scan(df, ["k"], ["v"], row_number="rn", max_group_rows=100)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("bigint"))
+    assert got.select("k", "v", "rn").exceptAll(want).count() == 0
