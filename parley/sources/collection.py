@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from parley.operators.joins import bounded_broadcast
 from parley.schemas import COLLECTION
+from parley.session import cut_lineage
 
 
 def collection_path(root: str, name: str) -> str:
@@ -58,7 +59,8 @@ def collection_add(incoming: DataFrame, root: str, name: str, load_id: int, *, i
     """K2: append the rows whose id is new; returns the number of rows written by this load."""
     spark = incoming.sparkSession
     stored = open_collection(spark, root, name).filter(F.col("load_id") < F.lit(load_id))
-    batch = dedup_first(incoming, id_col, order_cols).select(*[c.name for c in COLLECTION.fields])
+    # the load (embeddings included) is computed once: the id count and the write both read this
+    batch = cut_lineage(dedup_first(incoming, id_col, order_cols).select(*[c.name for c in COLLECTION.fields]))
     fresh = new_rows(batch, stored, id_col).withColumn("load_id", F.lit(load_id).cast("bigint"))
     (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("load_id").parquet(collection_path(root, name)))
