@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions.messages import truncate_display
 from parley.operators.embed import embed_hashing
 from parley.operators.privacy import apply_privacy, drop_empty_content
-from parley.operators.search import hydrate, search_batch
+from parley.operators.search import format_results, hydrate, search_batch
 from parley.plans.oracle_sql import default_chain_sql
 from parley.plans.registry import register
 from parley.plans.tables import documents_as_messages, table
@@ -123,3 +123,17 @@ def search_text_plan(spark, sf):
 
 
 register("search_text", _SEARCH_TEXT_SQL)(search_text_plan)
+
+
+@register("format_results", f"""
+with t as ({_topk_sql('l2')})
+select t.qid, t.rank, d.text content, e.label metadata_label, t.similarity
+from t join documents d on d.doc_id = t.id join embeddings e on e.vec_id = t.id""")
+def q_format_results(spark, sf):
+    """``content, metadata, similarity`` per result, metadata carried from the collection."""
+    res = search_batch(_collection(spark, sf), _all_queries(spark, sf), K, "l2")
+    docs = table(spark, sf, "documents").join(
+        table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    h = hydrate(res, docs, doc_id_col="doc_id", document_col="text", metadata_cols=("label",))
+    out = format_results(h, metadata_cols=("label",))
+    return out.select("qid", "rank", "content", F.col("metadata.label").alias("metadata_label"), "similarity")
