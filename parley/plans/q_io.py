@@ -22,8 +22,8 @@ from parley.session import shared_dir
 from parley.sources.batches import read_message_batches, write_batch_files
 from parley.sources.collection import open_collection
 from parley.sources.registry import load_ingest_state, read_opt_out
-from parley.streaming.ingest import (collection_stream, file_table_stream, ingest_stream, latest_progress,
-                                     message_file_stream, privacy_stream, progress_stream)
+from parley.streaming.ingest import (collection_stream, file_table_stream, ingest_state_stream, ingest_stream,
+                                     latest_progress, message_file_stream, privacy_stream, progress_stream)
 
 _STATE_TIME = dt.datetime(2025, 1, 1, 0, 0, 0)
 
@@ -177,3 +177,15 @@ def q_encrypt_files(spark, sf):
     files = decrypt_files(spark, enc_path, key).select(F.col("source_path").alias("path"), "content")
     raw = parse_batch_files(files)
     return normalize_saved(raw, keep=("batch", "pos")).select(*_BATCH_COLS)
+
+
+@register("ingest_state_stream", f"""
+select channel_id, cast(min(id) as varchar) oldest_message_id, cast(1 as bigint) batch_count, count(*) total_messages
+from {CONV_SQL} group by all""")
+def q_ingest_state_stream(spark, sf):
+    """K3 + S4 on a stream: per-channel state saved after every micro-batch, latest record read back."""
+    path = _conversation_batches(spark, sf)
+    state, ckpt = shared_dir(spark, "state_stream"), shared_dir(spark, "state_stream_ckpt")
+    ingest_state_stream(message_file_stream(spark, path, "part-*", 25), state, ckpt)
+    st = load_ingest_state(spark, state)
+    return st.select("channel_id", "oldest_message_id", "batch_count", "total_messages")

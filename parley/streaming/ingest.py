@@ -86,3 +86,28 @@ def file_table_stream(spark: SparkSession, path: str, schema: StructType | str,
                       max_files_per_trigger: int = 1) -> DataFrame:
     """A parquet folder as a stream, a few files per micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+
+
+def ingest_state_stream(msgs: DataFrame, state_path: str, checkpoint: str, *, channel_col: str = "channel_id",
+                        id_col: str = "id", available_now: bool = True) -> StreamingQuery:
+    """K3 on a stream: after every micro-batch, the state of each channel it touched (messages and
+    batches so far, oldest id) is appended as a record; :func:`load_ingest_state` reads the latest.
+
+    A streaming aggregation in update mode keeps the running values in the state store; the batch
+    count is the number of position-0 rows (one per file), so no distinct count is needed.
+    """
+    num = F.col(id_col).cast("decimal(20,0)")
+    agg = msgs.groupBy(channel_col).agg(
+        F.min(num).cast("string").alias("oldest_message_id"),
+        F.sum((F.col("pos") == 0).cast("long")).alias("batch_count"),
+        F.count(F.lit(1)).alias("total_messages"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rec = batch.select(F.col(channel_col).alias("channel_id"), "oldest_message_id", "batch_count",
+                           "total_messages", F.current_timestamp().alias("last_updated"),
+                           F.lit(int(batch_id)).alias("_batch"))
+        # one folder per micro-batch, overwritten on retry: idempotent
+        rec.drop("_batch").write.mode("overwrite").json(f"{state_path}/batch_id={int(batch_id)}")
+
+    w = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return _run(w, available_now)
