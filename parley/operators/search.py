@@ -163,6 +163,11 @@ def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, max_query_byt
         yield _to_block(qb.filter(F.col("_blk") == b).select("qid", "v").toArrow())
 
 
+def _computed_in_python(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(op in plan for op in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonUDF"))
+
+
 def search_batch(collection: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", *,
                  id_col: str = "id", vec_col: str = "embedding", qid_col: str = "qid",
                  qvec_col: str = "embedding", max_query_bytes: int = DEFAULT_MAX_QUERY_BYTES) -> DataFrame:
@@ -180,6 +185,9 @@ def search_batch(collection: DataFrame, queries: DataFrame, k: int = 5, metric:
                            T.StructField("distance", T.DoubleType())])
     parts = []
     for qids, vecs in _query_blocks(queries, qid_col, qvec_col, max_query_bytes):
+        if len(parts) == 1 and _computed_in_python(coll):
+            # several blocks each scan the collection: an embedded-on-the-fly collection is written once
+            coll = cut_lineage(coll)
         bq = spark.sparkContext.broadcast((qids, vecs))
         parts.append(coll.mapInPandas(_partial_topk_fn(bq, k, metric, id_col, vec_col), schema))
     if not parts:

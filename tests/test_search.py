@@ -91,3 +91,14 @@ def test_zero_vectors_under_cosine_stay_bounded(spark):
     d = np.r_[np.full(1000, np.inf), [0.5, 0.25]]
     kept = _prune(np.zeros(1002, dtype=np.int64), np.arange(1002, dtype=np.int64), d, 3)
     assert len(kept[0]) <= 5 and {1000, 1001} <= set(kept[1].tolist())
+
+
+def test_multi_block_with_embedded_collection(spark):
+    from parley.operators.embed import embed_hashing
+    from parley.plans.tables import documents_as_messages
+    d = documents_as_messages(spark, SF_SMALL).filter("id < 60")  # a small test fixture
+    coll = embed_hashing(d, "content").select("id", "embedding")
+    qs = embed_hashing(d.select(F.col("id").alias("qid"), "content"), "content").select("qid", "embedding")
+    one = sorted(tuple(r) for r in search_batch(coll, qs, 2).collect())
+    many = sorted(tuple(r) for r in search_batch(coll, qs, 2, max_query_bytes=272 * 10).collect())
+    assert one == many
