@@ -60,3 +60,18 @@ def test_clustered_values_give_balanced_slices(spark):
     got = ordered_scan(df, ["k"], ["v"], row_number="rn", max_group_rows=100)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("bigint"))
     assert got.select("k", "v", "rn").exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("histogram", [True, False])
+def test_both_slicing_paths_match_plain_window(spark, monkeypatch, histogram):
+    import parley.operators.ordered as O
+    if not histogram:  # as with more heavy keys than the histogram limit: equal-width slices
+        monkeypatch.setattr(O, "_MAX_HISTOGRAM_KEYS", 0)
+    ev = table(spark, SF_SMALL, "events").select("event_id", "ts", "user_id", "value")
+    got = ordered_scan(ev, ["user_id"], ["ts", "event_id"], row_number="rn",
+                       running_sums={"run": F.col("value")}, lags={"prev": F.col("ts")}, max_group_rows=2)
+    want = _plain(ev, ["user_id"], ["ts", "event_id"], False)
+    cols = ["event_id", "rn", "run", "prev"]
+    a = sorted((r[0], r[1], round(r[2], 6), r[3]) for r in got.select(*cols).collect())
+    b = sorted((r[0], r[1], round(r[2], 6), r[3]) for r in want.select(*cols).collect())
+    assert a == b

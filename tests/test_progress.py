@@ -54,3 +54,16 @@ def test_breaker_with_skewed_key_slices(spark, tiny_groups):
     spark.conf.set("parley.ordered.maxGroupRows", "1000000")
     b = sorted(tuple(r) for r in QUERIES["breaker_gate"](spark, SF_SMALL).collect())
     assert a == b
+
+
+def test_breaker_sliced_users_equal_unsliced(spark):
+    """Users with more than 3 events are cut into slices (carry across slices, first rows' lags)."""
+    from conftest import SF_MID
+    from parley.plans.tables import table
+    e = table(spark, SF_MID, "events").filter("user_id < 40")  # a test fixture: 40 users, ~67 events each
+    kw = dict(key_col="user_id", ts_col="ts", id_col="event_id", failed=F.col("event_type") == "error",
+              max_failures=2, reset_timeout_s=3600)
+    cols = ["user_id", "event_id", "failures", "is_open", "can_execute"]
+    sliced = sorted(tuple(r) for r in P.breaker_replay(e, max_group_rows=3, **kw).select(*cols).collect())
+    whole = sorted(tuple(r) for r in P.breaker_replay(e, max_group_rows=10 ** 9, **kw).select(*cols).collect())
+    assert sliced == whole and len(whole) == e.count()
