@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from parley.operators.joins import bounded_broadcast
 from parley.operators.ordered import ordered_scan
+from parley.session import cut_lineage
 
 PAGE_SIZE = 100
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
@@ -133,7 +134,9 @@ def ingest_totals(paged: DataFrame, *, channel_col: str = "channel_id", page_col
 
 def running_totals(paged: DataFrame, *, channel_col: str = "channel_id", page_col: str = "page") -> DataFrame:
     """Messages per page and the running total after each page, per channel."""
-    per_page = paged.groupBy(channel_col, page_col).agg(F.count(F.lit(1)).alias("messages"))
+    # a page table (about rows / 100) written once: the heavy-key check and the scan both read it
+    # instead of recomputing the paging window twice
+    per_page = cut_lineage(paged.groupBy(channel_col, page_col).agg(F.count(F.lit(1)).alias("messages")))
     out = ordered_scan(per_page, [channel_col], [F.col(page_col)],
                        running_sums={"total_messages": F.col("messages")})
     return out.select(channel_col, page_col, "messages", F.col("total_messages").cast("bigint"))
