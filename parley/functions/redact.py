@@ -25,16 +25,18 @@ class Pattern:
     type: str
     regex: str
     replacement: str
+    # a character class every match contains ("@" or "digit"); None when unknown (custom patterns)
+    requires: str | None = None
 
 
 # The default redaction patterns, in application order (email, phone, ssn, ip,
 # credit card). They must stay verbatim, including the literal '|' inside the email TLD class.
 DEFAULT_PATTERNS: tuple[Pattern, ...] = (
-    Pattern("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL REDACTED]"),
-    Pattern("phone", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE REDACTED]"),
-    Pattern("ssn", r"\b\d{3}[-]?\d{2}[-]?\d{4}\b", "[SSN REDACTED]"),
-    Pattern("ip", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP REDACTED]"),
-    Pattern("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT CARD REDACTED]"),
+    Pattern("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL REDACTED]", "@"),
+    Pattern("phone", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "[PHONE REDACTED]", "digit"),
+    Pattern("ssn", r"\b\d{3}[-]?\d{2}[-]?\d{4}\b", "[SSN REDACTED]", "digit"),
+    Pattern("ip", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP REDACTED]", "digit"),
+    Pattern("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT CARD REDACTED]", "digit"),
 )
 
 JAVA_FLAGS = "(?iU)"
@@ -100,14 +102,45 @@ def redact_with(col: Column, pattern: Pattern) -> Column:
     return F.regexp_replace(col, java_regex(pattern.regex), java_replacement(pattern.replacement))
 
 
+def _guard(c: Column, pats: list[Pattern]) -> Column | None:
+    """A cheap test that is true for every text any pattern of the chain could change, or None.
+
+    Exact when every pattern names a character its matches must contain and no replacement writes
+    such a character (group references only copy text that was already there): a text without any
+    of them passes through every step unchanged.
+    """
+    needs = {p.requires for p in pats}
+    if not pats or None in needs or not needs <= {"@", "digit"}:
+        return None
+    for p in pats:
+        literal = re.sub(r"\\g<\w+>|\\\d{1,2}", "", p.replacement)
+        if "@" in literal or any(ch.isdigit() for ch in literal):
+            return None
+    tests = []
+    if "@" in needs:
+        tests.append(F.instr(c, "@") > 0)
+    if "digit" in needs:
+        tests.append(c.rlike(r"(?U)\d"))
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def redact_pii(col: Column | str, patterns: Sequence[Pattern | dict | tuple] | None = None,
                added: Iterable[Pattern | dict | tuple] = ()) -> Column:
-    """Every pattern in order, one after another. Null stays null, empty stays empty."""
+    """Every pattern in order, one after another. Null stays null, empty stays empty.
+
+    Texts that no pattern of the chain can match (for the defaults: no '@' and no digit, most
+    messages) skip the regex chain after one cheap scan.
+    """
     c = F.col(col) if isinstance(col, str) else col
+    pats = resolve_patterns(patterns, added)
     out = c
-    for p in resolve_patterns(patterns, added):
+    for p in pats:
         out = redact_with(out, p)
-    return out
+    guard = _guard(c, pats)
+    return out if guard is None else F.when(guard, out).otherwise(c)
 
 
 def _by_type(kind: str) -> Pattern:
