@@ -6,8 +6,8 @@ Plan, for queries Q and a collection C:
   ``max_query_bytes``). A block of Q that fits is shipped to the executors as one broadcast numpy
   matrix. More queries than that are split into several such blocks by a hash of the query id;
   each block's count is verified before it is broadcast.
-* Every collection partition runs ``mapInPandas``: distances of its Arrow batch against the whole
-  block in one BLAS product, then a per-query partial top-k. Only ``k`` candidates per query and
+* Every collection partition runs ``mapInArrow``: the Arrow batch's vectors are read as one flat
+  float buffer, and their distances to the whole block come from one BLAS product, then a per-query partial top-k. Only ``k`` candidates per query and
   partition (plus exact ties within the rounding step) leave the task: no query x row pairs are
   ever materialised as rows, and there is no cross join.
 * One shuffle on the query id merges the partial lists; ``row_number() <= k`` is planned with a
@@ -21,7 +21,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +89,7 @@ def _prune(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
 
 
 def _partial_topk_fn(bq, k: int, metric: str, id_col: str, vec_col: str, chunk: int = 512):
-    """Function for mapInPandas: per-partition candidate lists for every query of the broadcast block."""
+    """Function for mapInArrow: per-partition candidate lists for every query of the broadcast block."""
 
     def run(batches):
         qids, q = bq.value
@@ -101,12 +102,10 @@ def _partial_topk_fn(bq, k: int, metric: str, id_col: str, vec_col: str, chunk:
             qn = None
         acc_q, acc_id, acc_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         pending = 0
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
+        for batch in batches:
+            ids, c = _batch_matrix(batch, id_col, vec_col)
+            if ids is None:
                 continue
-            ids = pdf[id_col].to_numpy(np.int64)
-            c = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             for s in range(0, len(q), chunk):
                 d = _distances(q[s:s + chunk], None if qn is None else qn[s:s + chunk], c, metric)
                 d = np.where(np.isnan(d), np.inf, d)
@@ -125,11 +124,31 @@ def _partial_topk_fn(bq, k: int, metric: str, id_col: str, vec_col: str, chunk:
                 acc_q, acc_id, acc_d, pending = [qi], [ii], [dd], len(qi)
         qi, ii, dd = _prune(np.concatenate(acc_q), np.concatenate(acc_id), np.concatenate(acc_d), k)
         if len(qi):
-            yield pd.DataFrame({"qid": qids[qi], "id": ii, "distance": dd})
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ii, pa.int64()),
+                                              pa.array(dd, pa.float64())], names=["qid", "id", "distance"])
 
     return run
 
 
+def _batch_matrix(batch: pa.RecordBatch, id_col: str, vec_col: str):
+    """(ids, n x dim float64 matrix) of an Arrow batch, straight from the list buffer (no per-row
+    Python objects). Rows with a null or empty vector are skipped; all vectors must share one length."""
+    vecs = batch.column(vec_col)
+    ids = batch.column(id_col)
+    lens = pc.list_value_length(vecs)
+    ok = pc.and_(pc.is_valid(vecs), pc.greater(pc.fill_null(lens, 0), 0))
+    if not pc.all(ok).as_py():
+        vecs, ids, lens = vecs.filter(ok), ids.filter(ok), lens.filter(ok)
+    n = len(vecs)
+    if n == 0:
+        return None, None
+    dim = lens[0].as_py()
+    if pc.any(pc.not_equal(lens, dim)).as_py():
+        raise ValueError("vectors of one collection must have one length")
+    flat = pc.list_flatten(vecs).to_numpy(zero_copy_only=False).astype(np.float64)
+    return ids.to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(n, dim)
+
+
 def _to_block(rows):
     qids = rows.column("qid").to_numpy()
     vecs = np.stack([np.asarray(v, dtype=np.float32) for v in rows.column("v").to_pylist()])
@@ -165,7 +184,7 @@ def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, max_query_byt
 
 def _computed_in_python(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(op in plan for op in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonUDF"))
+    return any(op in plan for op in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "PythonUDF"))
 
 
 def search_batch(collection: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", *,
@@ -189,7 +208,7 @@ def search_batch(collection: DataFrame, queries: DataFrame, k: int = 5, metric:
             # several blocks each scan the collection: an embedded-on-the-fly collection is written once
             coll = cut_lineage(coll)
         bq = spark.sparkContext.broadcast((qids, vecs))
-        parts.append(coll.mapInPandas(_partial_topk_fn(bq, k, metric, id_col, vec_col), schema))
+        parts.append(coll.mapInArrow(_partial_topk_fn(bq, k, metric, id_col, vec_col), schema))
     if not parts:
         return spark.createDataFrame([], "qid long, rank int, id long, distance double, similarity double")
     cand = parts[0]
