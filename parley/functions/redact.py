@@ -147,24 +147,41 @@ def _by_type(kind: str) -> Pattern:
     return next(p for p in DEFAULT_PATTERNS if p.type == kind)
 
 
+def could_match(col: Column | str, pattern: Pattern) -> Column | None:
+    """A cheap necessary condition for ``pattern`` to match ``col`` (None if the pattern names none)."""
+    c = F.col(col) if isinstance(col, str) else col
+    if pattern.requires == "@":
+        return F.instr(c, "@") > 0
+    if pattern.requires == "digit":
+        return c.rlike(r"(?U)\d")
+    return None
+
+
+def _single(col: Column | str, pattern: Pattern) -> Column:
+    c = F.col(col) if isinstance(col, str) else col
+    guard = could_match(c, pattern)
+    out = redact_with(c, pattern)
+    return out if guard is None else F.when(guard, out).otherwise(c)
+
+
 def redact_email(col: Column | str) -> Column:
-    return redact_with(F.col(col) if isinstance(col, str) else col, _by_type("email"))
+    return _single(col, _by_type("email"))
 
 
 def redact_phone(col: Column | str) -> Column:
-    return redact_with(F.col(col) if isinstance(col, str) else col, _by_type("phone"))
+    return _single(col, _by_type("phone"))
 
 
 def redact_ssn(col: Column | str) -> Column:
-    return redact_with(F.col(col) if isinstance(col, str) else col, _by_type("ssn"))
+    return _single(col, _by_type("ssn"))
 
 
 def redact_ip(col: Column | str) -> Column:
-    return redact_with(F.col(col) if isinstance(col, str) else col, _by_type("ip"))
+    return _single(col, _by_type("ip"))
 
 
 def redact_credit_card(col: Column | str) -> Column:
-    return redact_with(F.col(col) if isinstance(col, str) else col, _by_type("credit_card"))
+    return _single(col, _by_type("credit_card"))
 
 
 def redaction_changed(original: Column | str, redacted: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.redact import Pattern, matches, redact_pii, resolve_patterns
+from parley.functions.redact import Pattern, could_match, matches, redact_pii, resolve_patterns
 from parley.operators.joins import bounded_broadcast
 
 
@@ -76,10 +76,24 @@ def audit_pii(df: DataFrame, content_col: str = "content",
     """
     pats = resolve_patterns(patterns, added)
     both = df.select(F.col(content_col).alias("_raw"), redact_pii(F.col(content_col), patterns, added).alias("_red"))
+    # necessary conditions, once per row on the raw text (redaction never adds '@' or digits it
+    # did not find); a pattern whose condition fails cannot match either text
+    needs = {p.requires for p in pats} & {"@", "digit"}
+    pre = {k: F.col(f"_has_{'at' if k == '@' else k}") for k in needs}
+    both = both.select("*", *[could_match(F.col("_raw"), Pattern("", "", "", k)).alias(f"_has_{'at' if k == '@' else k}")
+                              for k in sorted(needs)])
+    safe = all("@" not in p.replacement and not any(ch.isdigit() for ch in p.replacement) for p in pats)
+
+    def hit(col, p):
+        m = matches(F.col(col), p)
+        if p.requires in pre and (col == "_raw" or safe):
+            m = pre[p.requires] & m  # And short-circuits: the regex runs only where it can match
+        return m
+
     aggs = []
     for i, p in enumerate(pats):
-        aggs.append(F.sum(matches(F.col("_raw"), p).cast("long")).alias(f"b{i}"))
-        aggs.append(F.sum(matches(F.col("_red"), p).cast("long")).alias(f"a{i}"))
+        aggs.append(F.sum(hit("_raw", p).cast("long")).alias(f"b{i}"))
+        aggs.append(F.sum(hit("_red", p).cast("long")).alias(f"a{i}"))
     row = both.agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(p.type).alias("pattern_type"),
