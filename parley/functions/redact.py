@@ -147,16 +147,21 @@ def _by_type(kind: str) -> Pattern:
     return next(p for p in DEFAULT_PATTERNS if p.type == kind)
 
 
-def could_match(col: Column | str, pattern: Pattern) -> Column | None:
-    """A cheap necessary condition for ``pattern`` to match ``col`` (None if the pattern names none)."""
+def has_required(col: Column | str, kind: str | None) -> Column | None:
+    """Does the text contain the character a pattern's matches need ('@' or a Unicode digit)?"""
     c = F.col(col) if isinstance(col, str) else col
-    if pattern.requires == "@":
+    if kind == "@":
         return F.instr(c, "@") > 0
-    if pattern.requires == "digit":
+    if kind == "digit":
         return c.rlike(r"(?U)\d")
     return None
 
 
+def could_match(col: Column | str, pattern: Pattern) -> Column | None:
+    """A cheap necessary condition for ``pattern`` to match ``col`` (None if the pattern names none)."""
+    return has_required(col, pattern.requires)
+
+
 def _single(col: Column | str, pattern: Pattern) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     guard = could_match(c, pattern)

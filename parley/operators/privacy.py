@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.redact import Pattern, could_match, matches, redact_pii, resolve_patterns
+from parley.functions.redact import Pattern, has_required, matches, redact_pii, resolve_patterns
 from parley.operators.joins import bounded_broadcast
 
 
@@ -78,10 +78,10 @@ def audit_pii(df: DataFrame, content_col: str = "content",
     both = df.select(F.col(content_col).alias("_raw"), redact_pii(F.col(content_col), patterns, added).alias("_red"))
     # necessary conditions, once per row on the raw text (redaction never adds '@' or digits it
     # did not find); a pattern whose condition fails cannot match either text
-    needs = {p.requires for p in pats} & {"@", "digit"}
-    pre = {k: F.col(f"_has_{'at' if k == '@' else k}") for k in needs}
-    both = both.select("*", *[could_match(F.col("_raw"), Pattern("", "", "", k)).alias(f"_has_{'at' if k == '@' else k}")
-                              for k in sorted(needs)])
+    flag = {"@": "_has_at", "digit": "_has_digit"}
+    needs = sorted({p.requires for p in pats} & set(flag))
+    pre = {k: F.col(flag[k]) for k in needs}
+    both = both.select("*", *[has_required(F.col("_raw"), k).alias(flag[k]) for k in needs])
     safe = all("@" not in p.replacement and not any(ch.isdigit() for ch in p.replacement) for p in pats)
 
     def hit(col, p):
