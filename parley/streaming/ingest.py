@@ -40,10 +40,14 @@ def _run(writer, available_now: bool) -> StreamingQuery:
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out: str, checkpoint: str, *, glob: str = BATCH_GLOB,
-                  max_files_per_trigger: int = 100, available_now: bool = True) -> StreamingQuery:
-    """Incremental, restartable ingest of batch files into a parquet table."""
+                  max_files_per_trigger: int = 100, available_now: bool = True,
+                  partition_by: tuple[str, ...] = ()) -> StreamingQuery:
+    """Incremental, restartable ingest of batch files into a parquet table (optionally
+    partitioned, e.g. by channel, so later date or channel filters prune files)."""
     msgs = message_file_stream(spark, in_dir, glob, max_files_per_trigger)
     w = msgs.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
     return _run(w, available_now)
 
 

@@ -150,3 +150,9 @@ def test_compact_message_batches(spark, batch_dir, tmp_path):
     t = compact_message_batches(spark, batch_dir, str(tmp_path / "t"), str(tmp_path / "rej"))
     assert t.count() == 15 and t.select("channel_id").distinct().count() == 1
     assert spark.read.parquet(str(tmp_path / "rej")).count() == 0
+
+
+def test_ingest_stream_partitioned(spark, batch_dir, tmp_path):
+    out, ckpt = str(tmp_path / "pout"), str(tmp_path / "pckpt")
+    ingest_stream(spark, batch_dir, out, ckpt, partition_by=("channel_id",))
+    assert os.path.isdir(os.path.join(out, "channel_id=c")) and spark.read.parquet(out).count() == 15
