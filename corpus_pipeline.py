@@ -1,18 +1,39 @@
-"""The corpus pipeline: documents through quality rules, near-dedup, suffix dedup, mixing and packing."""
+"""The corpus pipeline: documents through quality rules, near-dedup, suffix dedup, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; the last returns where each piece of each document is packed.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import simhash
+from parley.llm import mixing, packing, quality, simhash
 from parley.llm.common import table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the lines that are frequent in their host are gone from the rest."""
+    return quality.good_documents(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
     return simhash.one_of_each_group(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; one epoch, so that no document comes twice after the near-dedup."""
+    return mixing.mixed_documents(docs, mix=replace(mixing.MIX, max_epochs=1))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("mixing", mix), ("best_fit_packing", pack)]
 ORACLE_SQL = None
 
 

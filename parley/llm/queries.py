@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import simhash, url_filters
+from parley.llm import mixing, packing, quality, simhash, url_filters
 from parley.llm.common import table
 
 
@@ -12,11 +12,23 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op4_best_fit_packing, op5_quality_rules, op9_mixing, op10_simhash)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
@@ -26,6 +38,58 @@ def _rule_case(value) -> str:
     return "case " + " ".join(f"when {_FITS.format(h=r.host, p=r.path)} then '{value(r)}'" for r in rules)
 
 
+def _mixing_sql(mix: mixing.Mix) -> str:
+    """The mix in DuckDB SQL: leaf table, water filling level by level, each leaf's running sum in seeded order."""
+    def weight(level: str) -> str:
+        given = mix.weights.get(level, {})
+        cases = " ".join(f"when {level} = '{k}' then {v}" for k, v in given.items())
+        return f"case {cases} else 1 end" if cases else "1"
+
+    def fill(name: str, nodes: str, parent: str, level: str) -> str:
+        by = f"partition by {parent}" if parent else ""
+        path = f"{parent}, {level}" if parent else level
+        order = f"{by} order by cap::double / weight, {level}"
+        return f"""{name}_a as (select *, coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0)
+                before, sum(weight) over ({order} rows between current row and unbounded following) rest_weight
+                from {nodes} where weight > 0),
+            {name}_b as (select *, cap * rest_weight <= weight * (given - before) as sated from {name}_a),
+            {name}_c as (select *, sum(case when sated then cap else 0 end) over ({by}) full_cap,
+                sum(case when sated then 0 else weight end) over ({by}) open_weight from {name}_b),
+            {name} as (select {path}, case when sated then cap else (weight * (given - full_cap)) // open_weight end::bigint
+                as given from {name}_c)"""
+
+    budget = (f"select {mix.budget_tokens}::bigint given" if mix.budget_tokens is not None
+              else f"select (coalesce(sum(supply), 0) * {mix.budget_percent} // 100)::bigint given from leaf")
+    return rf"""
+        with unit as (select doc_id, coalesce(md5(text), '') text_key,
+                'd' || translate(md5(coalesce(source, ''))[1:1], '0123456789abcdef', '0000111122223333') as domain,
+                coalesce(lang, '') lang, coalesce(source, '') source,
+                len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint one, count(*) copies
+                from documents group by all),
+            leaf0 as (select domain, lang, source, sum(one * copies)::bigint supply from unit group by all),
+            leaf as (select *, {weight('domain')} wd, {weight('lang')} wl, {weight('source')} ws from leaf0),
+            caps as (select *, case when least(wd, wl, ws) > 0 then supply * {mix.max_epochs} else 0 end cap from leaf),
+            top as ({budget}),
+            n1 as (select domain, sum(cap)::bigint cap, max(wd) weight, max(top.given) given from caps, top group by all),
+            {fill('g1', 'n1', '', 'domain')},
+            n2 as (select domain, lang, sum(cap)::bigint cap, max(wl) weight, max(given) given
+                from caps join g1 using (domain) group by all),
+            {fill('g2', 'n2', 'domain', 'lang')},
+            n3 as (select domain, lang, source, sum(cap)::bigint cap, max(ws) weight, max(given) given
+                from caps join g2 using (domain, lang) group by all),
+            {fill('g3', 'n3', 'domain, lang', 'source')},
+            plan as (select domain, lang, source, given budget, given // supply whole, given % supply rest
+                from g3 join leaf using (domain, lang, source) where supply > 0),
+            drawn as (select *, md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::varchar, '') || ':' || text_key) draw
+                from unit join plan using (domain, lang, source) where one > 0),
+            placed as (select *, coalesce(sum(one * copies) over (partition by domain, lang, source order by draw
+                rows between unbounded preceding and 1 preceding), 0) as start from drawn),
+            taken as (select *, whole + case when start < rest then 1 else 0 end times from placed)
+        select doc_id, domain, lang, source, one as n_tokens, epoch, leaf_budget from (
+            select doc_id, domain, lang, source, one, budget leaf_budget, copies,
+                unnest(range(0, times::bigint)) as epoch from taken) t, range(0, copies)"""
+
+
 ORACLES = {
     "op1_url_filters": f"""
         with u as (select page_id, case when position('://' in url) > 0
@@ -34,4 +98,5 @@ ORACLES = {
                           '{url_filters.LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u)
         select page_id, host, path, {_rule_case(lambda r: r.text)} end as rule,
                {_rule_case(lambda r: r.verdict)} else 'allow' end as verdict from v""",
+    "op9_mixing": _mixing_sql(mixing.MIX),
 }
