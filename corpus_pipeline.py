@@ -10,7 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import mixing, packing, quality, simhash
+from parley.llm import mixing, packing, quality, simhash, suffix_dedup
 from parley.llm.common import table
 
 
@@ -24,6 +24,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each_group(docs)
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in repeated strings of 400 bytes and more are gone."""
+    return suffix_dedup.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; one epoch, so that no document comes twice after the near-dedup."""
     return mixing.mixed_documents(docs, mix=replace(mixing.MIX, max_epochs=1))
@@ -33,7 +38,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("mixing", mix), ("best_fit_packing", pack)]
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", near_dedup), ("suffix_dedup", repeats),
+          ("mixing", mix), ("best_fit_packing", pack)]
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import mixing, packing, quality, simhash, url_filters
+from parley.llm import mixing, packing, quality, simhash, suffix_dedup, url_filters
 from parley.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_best_fit_packing, op5_quality_rules, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules, op9_mixing, op10_simhash)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
@@ -64,7 +68,8 @@ def _mixing_sql(mix: mixing.Mix) -> str:
         with unit as (select doc_id, coalesce(md5(text), '') text_key,
                 'd' || translate(md5(coalesce(source, ''))[1:1], '0123456789abcdef', '0000111122223333') as domain,
                 coalesce(lang, '') lang, coalesce(source, '') source,
-                len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint one, count(*) copies
+                len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::bigint one, count(*) copies
                 from documents group by all),
             leaf0 as (select domain, lang, source, sum(one * copies)::bigint supply from unit group by all),
             leaf as (select *, {weight('domain')} wd, {weight('lang')} wl, {weight('source')} ws from leaf0),
