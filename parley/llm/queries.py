@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import mixing, packing, quality, simhash, suffix_dedup, url_filters
+from parley.llm import fingerprints, mixing, packing, quality, simhash, suffix_dedup, url_filters
 from parley.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules, op9_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
+                                   op8_fingerprints, op9_mixing, op10_simhash)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
