@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, mixing, packing, quality, simhash, suffix_dedup, url_filters
+from parley.llm import fingerprints, language, mixing, packing, quality, simhash, suffix_dedup, url_filters
 from parley.llm.common import table
 
 
+def fold(n: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -24,6 +30,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(5) == 0
+    return language.predicted_languages(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -37,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
-                                   op8_fingerprints, op9_mixing, op10_simhash)}
+                                   op7_language_id, op8_fingerprints, op9_mixing, op10_simhash)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
