@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, language, mixing, packing, quality, simhash, suffix_dedup, url_filters
+from parley.llm import fingerprints, language, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filters
 from parley.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(3) == 1
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, held_out)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(5) == 0
     return language.predicted_languages(table(spark, sf_dir, "documents"), ~held_out, held_out)
@@ -48,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
-                                   op7_language_id, op8_fingerprints, op9_mixing, op10_simhash)}
+                                   op6_toxicity, op7_language_id, op8_fingerprints, op9_mixing, op10_simhash)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
