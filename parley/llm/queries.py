@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import fingerprints, language, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filters
+from parley.llm import (
+    fingerprints, html_extract, language, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filters,
+)
 from parley.llm.common import table
 
 
@@ -18,6 +20,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
                                    op6_toxicity, op7_language_id, op8_fingerprints, op9_mixing, op10_simhash)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
