@@ -127,6 +127,8 @@ def selected(unit: DataFrame, mix: Mix) -> DataFrame:
                              F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"))
     rows = rows.withColumn("draw", draw).withColumn(
         "slice", F.expr("(cast(conv(substring(draw, 1, 8), 16, 10) as bigint) * slices) div 4294967296"))
+    # dealt by slice before the window, which the leaf's own partitioning would satisfy too
+    rows = rows.repartition(*LEVELS, "slice")
     sums = rows.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("slice_tokens"))
     ahead = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*LEVELS, "slice", F.coalesce(F.sum("slice_tokens").over(ahead), F.lit(0)).alias("offset"))
