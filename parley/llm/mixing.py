@@ -103,16 +103,15 @@ def leaf_budgets(unit: DataFrame, mix: Mix) -> DataFrame:
     live = [F.expr(f"if({lv}_weight > 0, supply, 0)") for lv in LEVELS]
     leaves = leaves.withColumns({f"{lv}_weight": _weight(lv, mix) for lv in LEVELS})
     leaves = leaves.withColumn("cap", F.least(*live) * mix.max_epochs)
-    total = leaves.agg(F.sum("supply").alias("all_supply"))
+    # the budget: a share of all tokens, summed over the domains
     budget = F.lit(mix.budget_tokens) if mix.budget_tokens is not None else F.expr(
-        f"(coalesce(all_supply, 0) * {int(mix.budget_percent)}) div 100")
-    top = total.select(budget.cast("bigint").alias("given"))
+        f"(sum(supply) over (partition by 0) * {int(mix.budget_percent)}) div 100")
     given = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[:depth + 1])
-        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"{level}_weight").alias("weight"))
-        # one row: the total; a one-row broadcast is bounded by construction
-        nodes = nodes.join(F.broadcast(top)) if given is None else nodes.join(given, path[:-1])
+        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"), F.max(f"{level}_weight").alias("weight"),
+                                          F.sum("supply").alias("supply"))
+        nodes = nodes.withColumn("given", budget.cast("bigint")) if given is None else nodes.join(given, path[:-1])
         given = fill(nodes, path[:-1], level).select(*path, F.col("budget").alias("given"))
     return leaves.select(*LEVELS, "supply", "n_docs").join(given.withColumnRenamed("given", "budget"), list(LEVELS))
 
