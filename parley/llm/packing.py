@@ -7,9 +7,8 @@ Texts are tokenised in Arrow batches; what is shuffled afterwards is a row of nu
 shards of about ``shard_rows`` by a hash, so all shards see the same mix of lengths and each packs by itself; the last
 sequences of the shards that are not full are then packed once more together, again in bounded shards.
 
-Tokens of a piece of text between white space are cached, as the vocabulary treats such pieces independently; texts or words with
-characters beyond plain Latin letters, digits and ASCII signs go through the tokenizer unchanged, so ids are always the
-tokenizer's own.
+Ids of words are cached, as the vocabulary treats words independently; words with characters beyond plain Latin letters,
+digits and ASCII signs go through the whole tokenizer, so ids are always the tokenizer's own.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed each; ties go to the smallest
 remaining gap, then the newest such sequence; a piece of full length is a sequence by itself. An empty table gives
@@ -21,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -44,21 +44,53 @@ PIECES = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t\n\r0-9{LE
 BREAK = re.compile("[ \t\n\r]")
 
 
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from 256 on."""
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+@cache
+def worker_tokenizer(path: str) -> "CachedTokenizer":
+    """One tokenizer and its cache for all tasks of a Python worker."""
+    return CachedTokenizer(path)
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit bytes, found by the vocabulary's model when first asked for; bounded."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        if NOT_PLAIN.search(word):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:  # a plain piece is one word of the model, spelled in its alphabet of bytes
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+        out = np.array(ids, "<u4").tobytes()
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class CachedTokenizer:
-    """Token ids of texts as little-endian 32-bit bytes, equal to the tokenizer's, with a bounded cache of words."""
+    """Token ids of texts, equal to the tokenizer's, with a bounded cache of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.words = WordIds(Tokenizer.from_file(path))
 
     def pieces(self, text: str) -> list[str]:
         if not NOT_PLAIN.search(text):
@@ -72,19 +104,7 @@ class CachedTokenizer:
         return out
 
     def ids(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = list(set(pieces).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(set(pieces))
-        found = dict(zip(new, self._encode(new)))
-        self.cache.update((w, b) for w, b in found.items() if len(w) <= CACHED_LENGTH)
-        cache = self.cache
-        return b"".join([found[p] if p in found else cache[p] for p in pieces])
+        return b"".join(map(self.words.__getitem__, self.pieces(text)))
 
     def chunks(self, text: str) -> Iterator[bytes]:
         """The ids of a text of any length, in parts cut at white space."""
@@ -117,7 +137,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = tokenizer_path or default_tokenizer_path()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, schema = CachedTokenizer(path), None
+        tokenizer, schema = worker_tokenizer(path), None
         for b in batches:
             schema = schema or pa.schema([("doc_id", b.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()),
                                           ("length", pa.int64()), ("ids_crc32", pa.int64())])
