@@ -198,9 +198,9 @@ def features(page: Page) -> Iterator[tuple[str, ...]]:
     for i, tag in enumerate(page.tag):
         links = link_share(linked[i], size[i])
         if tag:
-            up = page.tag[page.parent[i]] if i else ""
-            yield (f"<{tag}{links}", f"<{tag}<{up}{links}",
-                   *("." + p for p in dict.fromkeys(name_parts(page.attributes[i]))))
+            names = dict.fromkeys(name_parts(page.attributes[i]))
+            up, how = page.tag[page.parent[i]] if i else "", f"{links}{'named' if names else 'bare'}"
+            yield (f"<{tag}<{up}{how}", f"<{tag}{how}", *("." + p for p in names))
         else:
             text = page.text[i]
             n = text.count(" ") + 1
@@ -239,11 +239,16 @@ class TreeModel:
         edge = [[[no / (no + yes), yes / (no + yes)] for no, yes in rows] for rows in edges]
         return cls(shown, edge, roots[1] / sum(roots))
 
+    def evidence(self, seen: tuple[str, ...]) -> Iterator[float]:
+        """Log-odds of what a node shows; an element's tag counts with its parent's tag or, where that is new, alone."""
+        if seen[0][0] == "<" and seen[0] in self.shown:
+            seen = (seen[0], *seen[2:])
+        return (self.shown.get(f, 0.0) for f in seen)
+
     def marginals(self, page: Page) -> list[float]:
         """P(article) of every node: messages up from the leaves, then down from the root."""
         n = len(page.parent)
-        shown = self.shown
-        odds = [math.exp(max(-30.0, min(30.0, sum(shown.get(f, 0.0) for f in seen)))) for seen in features(page)]
+        odds = [math.exp(max(-30.0, min(30.0, sum(self.evidence(seen))))) for seen in features(page)]
         # below[i]: evidence for label 0 and 1 from node i and all under it, scaled to sum 1
         below0, below1 = [1.0] * n, odds
         up0, up1 = [0.0] * n, [0.0] * n  # the message of i to its parent
