@@ -253,7 +253,9 @@ def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts:
     every = written(occurrences(docs, length, gram))
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"),
                                           F.max("context").alias("high")).where("rows > 1")
-    again = written(every.join(anchors.select("anchor", (F.col("low") != F.col("high")).alias("contested")), "anchor"))
+    # a table of its own, so that the join has an exchange on either side and a very frequent anchor can be split
+    anchors = written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("contested")))
+    again = written(every.join(anchors, "anchor"))
     distinct = again.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("copies"), F.first("contested").alias("contested"),
         F.min(F.struct("doc", "place")).alias("at"))
