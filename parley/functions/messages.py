@@ -17,13 +17,19 @@ def _c(x) -> Column:
 
 def parse_ts(col) -> Column:
     """ISO-8601 text to timestamp; ``Z`` and offsets honoured, fractions kept, naive = UTC (session
-    time zone), anything unparseable is null rather than an error."""
-    return _c(col).try_cast("timestamp")
+    time zone), anything unparseable is null rather than an error. The basic form (``20250101T120000Z``) is read too;
+    a time without a date is no timestamp."""
+    c = F.trim(_c(col).cast("string"))
+    basic = r"^(\d{4})(\d{2})(\d{2})(?:[T ](\d{2})(\d{2})(\d{2})(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    full = F.regexp_replace(c, basic, "$1-$2-$3T$4:$5:$6$7$8")
+    full = F.when(c.rlike(r"^\d{8}$"), F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(full)
+    full = F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(full.rlike(r"^[+-]?\d{4,}-"), full.try_cast("timestamp"))
 
 
 def iso_ts(col) -> Column:
-    """Timestamp as ISO-8601 text with offset, e.g. ``2025-01-01T12:00:00+00:00``."""
-    c = _c(col)
+    """Timestamp as ISO-8601 text in UTC, e.g. ``2025-01-01T12:00:00+00:00``, whatever the session's zone."""
+    c = F.to_utc_timestamp(_c(col).cast("timestamp"), F.current_timezone())
     frac = F.when(F.date_format(c, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(c, "SSSSSS"))) \
         .otherwise(F.lit(""))
     return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), frac, F.lit("+00:00"))
@@ -58,9 +64,12 @@ def mention_ids(col) -> Column:
 
 
 def flatten_reactions(col) -> Column:
-    """``(emoji.name or '', count or 0)`` per reaction, in order; missing = empty."""
+    """``(emoji name or '', count or 0)`` per reaction, in order; missing = empty. The emoji is JSON text of an
+    object with a name (API messages) or the name itself (saved messages)."""
     def one(r):
-        return F.struct(F.coalesce(r["emoji"]["name"], F.lit("")).alias("emoji"),
+        e = r["emoji"]
+        name = F.when(_is_obj(e), F.try_variant_get(F.try_parse_json(e), "$.name", "string")).otherwise(e)
+        return F.struct(F.coalesce(name, F.lit("")).alias("emoji"),
                         F.coalesce(r["count"], F.lit(0).cast("bigint")).alias("count"))
 
     return F.coalesce(F.transform(_c(col), one), F.array().cast("array<struct<emoji:string,count:bigint>>"))

@@ -56,10 +56,16 @@ def java_replacement(py_repl: str) -> str:
             m = re.match(r"\\g<(\w+)>", py_repl[i:])
             if m:
                 name = m.group(1)
-                out.append("$" + name if name.isdigit() else "${" + name + "}")
+                out.append("$" + name if name.isdigit() else "${" + java_name(name) + "}")
                 i += len(m.group(0))
                 continue
-            m = re.match(r"\\(\d{1,2})", py_repl[i:])
+            m = re.match(r"\\(0[0-7]{0,2}|[1-3][0-7]{2})", py_repl[i:])
+            if m:  # an octal escape is a character, not a group
+                ch = chr(int(m.group(1), 8))
+                out.append("\\" + ch if ch in "$\\" else ch)
+                i += len(m.group(0))
+                continue
+            m = re.match(r"\\([1-9]\d?)", py_repl[i:])
             if m:
                 out.append("$" + m.group(1))
                 i += len(m.group(0))
@@ -79,8 +85,20 @@ def java_replacement(py_repl: str) -> str:
     return "".join(out)
 
 
+def java_name(name: str) -> str:
+    """Java's group names have letters and digits only."""
+    return name if re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", name) else "g" + "".join(
+        c if c.isascii() and c.isalnum() else f"x{ord(c):x}" for c in name)
+
+
 def java_regex(py_regex: str) -> str:
-    return JAVA_FLAGS + py_regex
+    """Python's named groups and references to them in Java's spelling (outside of escapes)."""
+    def named(m: re.Match) -> str:
+        if m.group(1):
+            return m.group(1)
+        return f"(?<{java_name(m.group(2))}>" if m.group(2) else f"\\k<{java_name(m.group(3))}>"
+
+    return JAVA_FLAGS + re.sub(r"(\\.)|\(\?P<(\w+)>|\(\?P=(\w+)\)", named, py_regex, flags=re.S)
 
 
 def resolve_patterns(patterns: Sequence[Pattern | dict | tuple] | None = None,

@@ -3,10 +3,9 @@
 * :func:`embed` is the model plug-in point: an iterator ``pandas_udf``; the encoder is created once
   per Python worker (module cache keyed by the factory) and fed Arrow batches in chunks of
   ``batch`` texts. Filter first: Catalyst does not move filters below a Python UDF.
-* :func:`hash_counts` is the default offline encoder (feature hashing of lower-case ASCII word
-  tokens into ``dim`` buckets by MD5). Only the tokenising and bucketing run in Python, per Arrow
-  batch, with a per-worker word -> bucket table (each word is hashed once per worker); counting is
-  one ``bincount``; normalising is a native expression.
+* :func:`hash_unit` is the default offline encoder (feature hashing of lower-case ASCII word tokens into ``dim`` buckets
+  by MD5), one Python pass per Arrow batch, with a per-worker word -> bucket table (each word is hashed once per
+  worker); counting is one ``bincount`` and normalising one division.
 """
 
 from __future__ import annotations
@@ -44,62 +43,65 @@ def _vocab(words: list[str], dim: int) -> dict[str, int]:
     return table
 
 
-def hash_counts(col: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    """Token counts per MD5 bucket (``array<int>`` of ``dim``); null text -> null."""
+def _unit_rows(texts: pd.Series, dim: int) -> np.ndarray:
+    """Unit vectors of token counts a text, one row each; all-zero stays all-zero."""
+    # tokenise every text of the Arrow batch, hash each distinct token once, count with one
+    # bincount over (row, bucket)
+    n = len(texts)
+    toks = [_TOKEN.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+    lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
+    flat = [w for x in toks for w in x]
+    if not flat:
+        return np.zeros((n, dim))
+    table = _vocab(flat, dim)
+    buckets = np.fromiter(map(table.__getitem__, flat), dtype=np.int64, count=len(flat))
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    counts = np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.float64)
+    norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
+    return np.divide(counts, norms, out=counts, where=norms > 0)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _counts(texts: pd.Series) -> pd.Series:
-        # tokenise every text of the Arrow batch, hash each distinct token once, count with one
-        # bincount over (row, bucket)
-        n = len(texts)
-        present = texts.notna().to_numpy()
-        toks = [_TOKEN.findall(t.lower()) if ok else [] for t, ok in zip(texts, present)]
-        lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
-        flat = [w for x in toks for w in x]
-        if flat:
-            table = _vocab(flat, dim)
-            buckets = np.fromiter(map(table.__getitem__, flat), dtype=np.int64, count=len(flat))
-            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            counts = np.bincount(rows * dim + buckets, minlength=n * dim).reshape(n, dim).astype(np.int32)
-        else:
-            counts = np.zeros((n, dim), dtype=np.int32)
-        return pd.Series([counts[i] if present[i] else None for i in range(n)], dtype=object)
 
-    return _counts(F.col(col) if isinstance(col, str) else col)
+def hash_unit(col: Column | str, dim: int = DEFAULT_DIM, single: bool = True) -> Column:
+    """Unit vector of token counts per MD5 bucket (``array<float>`` or ``array<double>``); null text -> null."""
+    kind = T.FloatType() if single else T.DoubleType()
 
+    @F.pandas_udf(T.ArrayType(kind))
+    def _units(texts: pd.Series) -> pd.Series:
+        rows = _unit_rows(texts, dim).astype(np.float32 if single else np.float64)
+        return pd.Series([r if p else None for r, p in zip(rows, texts.notna())], dtype=object)
 
-def l2_normalize(counts: Column) -> Column:
-    """Dense unit vector (``array<float>``) from non-negative counts; all-zero stays all-zero."""
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+    return _units(F.col(col) if isinstance(col, str) else col)
 
 
 def embed_hashing(df: DataFrame, text_col: str = "content", out_col: str = "embedding",
                   dim: int = DEFAULT_DIM) -> DataFrame:
     """E3 as an encoder: dense, L2-normalised feature-hash vectors."""
-    return df.withColumn("_cnt", hash_counts(text_col, dim)).withColumn(out_col, l2_normalize(F.col("_cnt"))) \
-        .drop("_cnt")
+    return df.withColumn(out_col, hash_unit(text_col, dim))
 
 
 def embed_hashing_long(df: DataFrame, key_cols: list[str], text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:
     """E3 in long form: ``key_cols, k, v`` for every non-zero bucket, ``v = round(n / ||n||, 6)``."""
-    counts = df.select(*key_cols, hash_counts(text_col, dim).alias("_cnt"))
-    norm = F.sqrt(F.aggregate(F.col("_cnt"), F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return counts.select(*key_cols, norm.alias("_norm"), F.posexplode("_cnt").alias("k", "n")) \
-        .filter(F.col("n") > 0) \
-        .select(*key_cols, F.col("k").cast("bigint").alias("k"), F.round(F.col("n") / F.col("_norm"), 6).alias("v"))
+    units = df.select(*key_cols, hash_unit(text_col, dim, single=False).alias("_unit"))
+    return units.select(*key_cols, F.posexplode("_unit").alias("k", "v")).filter(F.col("v") > 0) \
+        .select(*key_cols, F.col("k").cast("bigint").alias("k"), F.round("v", 6).alias("v"))
+
+
+def worker_encoder(name: str, factory: Callable[[], object]):
+    """The worker's encoder of that name, made once. A function of the module, so every task of a worker sees one cache."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = factory()
+    return _ENCODERS[name]
 
 
 def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str = "content",
-          out_col: str = "embedding", batch: int = 100) -> DataFrame:
-    """``encoder_factory()`` must return an object with ``encode(list[str]) -> array-like``."""
-    fid = id(encoder_factory)
+          out_col: str = "embedding", batch: int = 100, name: str | None = None) -> DataFrame:
+    """``encoder_factory()`` must return an object with ``encode(list[str]) -> array-like``. ``name`` tells
+    encoders of one factory (say, of several models) apart in a worker's cache."""
+    name = name or f"{encoder_factory.__module__}.{encoder_factory.__qualname__}"
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = _ENCODERS.get(fid)
-        if enc is None:
-            enc = _ENCODERS[fid] = encoder_factory()
+        enc = worker_encoder(name, encoder_factory)
         for texts in batches:
             vals = texts.fillna("").tolist()
             vecs = []

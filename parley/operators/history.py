@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.operators.joins import bounded_broadcast
 from parley.operators.ordered import ordered_scan
 from parley.session import cut_lineage
 
@@ -114,7 +113,6 @@ def resume_filter(df: DataFrame, state: DataFrame, *, channel_col: str = "channe
                   cursor_col: str = "oldest_message_id") -> DataFrame:
     """Per channel, only messages older than the saved cursor; channels without state start fresh."""
     st = state.select(F.col(channel_col).alias("_ch"), F.col(cursor_col).cast("decimal(20,0)").alias("_cur"))
-    st = bounded_broadcast(st, materialize=True)
     out = df.join(st, F.col(channel_col) == F.col("_ch"), "left")
     out = out.filter(F.col("_cur").isNull() | (F.col(id_col).cast("decimal(20,0)") < F.col("_cur")))  # cursor is text
     return out.drop("_ch", "_cur")

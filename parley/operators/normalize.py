@@ -34,7 +34,7 @@ def normalize_api(df: DataFrame, keep: tuple[str, ...] = (), _saved: bool = Fals
         _str(df, "channel_id").alias("channel_id"),
         (F.coalesce(F.col("attachments"), _empty_att()) if "attachments" in cols else _empty_att()).alias("attachments"),
         (flatten_reactions("reactions") if "reactions" in cols else flatten_reactions(F.lit(None)
-                                                                                      .cast("array<struct<emoji:struct<id:string,name:string>,count:bigint>>"))).alias("reactions"),
+                                                                                      .cast("array<struct<emoji:string,count:bigint>>"))).alias("reactions"),
         (mention_ids("mentions") if "mentions" in cols else mention_ids(F.lit(None).cast("string"))).alias("mentions"),
         (F.coalesce(F.col("source"), F.lit("discord")) if _saved and "source" in cols
          else F.lit("discord")).alias("source"),

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.redact import Pattern, has_required, matches, redact_pii, resolve_patterns
-from parley.operators.joins import bounded_broadcast
 
 
 def drop_empty_content(df: DataFrame, content_col: str = "content") -> DataFrame:
@@ -21,11 +20,10 @@ def exclude_opted_out(df: DataFrame, optout: DataFrame, author_col: str = "autho
                       author_id_col: str | None = None, user_col: str = "user_id") -> DataFrame:
     """Drop rows whose author (or author id) is in the opt-out registry. Null authors survive.
 
-    Two ``left_anti`` joins rather than one OR condition, so both stay hash joins; the registry is
-    broadcast only when a count proves it small.
+    Two ``left_anti`` joins rather than one OR condition, so both stay equi-joins. Adaptive execution broadcasts the
+    registry if its measured bytes are small, and splits the messages of a very frequent author otherwise.
     """
     reg = optout.select(F.col(user_col).cast("string").alias("_optout")).distinct()
-    reg = bounded_broadcast(reg)
     out = df.join(reg, F.col(author_col).cast("string") == F.col("_optout"), "left_anti")
     if author_id_col:
         out = out.join(reg, F.col(author_id_col).cast("string") == F.col("_optout"), "left_anti")
@@ -37,7 +35,12 @@ def apply_privacy(df: DataFrame, optout: DataFrame | None = None, *, content_col
                   patterns: Sequence[Pattern | dict | tuple] | None = None,
                   added: Iterable[Pattern | dict | tuple] = (), redact: bool = True,
                   changed_col: str | None = None) -> DataFrame:
-    """Opt-out drop, then redaction of the content if enabled; other fields untouched."""
+    """Opt-out drop, then redaction of the content if enabled; other fields untouched.
+
+    The registry names users by name or by id: a column ``author_id``, if there, is compared as well.
+    """
+    if author_id_col is None and "author_id" in df.columns:
+        author_id_col = "author_id"
     out = exclude_opted_out(df, optout, author_col, author_id_col) if optout is not None else df
     if redact:
         # the chain is evaluated once into a column; the flag and the content both read it

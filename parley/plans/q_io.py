@@ -28,30 +28,26 @@ from parley.streaming.ingest import (collection_stream, file_table_stream, inges
 _STATE_TIME = dt.datetime(2025, 1, 1, 0, 0, 0)
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+CONVERSATIONS = 20
 
 
 def _conversation_batches(spark, sf) -> str:
-    """Conversation turns saved as batch files: one JSON array per conversation, author as a plain
-    string, naive timestamps (the saved-message shape). Written once per application and table dir."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key in _WRITTEN:
-        return _WRITTEN[key]
+    """Conversation turns saved as batch files: ``CONVERSATIONS`` conversations a batch, in pages of 100 messages, one
+    JSON array a page; author as a plain string, naive timestamps (the saved-message shape)."""
     out = shared_dir(spark, "batches")
     c = conversations_as_messages(spark, sf)
-    saved = c.select(F.col("conv_id").alias("batch"), F.col("turn"), F.col("id").cast("string").alias("id"),
+    saved = c.select(F.floor(F.col("conv_id") / CONVERSATIONS).alias("batch"), F.col("turn"), F.col("id").alias("place"), F.col("id").cast("string").alias("id"),
                      "content", "author",
                      F.concat(F.lit("2025-01-01T12:00:"), F.lpad(F.col("turn").cast("string"), 2, "0")).alias("timestamp"),
                      "channel_id")
-    write_batch_files(saved, out, "batch", "turn")
-    _WRITTEN[key] = out
+    write_batch_files(saved, out, "batch", "place")
     return out
 
 
+_PLACED = f"""(select *, conv_id // {CONVERSATIONS} batch,
+       row_number() over (partition by conv_id // {CONVERSATIONS} order by id) - 1 place from {CONV_SQL})"""
 _BATCH_ORACLE = f"""
-select cast(id as varchar) id, author, content, channel_id, conv_id batch,
-       cast(row_number() over (partition by conv_id order by turn) - 1 as integer) pos
-from {CONV_SQL}"""
+select cast(id as varchar) id, author, content, channel_id, batch, cast(place % 100 as integer) pos from {_PLACED}"""
 _BATCH_COLS = ("id", "author", "content", "channel_id", "batch", "pos")
 
 
@@ -59,16 +55,16 @@ _BATCH_COLS = ("id", "author", "content", "channel_id", "batch", "pos")
 def q_read_message_batches(spark, sf):
     """The batch files read back in one multi-file scan and normalised."""
     path = _conversation_batches(spark, sf)
-    raw = read_message_batches(spark, path, glob="part-*")
+    raw = read_message_batches(spark, path)  # the default reader finds what the default writer wrote
     return normalize_saved(raw, keep=("batch", "pos")).select(*_BATCH_COLS)
 
 
 @register("ingest_stream", _BATCH_ORACLE)
 def q_ingest_stream(spark, sf):
-    """The same files through a restartable file stream (10 files per micro-batch) into parquet."""
+    """The same files through a restartable file stream (25 files per micro-batch) into parquet."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "ingest_out"), shared_dir(spark, "ingest_ckpt")
-    ingest_stream(spark, path, out, ckpt, glob="part-*", max_files_per_trigger=25)
+    ingest_stream(spark, path, out, ckpt, max_files_per_trigger=25)
     return spark.read.parquet(out).select(*_BATCH_COLS)
 
 
@@ -79,7 +75,7 @@ def q_privacy_stream(spark, sf):
     """R2: the batch-file stream through drop-empty, opt-out (stream-static anti join) and redaction."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "privacy_out"), shared_dir(spark, "privacy_ckpt")
-    s = privacy_stream(message_file_stream(spark, path, "part-*", 25), _users(spark, ("system",)))
+    s = privacy_stream(message_file_stream(spark, path, max_files_per_trigger=25), _users(spark, ("system",)))
     q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -91,7 +87,7 @@ def q_progress_stream(spark, sf):
     """Running per-channel counters maintained by a streaming aggregation."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "progress_out"), shared_dir(spark, "progress_ckpt")
-    progress_stream(message_file_stream(spark, path, "part-*", 25), out, ckpt)
+    progress_stream(message_file_stream(spark, path, max_files_per_trigger=25), out, ckpt)
     return latest_progress(spark, out)
 
 
@@ -130,6 +126,34 @@ def q_collection_stream(spark, sf):
     return open_collection(spark, root, "vectors").select("id", F.col("metadata.author").alias("author"))
 
 
+@register("collection_stream_after_load", """
+select cast(vec_id as varchar) id, case when label = 0 then 'batch' else 'stream' end origin from embeddings""")
+def q_collection_stream_after_load(spark, sf):
+    """K2 + R3: a batch load of the label-0 vectors, then a stream of all of them, then the same stream from a new
+    checkpoint: every id is stored once, by whoever came first."""
+    from parley.sources.collection import collection_add
+    rows = _embedding_rows(spark, sf)
+    src, root = shared_dir(spark, "vector_files"), shared_dir(spark, "collections")
+    rows.drop("label").write.mode("overwrite").parquet(src)
+    collection_add(rows.filter(F.col("label") == 0).drop("label"), root, "vectors", 0)
+    for name in ("first", "second"):
+        stream = file_table_stream(spark, src, rows.drop("label").schema, max_files_per_trigger=2)
+        collection_stream(stream, root, "vectors", shared_dir(spark, f"collection_ckpt_{name}"))
+    return open_collection(spark, root, "vectors").select("id", F.split("source", "-")[0].alias("origin"))
+
+
+@register("collection_backfill", """
+select cast(vec_id as varchar) id, cast(case when label <= 4 then 2 else 1 end as bigint) load_id from embeddings""")
+def q_collection_backfill(spark, sf):
+    """Load 2 (labels up to 4) comes before load 1 (all vectors): the later load 1 adds only what is missing."""
+    from parley.sources.collection import collection_add
+    root = shared_dir(spark, "collections")
+    rows = _embedding_rows(spark, sf)
+    collection_add(rows.filter(F.col("label") <= 4).drop("label"), root, "vectors", 2)
+    collection_add(rows.drop("label"), root, "vectors", 1)
+    return open_collection(spark, root, "vectors").select("id", "load_id")
+
+
 @register("build_collection", f"""
 select cast(id as varchar) id, {default_chain_sql('content')} document, author
 from {DOCS_SQL} where content is not null and content <> ''
@@ -154,6 +178,20 @@ def q_ingest_history(spark, sf):
     return st.select("channel_id", "oldest_message_id", "batch_count", "total_messages")
 
 
+@register("ingest_resume", f"""
+select channel_id, id, page, cast(min(id) over (partition by channel_id) as varchar) oldest_message_id,
+       max(page) over (partition by channel_id) batch_count, count(*) over (partition by channel_id) total_messages
+from {_FILTERED_PAGES_SQL}""")
+def q_ingest_resume(spark, sf):
+    """M2 + S4 + F6: a run that ends after two pages a channel, then one that goes on from its state: pages and counters
+    are those of one whole run."""
+    out, state = shared_dir(spark, "history"), shared_dir(spark, "state")
+    for pages in (2, None):
+        ingest_history(events_as_messages(spark, sf), out, state, start=START, end=END, when=_STATE_TIME, max_pages=pages)
+    stored = spark.read.parquet(out).select("channel_id", "id", "page")
+    return stored.join(load_ingest_state(spark, state).drop("last_updated"), "channel_id")
+
+
 @register("read_opt_out", "select distinct source user_id from documents")
 def q_read_opt_out(spark, sf):
     """S3: the authors written as a text registry (padded, with blank lines), read back."""
@@ -180,12 +218,13 @@ def q_encrypt_files(spark, sf):
 
 
 @register("ingest_state_stream", f"""
-select channel_id, cast(min(id) as varchar) oldest_message_id, cast(1 as bigint) batch_count, count(*) total_messages
-from {CONV_SQL} group by all""")
+select channel_id, cast(min(id) as varchar) oldest_message_id, count(distinct (batch, place // 100)) batch_count,
+       count(*) total_messages
+from {_PLACED} group by all""")
 def q_ingest_state_stream(spark, sf):
     """K3 + S4 on a stream: per-channel state saved after every micro-batch, latest record read back."""
     path = _conversation_batches(spark, sf)
     state, ckpt = shared_dir(spark, "state_stream"), shared_dir(spark, "state_stream_ckpt")
-    ingest_state_stream(message_file_stream(spark, path, "part-*", 25), state, ckpt)
+    ingest_state_stream(message_file_stream(spark, path, max_files_per_trigger=25), state, ckpt)
     st = load_ingest_state(spark, state)
     return st.select("channel_id", "oldest_message_id", "batch_count", "total_messages")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parley.functions.messages import embed_test, message_metadata
 from parley.operators.embed import embed_hashing_long
-from parley.operators.parallel import spread
 from parley.operators.normalize import normalize_api, normalize_saved, serialize_messages, validate_source
 from parley.plans.registry import register
 from parley.plans.tables import CONV_SQL, EVENTS_SQL, conversations_as_messages, events_as_messages
@@ -47,7 +46,7 @@ def q_embed_hashing(spark, sf):
 def _event_messages(spark, sf):
     """Events as canonical messages with derived lists: a reaction when value > 25, the author
     mentioned on clicks, an attachment on purchases."""
-    e = spread(events_as_messages(spark, sf))  # row-wise JSON work: use every core
+    e = events_as_messages(spark, sf)
     att = F.when(F.col("channel_id") == "purchase",
                  F.array(F.struct(F.col("id").cast("string").alias("id"), F.lit("receipt.png").alias("filename"),
                                   F.lit(25000).cast("bigint").alias("size"), F.lit("").alias("url"),
@@ -82,24 +81,39 @@ def q_message_metadata(spark, sf):
 
 
 @register("serialize_roundtrip", f"""
-select cast(id as varchar) id, author, "timestamp", channel_id, 'value ' || cast(value as varchar) content
+select cast(id as varchar) id, author, "timestamp", channel_id, 'value ' || cast(value as varchar) content,
+       case when channel_id = 'purchase' then 'receipt.png' end attachment_name,
+       case when channel_id = 'purchase' then cast(25000 as bigint) end attachment_size,
+       case when value > 25 then '👍' end emoji, case when value > 25 then cast(floor(value) as bigint) end reaction_count,
+       case when channel_id = 'click' then author end mention, 'discord' as source
 from {EVENTS_SQL}""")
 def q_serialize_roundtrip(spark, sf):
     """N3 then N2: canonical -> JSON document -> canonical gives the same fields back."""
     m = _event_messages(spark, sf)
     js = serialize_messages(m)
     back = normalize_saved(js.select(F.from_json("json", RAW_MESSAGE).alias("r")).select("r.*"))
+    first = {c: F.try_element_at(F.col(c), F.lit(1)) for c in ("attachments", "reactions", "mentions")}
     return back.select("id", "author", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "channel_id",
-                       "content")
+                       "content", first["attachments"]["filename"].alias("attachment_name"),
+                       first["attachments"]["size"].alias("attachment_size"), first["reactions"]["emoji"].alias("emoji"),
+                       first["reactions"]["count"].alias("reaction_count"), first["mentions"].alias("mention"), "source")
+
+
+_FILE_JSON = ('[{"id":"\' || id || \'","filename":"receipt.png","size":25000,"url":"","proxy_url":"","width":512,'
+              '"height":512,"content_type":"image/png"}]')
 
 
 @register("serialize_messages", f"""
-select cast(id as varchar) id, length({_ISO_SQL}) ts_len from {EVENTS_SQL}""")
+select cast(id as varchar) id, '{{"id":"' || id || '","content":"value ' || value || '","author":"' || author
+       || '","timestamp":"' || {_ISO_SQL} || '","channel_id":"' || channel_id || '","attachments":'
+       || case when channel_id = 'purchase' then '{_FILE_JSON}' else '[]' end || ',"reactions":'
+       || case when value > 25 then '[{{"emoji":"👍","count":' || cast(floor(value) as bigint) || '}}]' else '[]' end
+       || ',"mentions":' || case when channel_id = 'click' then '["' || author || '"]' else '[]' end
+       || ',"source":"discord"}}' as json
+from {EVENTS_SQL}""")
 def q_serialize_messages(spark, sf):
-    """The JSON documents themselves; checked here through the length of the ISO timestamp and
-    fully by the round trip above."""
-    js = serialize_messages(_event_messages(spark, sf))
-    return js.select("id", F.length(F.get_json_object("json", "$.timestamp")).cast("bigint").alias("ts_len"))
+    """The JSON documents themselves."""
+    return serialize_messages(_event_messages(spark, sf)).select("id", "json")
 
 
 def _api_json(spark, sf):
@@ -118,6 +132,10 @@ def _api_json(spark, sf):
     return c.select(F.to_json(doc).alias("json"))
 
 
+def normalized_api(spark, sf):
+    return normalize_api(_api_json(spark, sf).select(F.from_json("json", RAW_MESSAGE).alias("r")).select("r.*"))
+
+
 @register("normalize_api", f"""
 select cast(id as varchar) id, content, author, 'u' || cast(conv_id as varchar) || '_' || author author_id,
        timestamp '2025-01-01 12:00:00' + to_seconds(turn) "timestamp", channel_id,
@@ -125,8 +143,7 @@ select cast(id as varchar) id, content, author, 'u' || cast(conv_id as varchar)
 from {CONV_SQL}""")
 def q_normalize_api(spark, sf):
     """API JSON -> canonical (author name from the object, mention ids, flattened reactions)."""
-    raw = _api_json(spark, sf).select(F.from_json("json", RAW_MESSAGE).alias("r")).select("r.*")
-    n = normalize_api(raw)
+    n = normalized_api(spark, sf)
     return n.select("id", "content", "author", "author_id",
                     F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "channel_id",
                     F.col("mentions")[0].alias("mention0"), F.size("mentions").alias("n_mentions"),

@@ -32,7 +32,7 @@ def _single(kind: str):
 
     def q(spark, sf):
         d = documents_as_messages(spark, sf)
-        return d.select("id", R.redact_with(F.col("content"), pat).alias("content"))
+        return d.select("id", getattr(R, f"redact_{kind}")("content").alias("content"))
 
     register(f"redact_{kind}", f"select id, {redact_sql('content', pat)} content from {DOCS_SQL}")(q)
 
@@ -108,6 +108,31 @@ def q_apply_privacy(spark, sf):
     return out.select("id", "author", "content", "changed")
 
 
+NAMED = R.Pattern("secret", r'(?P<key_name>token)(\s*=\s*)"(?P<digits>[0-9a-f]+)"', r'\g<key_name>\2"[\g<key_name>]"')
+
+
+@register("redact_named_groups", f"""
+select id, regexp_replace(content, '(token)(\\s*=\\s*)"([0-9a-f]+)"', '\\1\\2"[\\1]"', 'gi') content from {DOCS_SQL}""")
+def q_redact_named_groups(spark, sf):
+    """A pattern with named groups and references to them."""
+    d = documents_as_messages(spark, sf)
+    return d.select("id", R.redact_pii("content", patterns=[NAMED]).alias("content"))
+
+
+OPT_OUT_IDS = ("u3_user", "u7_assistant")
+
+
+@register("opt_out_by_id", f"""
+select cast(id as varchar) id, author, 'u' || conv_id || '_' || author author_id from {CONV_SQL}
+where content is not null and content <> ''
+  and 'u' || conv_id || '_' || author not in (select user_id from {_values_sql(OPT_OUT_IDS)})""")
+def q_opt_out_by_id(spark, sf):
+    """Q3 in M4 and R2: only the user ids are in the registry, the messages carry names and ids."""
+    from parley.plans.q_messages import normalized_api
+    msgs = drop_empty_content(normalized_api(spark, sf))
+    return apply_privacy(msgs, _users(spark, OPT_OUT_IDS), redact=False).select("id", "author", "author_id")
+
+
 _REGISTRY_SQL = "(select distinct source user_id from documents)"
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.messages import truncate_display
 from parley.operators.embed import embed_hashing
 from parley.operators.privacy import apply_privacy, drop_empty_content
-from parley.operators.search import format_results, hydrate, search_batch
+from parley.operators.search import display_results, format_results, hydrate, search_batch, search_topk
+from parley.plans.jobs import build_collection, search_text
 from parley.plans.oracle_sql import default_chain_sql
 from parley.plans.registry import register
 from parley.plans.tables import documents_as_messages, table
+from parley.session import shared_dir
+from parley.sources.collection import open_collection
 
 K = 5
 QUERY_VEC_ID = 0
@@ -49,7 +51,7 @@ def _all_queries(spark, sf):
 for _m in ("l2", "cosine", "ip"):
     def _mk(metric):
         def q(spark, sf):
-            return search_batch(_collection(spark, sf), _queries_one(spark, sf), K, metric)
+            return search_topk(_collection(spark, sf), _queries_one(spark, sf), K, metric)
         return q
 
     register(f"search_topk_{_m}", _topk_sql(_m, f"where vec_id = {QUERY_VEC_ID}"))(_mk(_m))
@@ -64,7 +66,7 @@ def q_search_batch(spark, sf):
 _HYDRATE_SQL = f"""
 with t as ({_topk_sql('l2')})
 select t.qid, t.rank, t.id, d.text document, t.distance, t.similarity
-from t join documents d on d.doc_id = t.id"""
+from t left join documents d on d.doc_id = t.id"""
 
 
 @register("search_documents", _HYDRATE_SQL)
@@ -78,15 +80,17 @@ def q_search_documents(spark, sf):
 
 @register("display_results", f"""
 with h as ({_HYDRATE_SQL})
-select qid, rank, id,
+select h.qid, h.rank, h.id,
        case when length(document) > 100 then substring(document, 1, 97) || '...' else document end content,
-       printf('%.2f', round(similarity, 2)) similarity
-from h""")
+       printf('%.2f', round(similarity, 2)) similarity, coalesce(d.source, 'unknown') author, 'unknown' as "timestamp"
+from h left join documents d on d.doc_id = h.id""")
 def q_display_results(spark, sf):
-    """The CLI table projection of search results."""
-    h = q_search_documents(spark, sf)
-    return h.select("qid", "rank", "id", truncate_display("document").alias("content"),
-                    F.format_string("%.2f", F.round("similarity", 2)).alias("similarity"))
+    """The CLI table projection of search results, with author and time."""
+    res = search_batch(_collection(spark, sf), _all_queries(spark, sf), K, "l2")
+    docs = table(spark, sf, "documents").withColumn("metadata", F.struct(
+        F.col("source").alias("author"), F.lit(None).cast("string").alias("timestamp")))
+    h = hydrate(res, docs, doc_id_col="doc_id", document_col="text", metadata_cols=("metadata",))
+    return display_results(h.select("qid", "rank", "id", F.col("document").alias("content"), "metadata", "similarity"))
 
 
 def _hash_vectors_sql(src: str, key: str, text: str) -> str:
@@ -125,10 +129,37 @@ def search_text_plan(spark, sf):
 register("search_text", _SEARCH_TEXT_SQL)(search_text_plan)
 
 
+@register("search_text_stored", f"""
+with red as (select doc_id, source, {default_chain_sql('text')} t from documents where text is not null and text <> ''),
+e as {_hash_vectors_sql('red', 'doc_id', 't')},
+q as {_hash_vectors_sql('benchmark', 'item_id', 'text')},
+d as (select q.key qid, e.key::varchar id, {_DIST_SQL['l2']} d from e, q),
+r as (select *, row_number() over (partition by qid order by round(d, 6), id) rk from d)
+select qid, cast(rk as integer) rank, id, red.t document, red.source author, round(d, 6) + 0.0 distance
+from r join red on red.doc_id::varchar = id where rk <= {K}""")
+def q_search_text_stored(spark, sf):
+    """M1 then M3: documents loaded into a stored collection (ids are text), searched by the benchmark texts."""
+    root = shared_dir(spark, "collections")
+    msgs = documents_as_messages(spark, sf).withColumn("id", F.col("id").cast("string"))
+    build_collection(msgs, root, "documents", load_id=1)
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    out = search_text(open_collection(spark, root, "documents"), texts, K)
+    return out.select("qid", "rank", "id", "document", F.col("metadata.author").alias("author"), "distance")
+
+
+@register("collection_count", "select count(*) n from documents where text is not null and text <> ''")
+def q_collection_count(spark, sf):
+    """A1: the number of stored vectors after a load."""
+    root = shared_dir(spark, "collections")
+    msgs = documents_as_messages(spark, sf).withColumn("id", F.col("id").cast("string"))
+    n = build_collection(msgs, root, "documents", load_id=1)
+    return spark.createDataFrame([(n,)], "n bigint")
+
+
 @register("format_results", f"""
 with t as ({_topk_sql('l2')})
 select t.qid, t.rank, d.text content, e.label metadata_label, t.similarity
-from t join documents d on d.doc_id = t.id join embeddings e on e.vec_id = t.id""")
+from t left join (documents d join embeddings e on e.vec_id = d.doc_id) on d.doc_id = t.id""")
 def q_format_results(spark, sf):
     """``content, metadata, similarity`` per result, metadata carried from the collection."""
     res = search_batch(_collection(spark, sf), _all_queries(spark, sf), K, "l2")

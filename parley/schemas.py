@@ -12,12 +12,11 @@ ATTACHMENT = T.StructType([
 ])
 ATTACHMENT_ARRAY = T.ArrayType(ATTACHMENT)
 RAW_REACTION = T.StructType([
-    T.StructField("emoji", T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())])),
-    T.StructField("count", T.LongType()),
+    T.StructField("emoji", T.StringType()), T.StructField("count", T.LongType()),
 ])
 REACTION = T.StructType([T.StructField("emoji", T.StringType()), T.StructField("count", T.LongType())])
 
-# author and mentions are read as text: an object stays JSON text, a plain string stays itself
+# author, mentions and a reaction's emoji are read as text: an object stays JSON text, a plain string stays itself
 RAW_MESSAGE = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("content", T.StringType()),
     T.StructField("author", T.StringType()), T.StructField("timestamp", T.StringType()),

@@ -6,6 +6,7 @@ Everything in the library is lazy DataFrame code; only this module touches sessi
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,14 +47,16 @@ def ensure_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location (``spark.checkpoint.dir``).
 
-    The setting is read from the session; only when it is unset (local tests) is a folder under the
-    system temp directory taken and registered, so lineage cuts and streaming checkpoints always land
-    on storage every executor can see.
+    The setting is read from the session. Where it is unset a local master gets a folder under the system temp
+    directory; on a cluster that folder would be another one on each machine, so an unset setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on a cluster (master {master})")
         base = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)

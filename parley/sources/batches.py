@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from parley.schemas import RAW_MESSAGE
 
-BATCH_GLOB = "messages_batch_*.json"
+# the reference's names, and the files of our own writers
+BATCH_GLOB = "{messages_batch_*.json,part-*}"
 
 
 def parse_batch_files(files: DataFrame, schema: T.StructType = RAW_MESSAGE) -> DataFrame:
@@ -29,7 +30,12 @@ def parse_batch_files(files: DataFrame, schema: T.StructType = RAW_MESSAGE) -> D
     parsed = files.select(F.col("path").alias("file"),
                           F.when(batch != "", batch.cast("bigint")).alias("batch"),
                           arr.alias("_msgs"))
-    return parsed.select("file", "batch", F.posexplode("_msgs").alias("pos", "_m")).select("file", "batch", "pos", "_m.*")
+    # a file is a page, so looking up each row's channel among the page's is bounded work
+    channels = F.transform("_msgs", lambda m: F.coalesce(m["channel_id"], F.lit(""))) if "channel_id" in schema.names \
+        else F.transform("_msgs", lambda m: F.lit(""))
+    rows = parsed.select("file", "batch", channels.alias("_ch"), F.posexplode("_msgs").alias("pos", "_m"))
+    opens = F.array_position("_ch", F.element_at("_ch", F.col("pos") + 1)) == F.col("pos") + 1
+    return rows.select("file", "batch", "pos", opens.alias("opens"), "_m.*")
 
 
 def read_message_batches(spark: SparkSession, path: str, glob: str = BATCH_GLOB,
@@ -56,7 +62,7 @@ def write_batch_files(df: DataFrame, path: str, batch_col: str, order_col: str,
 
 
 def write_message_batches(df: DataFrame, path: str, *, channel_col: str = "channel_id", batch_col: str = "page",
-                          fmt: str = "parquet", per_batch_files: bool = False) -> None:
+                          fmt: str = "parquet", per_batch_files: bool = False, mode: str = "overwrite") -> None:
     """K1: write pages of messages.
 
     Default: columnar files partitioned by channel, the page number kept as a column (no small-files
@@ -64,7 +70,7 @@ def write_message_batches(df: DataFrame, path: str, *, channel_col: str = "chann
     ``channel_id=../page=../`` JSON parts, for small exports.
     """
     if per_batch_files:
-        (df.repartition(channel_col, batch_col).write.mode("overwrite")
+        (df.repartition(channel_col, batch_col).write.mode(mode)
          .partitionBy(channel_col, batch_col).format("json").save(path))
     else:
-        df.write.mode("overwrite").partitionBy(channel_col).format(fmt).save(path)
+        df.write.mode(mode).partitionBy(channel_col).format(fmt).save(path)

@@ -1,8 +1,9 @@
 """The vector collection as a parquet table.
 
-Layout: ``<root>/<name>/load_id=<n>/part-*.parquet`` with the COLLECTION columns. Adding is
-insert-if-absent (first write of an id wins) and idempotent per ``load_id``: a retried load rewrites
-its own partition only and is compared against earlier loads only.
+Layout: ``<root>/<name>/source=<s>/load_id=<n>/part-*.parquet`` with the COLLECTION columns. A load is named by its
+source (``batch`` for jobs, the query's id for a stream) and its number within it, so loads of different origin never
+share a folder. Adding is insert-if-absent against every other load, in whatever order loads come: the first write of
+an id wins. A load that is named again is refused, unless it is a retry: that rewrites its own folder only.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from parley.operators.joins import bounded_broadcast
 from parley.schemas import COLLECTION
 from parley.session import cut_lineage
+from parley.sources.registry import is_missing
+
+BATCH_SOURCE = "batch"
+STORED = T.StructType([*COLLECTION.fields, T.StructField("source", T.StringType()), T.StructField("load_id", T.LongType())])
 
 
 def collection_path(root: str, name: str) -> str:
@@ -25,46 +30,54 @@ def collection_path(root: str, name: str) -> str:
 def open_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Get-or-create: the stored rows, or an empty frame with the COLLECTION schema."""
     try:
-        return spark.read.parquet(collection_path(root, name))
-    except AnalysisException:
-        return spark.createDataFrame([], COLLECTION).withColumn("load_id", F.lit(None).cast("bigint"))
+        return spark.read.schema(STORED).parquet(collection_path(root, name))
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        return spark.createDataFrame([], STORED)
 
 
 def dedup_first(df: DataFrame, id_col: str = "id", order_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Keep one row per id: the first in ``order_cols`` (file, position...), else any."""
-    if not order_cols:
-        return df.dropDuplicates([id_col])
+    """One row per id: the first in ``order_cols`` (file, position...), then in the order of its other columns, so that
+    the same rows always give the same one."""
     others = [c for c in df.columns if c != id_col]
-    first = F.min_by(F.struct(*others), F.struct(*[F.col(c) for c in order_cols]))
+    rank = F.struct(*[F.col(c) for c in (*order_cols, *[c for c in others if c not in order_cols])])
+    first = F.min_by(F.struct(*others), rank)
     return df.groupBy(id_col).agg(first.alias("_r")).select(id_col, "_r.*")
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows of ``incoming`` whose id is not stored yet.
+    """Rows of ``incoming`` whose id is not stored yet (J2). Rows without an id cannot be told apart and are left out.
 
-    The stored table can be far larger than a load. When the load's ids are proven small they are
-    broadcast into a semi join over the stored ids column only, so the stored table is scanned
-    (one column) but never shuffled; otherwise a plain anti join.
+    Only the id column of the stored table is read. Adaptive execution picks the join from measured bytes: a small load
+    turns it into a broadcast of the load's side, so the stored ids are scanned and not shuffled.
     """
-    ids = incoming.select(F.col(id_col).alias("_nid")).distinct()
-    small = bounded_broadcast(ids)
-    if small is not ids:
-        hit = stored.select(F.col(id_col).alias("_nid")).join(small, "_nid", "left_semi").distinct()
-        return incoming.join(F.broadcast(hit), F.col(id_col) == F.col("_nid"), "left_anti")
-    return incoming.join(stored.select(F.col(id_col).alias("_nid")), F.col(id_col) == F.col("_nid"), "left_anti")
+    named = incoming.filter(F.col(id_col).isNotNull())
+    ids = named.select(F.col(id_col).alias("_nid")).distinct()
+    known = stored.select(F.col(id_col).alias("_nid")).join(ids, "_nid", "left_semi").distinct()
+    return named.join(known, F.col(id_col) == F.col("_nid"), "left_anti")
 
 
 def collection_add(incoming: DataFrame, root: str, name: str, load_id: int, *, id_col: str = "id",
-                   order_cols: tuple[str, ...] = ()) -> int:
-    """K2: append the rows whose id is new; returns the number of rows written by this load."""
+                   order_cols: tuple[str, ...] = (), source: str = BATCH_SOURCE, retry: bool = False) -> int:
+    """K2: append the rows whose id is new; returns the number of rows written by this load.
+
+    ``order_cols`` (columns of ``incoming``) say which row of an id comes first within the load.
+    """
     spark = incoming.sparkSession
-    stored = open_collection(spark, root, name).filter(F.col("load_id") < F.lit(load_id))
-    # the load (embeddings included) is computed once: the id count and the write both read this
-    batch = cut_lineage(dedup_first(incoming, id_col, order_cols).select(*[c.name for c in COLLECTION.fields]))
-    fresh = new_rows(batch, stored, id_col).withColumn("load_id", F.lit(load_id).cast("bigint"))
-    (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("load_id").parquet(collection_path(root, name)))
-    return spark.read.parquet(collection_path(root, name)).filter(F.col("load_id") == load_id).count()
+    own = (F.col("source") == F.lit(source)) & (F.col("load_id") == F.lit(int(load_id)))
+    stored = open_collection(spark, root, name)
+    if not retry and stored.filter(own).limit(1).count():
+        raise ValueError(f"load {source}/{load_id} of {name} is stored already")
+    columns = [c.name for c in COLLECTION.fields]
+    extra = [c for c in order_cols if c not in columns]
+    # the load (embeddings included) is computed once: the id join and the write both read this
+    batch = cut_lineage(dedup_first(incoming.select(*columns, *extra), id_col, order_cols).select(*columns))
+    fresh = cut_lineage(new_rows(batch, stored.filter(~own), id_col))
+    named = fresh.withColumn("source", F.lit(source)).withColumn("load_id", F.lit(int(load_id)).cast("bigint"))
+    (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("source", "load_id").parquet(collection_path(root, name)))
+    return fresh.count()
 
 
 def collection_count(spark: SparkSession, root: str, name: str) -> int:

@@ -11,11 +11,18 @@ from pyspark.sql.utils import AnalysisException
 from parley.schemas import INGEST_STATE
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Only a path that does not exist is an absent registry, state or collection; anything else is an error."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "PATH_DOES_NOT_EXIST")
+
+
 def read_opt_out(spark: SparkSession, path: str, user_col: str = "user_id") -> DataFrame:
     """S3: one id per line, trimmed, blank lines skipped; a missing file is an empty registry."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return spark.createDataFrame([], f"{user_col} string")
     v = F.trim(F.col("value"))
     return lines.select(v.alias(user_col)).filter(F.length(user_col) > 0).distinct()
@@ -38,7 +45,9 @@ def load_ingest_state(spark: SparkSession, path: str, channel: str | None = None
     try:
         # one pretty-printed object per file (reference checkpoint) or JSON lines (our sink)
         raw = read(True).unionByName(read(False))
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return spark.createDataFrame([], INGEST_STATE)
     ok = raw.filter(F.col("_corrupt").isNull() & F.col("channel_id").isNotNull()).drop("_corrupt").distinct()
     if channel is not None:
@@ -46,7 +55,10 @@ def load_ingest_state(spark: SparkSession, path: str, channel: str | None = None
     rec = F.struct(F.col("oldest_message_id"), F.coalesce("batch_count", F.lit(0).cast("bigint")).alias("batch_count"),
                    F.coalesce("total_messages", F.lit(0).cast("bigint")).alias("total_messages"),
                    F.col("last_updated").try_cast("timestamp").alias("last_updated"))
-    latest = ok.groupBy("channel_id").agg(F.max_by(rec, F.col("last_updated").try_cast("timestamp")).alias("s"))
+    # a record without a time is older than any with one; of equal times the one with more messages counts
+    age = F.struct(F.col("last_updated").try_cast("timestamp").alias("at"), F.coalesce("total_messages", F.lit(0)).alias("n"),
+                   F.coalesce("batch_count", F.lit(0)).alias("b"))
+    latest = ok.groupBy("channel_id").agg(F.max_by(rec, age).alias("s"))
     return latest.select("channel_id", "s.*")
 
 

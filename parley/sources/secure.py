@@ -7,33 +7,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _key(key: bytes | str):
+def _key(spark: SparkSession, key: bytes | str) -> Column:
+    """The key as a scalar subquery over a one-row table: plans, logs and events name its column, not its bytes."""
     k = key.encode() if isinstance(key, str) else bytes(key)
     if len(k) not in (16, 24, 32):
         raise ValueError("AES key must be 16, 24 or 32 bytes")
-    return F.lit(k)
+    return spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(k),)], 1), "aes_key binary").scalar()
 
 
-def encrypt_rows(df: DataFrame, cols: Sequence[str], key: bytes | str, *, keep: Sequence[str] = (),
+def encrypt_rows(df: DataFrame, cols: Sequence[str], key: bytes | str | None, *, keep: Sequence[str] = (),
                  out_col: str = "blob") -> DataFrame:
-    """K4: JSON of the chosen columns (non-ASCII kept as is), encrypted, base64 text."""
+    """K4: JSON of the chosen columns (non-ASCII kept as is), encrypted, base64 text. Without a key (encryption off)
+    the JSON itself."""
     payload = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
-    blob = F.base64(F.aes_encrypt(F.encode(payload, "UTF-8"), _key(key), F.lit("GCM")))
+    if key is None:
+        return df.select(*keep, payload.alias(out_col))
+    blob = F.base64(F.aes_encrypt(F.encode(payload, "UTF-8"), _key(df.sparkSession, key), F.lit("GCM")))
     return df.select(*keep, blob.alias(out_col))
 
 
-def decrypt_rows(df: DataFrame, key: bytes | str, schema: T.StructType | str, *, keep: Sequence[str] = (),
+def decrypt_rows(df: DataFrame, key: bytes | str | None, schema: T.StructType | str, *, keep: Sequence[str] = (),
                  blob_col: str = "blob", on_error: str = "raise") -> DataFrame:
     """Decrypt and parse. ``on_error='raise'`` fails the job on a bad blob (reference behaviour);
-    ``'null'`` yields null columns instead."""
-    raw = F.unbase64(F.col(blob_col))
-    plain = F.aes_decrypt(raw, _key(key), F.lit("GCM")) if on_error == "raise" \
-        else F.try_aes_decrypt(raw, _key(key), F.lit("GCM"))
+    ``'null'`` yields null columns instead. Without a key the column holds plain JSON."""
+    if key is None:
+        plain = F.col(blob_col)
+    else:
+        decrypt = F.aes_decrypt if on_error == "raise" else F.try_aes_decrypt
+        plain = decrypt(F.unbase64(F.col(blob_col)), _key(df.sparkSession, key), F.lit("GCM"))
     parsed = F.from_json(plain.cast("string"), schema)
     return df.select(*keep, parsed.alias("_d")).select(*keep, "_d.*")
 
@@ -45,7 +51,7 @@ def encrypt_files(spark: SparkSession, in_dir: str, out: str, key: bytes | str,
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(in_dir))
     cols = [F.element_at(F.split("path", "/"), -1).alias("name"),
-            F.aes_encrypt(F.col("content"), _key(key), F.lit("GCM")).alias("blob")]
+            F.aes_encrypt(F.col("content"), _key(spark, key), F.lit("GCM")).alias("blob")]
     if keep_path:
         cols.append(F.col("path").alias("source_path"))
     files.select(*cols).write.mode("overwrite").parquet(out)
@@ -55,4 +61,4 @@ def encrypt_files(spark: SparkSession, in_dir: str, out: str, key: bytes | str,
 def decrypt_files(spark: SparkSession, path: str, key: bytes | str) -> DataFrame:
     """Inverse of :func:`encrypt_files`: ``(name, content)`` and any carried columns."""
     t = spark.read.parquet(path)
-    return t.withColumn("content", F.aes_decrypt(F.col("blob"), _key(key), F.lit("GCM"))).drop("blob")
+    return t.withColumn("content", F.aes_decrypt(F.col("blob"), _key(spark, key), F.lit("GCM"))).drop("blob")

@@ -22,12 +22,13 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 def message_file_stream(spark: SparkSession, in_dir: str, glob: str = BATCH_GLOB,
                         max_files_per_trigger: int = 100) -> DataFrame:
-    """R1 source: new batch files as canonical messages, with ``file``, ``batch``, ``pos``."""
+    """R1 source: new batch files as canonical messages, with ``file``, ``batch``, ``pos`` and ``opens`` (whether the row
+    is the first of its channel in its file)."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger)
              .load(in_dir))
     raw = parse_batch_files(files)
-    return normalize_saved(raw, keep=("file", "batch", "pos"))
+    return normalize_saved(raw, keep=("file", "batch", "pos", "opens"))
 
 
 def _run(writer, available_now: bool) -> StreamingQuery:
@@ -58,10 +59,13 @@ def privacy_stream(msgs: DataFrame, optout: DataFrame | None = None, **kw) -> Da
 
 def collection_stream(stream: DataFrame, root: str, name: str, checkpoint: str, *,
                       available_now: bool = True) -> StreamingQuery:
-    """Each micro-batch is one idempotent insert-if-absent load, keyed by its batch id."""
+    """Each micro-batch is one insert-if-absent load, named by the query's id (kept in its checkpoint) and the batch
+    id: a retried micro-batch rewrites its own load, and a new checkpoint starts names of its own."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        collection_add(batch, root, name, int(batch_id))
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        collection_add(batch, root, name, int(batch_id), source=f"stream-{query_id}", retry=True,
+                       order_cols=tuple(c for c in ("file", "pos") if c in batch.columns))
 
     w = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return _run(w, available_now)
@@ -97,13 +101,14 @@ def ingest_state_stream(msgs: DataFrame, state_path: str, checkpoint: str, *, ch
     """K3 on a stream: after every micro-batch, the state of each channel it touched (messages and
     batches so far, oldest id) is appended as a record; :func:`load_ingest_state` reads the latest.
 
-    A streaming aggregation in update mode keeps the running values in the state store; the batch
-    count is the number of position-0 rows (one per file), so no distinct count is needed.
+    A streaming aggregation in update mode keeps the running values in the state store. A file counts as a batch of
+    every channel in it: by the rows that are the first of their channel in their file (``opens``, see
+    :func:`message_file_stream`), so no distinct count is needed.
     """
     num = F.col(id_col).cast("decimal(20,0)")
     agg = msgs.groupBy(channel_col).agg(
         F.min(num).cast("string").alias("oldest_message_id"),
-        F.sum((F.col("pos") == 0).cast("long")).alias("batch_count"),
+        F.sum(F.col("opens").cast("long")).alias("batch_count"),
         F.count(F.lit(1)).alias("total_messages"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -52,13 +52,16 @@ def test_opt_out_file(spark, tmp_path):
 
 
 def test_ingest_state(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"channel_id": "123456789012345678",
-                                                 "oldest_message_id": 987654321098765432, "batch_count": 5,
-                                                 "total_messages": 500, "last_updated": "2025-01-01T12:00:00"},
-                                                indent=2))
+    (tmp_path / "a.json").write_text(json.dumps({"channel_id": "55501", "oldest_message_id": 900719925474099301,
+                                                 "batch_count": 3, "total_messages": 271,
+                                                 "last_updated": "2024-05-04T03:02:01"}, indent=2))
+    (tmp_path / "c.json").write_text(json.dumps({"channel_id": "no time", "oldest_message_id": "8", "batch_count": 1,
+                                                 "total_messages": 9}))
     (tmp_path / "b.json").write_text("{not json")
-    st = load_ingest_state(spark, str(tmp_path), "123456789012345678").collect()
-    assert [(r.oldest_message_id, r.batch_count, r.total_messages) for r in st] == [("987654321098765432", 5, 500)]
+    st = load_ingest_state(spark, str(tmp_path), "55501").collect()
+    assert [(r.oldest_message_id, r.batch_count, r.total_messages) for r in st] == [("900719925474099301", 3, 271)]
+    st = load_ingest_state(spark, str(tmp_path), "no time").collect()
+    assert [(r.oldest_message_id, r.batch_count, r.total_messages) for r in st] == [("8", 1, 9)]
     assert load_ingest_state(spark, str(tmp_path), "other").count() == 0
     assert load_ingest_state(spark, str(tmp_path / "nope")).count() == 0
 
@@ -75,7 +78,9 @@ def test_collection_insert_if_absent_and_idempotent(spark, tmp_path):
     assert open_collection(spark, root, "c").count() == 0
     collection_add(_coll_rows(spark, [1, 2, 3], "first"), root, "c", 1)
     collection_add(_coll_rows(spark, [3, 4], "second"), root, "c", 2)
-    collection_add(_coll_rows(spark, [3, 4], "second"), root, "c", 2)  # retried load: same result
+    collection_add(_coll_rows(spark, [3, 4], "second"), root, "c", 2, retry=True)  # retried load: same result
+    with pytest.raises(ValueError):
+        collection_add(_coll_rows(spark, [5], "third"), root, "c", 2)
     docs = dict((r.id, r.document) for r in open_collection(spark, root, "c").collect())
     assert docs == {"1": "first1", "2": "first2", "3": "first3", "4": "second4"}
     assert collection_count(spark, root, "c") == 4
@@ -156,3 +161,41 @@ def test_ingest_stream_partitioned(spark, batch_dir, tmp_path):
     out, ckpt = str(tmp_path / "pout"), str(tmp_path / "pckpt")
     ingest_stream(spark, batch_dir, out, ckpt, partition_by=("channel_id",))
     assert os.path.isdir(os.path.join(out, "channel_id=c")) and spark.read.parquet(out).count() == 15
+
+
+def test_first_write_wins_in_order_and_null_ids_stay_out(spark, tmp_path):
+    rows = _coll_rows(spark, [1, 1, 2], "z").unionByName(_coll_rows(spark, [1], "a"))
+    rows = rows.unionByName(rows.limit(1).selectExpr("cast(null as string) id", "embedding", "document", "metadata"))
+    collection_add(rows, str(tmp_path), "c", 5)
+    collection_add(_coll_rows(spark, [1, 2, 3], "later"), str(tmp_path), "c", 4)  # an older number does not matter
+    assert {r.id: r.document for r in open_collection(spark, str(tmp_path), "c").collect()} == {
+        "1": "a1", "2": "z2", "3": "later3"}
+
+
+def test_unreadable_registry_is_an_error(spark, tmp_path):
+    assert read_opt_out(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        read_opt_out(spark, "nosuchfs://x/y")
+
+
+def test_key_is_not_in_plans_and_encryption_can_be_off(spark, capsys):
+    key = b"SECRETSECRETSECRETSECRETSECRETSE"
+    df = spark.createDataFrame([(1, "a")], "k int, text string")
+    enc = encrypt_rows(df, ["text"], key, keep=["k"])
+    enc.explain("extended")
+    dec = decrypt_rows(enc, key, "text string", keep=["k"])
+    dec.collect()
+    dec.explain("formatted")
+    shown = capsys.readouterr().out + dec._jdf.queryExecution().toString()
+    assert "SECRET" not in shown and key.hex().upper() not in shown.upper()
+    plain = encrypt_rows(df, ["text"], None, keep=["k"])
+    assert plain.first().blob == '{"text":"a"}'
+    assert decrypt_rows(plain, None, "text string", keep=["k"]).first().text == "a"
+
+
+def test_written_batches_are_found_by_the_default_reader(spark, tmp_path):
+    from parley.sources.batches import write_batch_files
+    df = spark.createDataFrame([(1, i, str(i), "x") for i in range(250)], "batch int, place int, id string, content string")
+    write_batch_files(df, str(tmp_path / "b"), "batch", "place")
+    back = normalize_saved(read_message_batches(spark, str(tmp_path / "b")), keep=("pos",))
+    assert sorted((int(r.id) % 100) == r.pos for r in back.collect()) == [True] * 250

@@ -26,7 +26,7 @@ def test_load_then_search_by_text(spark, tmp_path):
     own = {int(r.id): r.document for r in probe.collect()}
     assert sorted(r.qid for r in res) == sorted(own)
     # a text finds itself (or an exact copy with a smaller id) at distance 0
-    assert all(r.distance == 0.0 and r.id <= r.qid for r in res)
+    assert all(r.distance == 0.0 and own[int(r.qid)] == r.document for r in res)
     assert all(r.metadata is not None and r.document is not None for r in res)
 
 
@@ -40,3 +40,25 @@ def test_ingest_history_then_state(spark, tmp_path):
     assert all(r.batch_count == -(-r.total_messages // 100) for r in st.values())
     pages = spark.read.parquet(str(tmp_path / "pages"))
     assert pages.count() == sum(want.values()) and state.count() == len(want)
+
+
+def test_ingest_in_two_runs_adds_up(spark, tmp_path):
+    ev = events_as_messages(spark, SF_SMALL)
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    ingest_history(ev, whole, str(tmp_path / "s1"))
+    for pages in (1, 2, None):
+        ingest_history(ev, parts, str(tmp_path / "s2"), max_pages=pages)
+    ingest_history(ev, parts, str(tmp_path / "lost state"))  # nothing is stored again
+    pages = [sorted((r.channel_id, r.id, r.page) for r in spark.read.parquet(p).collect()) for p in (whole, parts)]
+    assert pages[0] == pages[1]
+    states = [sorted((r.channel_id, r.oldest_message_id, r.batch_count, r.total_messages)
+                     for r in load_ingest_state(spark, str(tmp_path / s)).collect()) for s in ("s1", "s2", "lost state")]
+    assert states[0] == states[1] == states[2]
+
+
+def test_opt_out_by_user_id_in_the_load(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "hello", "ann", "10"), ("2", "there", "bob", "11")],
+                                 "id string, content string, author string, author_id string").withColumn("channel_id", F.lit("c"))
+    out = spark.createDataFrame([("10",)], "user_id string")
+    assert build_collection(rows, str(tmp_path), "c", 1, optout=out) == 1
+    assert [r.id for r in open_collection(spark, str(tmp_path), "c").collect()] == ["2"]
