@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, voted and calibrated.
 
 Examples are a bounded sample of the labelled training rows, up to ``max_examples`` of each label in a fixed pseudo-random
-order. Their vocabulary is the ``max_terms`` words that tell the labels apart most (chi-squared over the examples); a
-word's document frequency is counted over all documents. Vectors are (1 + log tf) * idf over these words, normalised.
+order. Their vocabulary is the words whose presence goes with the toxic label beyond chance (chi-squared over the examples,
+corrected for the number of words tried; at most ``max_terms``, the most telling first); a word's document frequency is counted over all documents. Vectors are (1 + log tf) * idf over these words, normalised.
 
 The index keeps the examples in blocks, with each word's postings and greatest weight a block. A text's bound on a block is
 the sum of its weights times those maxima; blocks are scored from the highest bound down until no bound reaches the
@@ -24,13 +24,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import record_batch, texts, written
+from parley.llm.common import kept, record_batch, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,9 +65,10 @@ def sampled_labels(labels: DataFrame, train: Column, n: int, id_col: str, label_
 
 
 def example_terms(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, toxic, term, tf) of the sampled documents; a document given twice is taken by its first text."""
+    """(doc_id, toxic, term, tf) of the sampled documents; copies of a text are one example, toxic if any is."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
-    src = src.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    src = src.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    src = src.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -91,8 +93,11 @@ def telling_terms(terms: DataFrame, n_toxic: int, n_clean: int, settings: Settin
         F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     counts = counts.where((a + b >= settings.min_df) & (a * n_clean > b * n_toxic))
     chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d + 1e-9) * n_toxic * n_clean)
-    rows = counts.select("term", chi.alias("chi")).where("chi > 10.83").orderBy(F.desc("chi"), "term").limit(
-        settings.max_terms)  # 10.83: chance of one in a thousand
+    scored = kept(counts.select("term", chi.alias("chi")))
+    tried = max(1, scored.count())
+    # so many words are tried that some look telling by chance: the chance of any is held at one in a thousand
+    least = NormalDist().inv_cdf(1 - 0.001 / (2 * tried)) ** 2
+    rows = scored.where(F.col("chi") > least).orderBy(F.desc("chi"), "term").limit(settings.max_terms)
     return [r["term"] for r in rows.collect()]
 
 
