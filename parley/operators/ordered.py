@@ -1,191 +1,80 @@
 """Row numbers, running sums and lags within a key, without putting a whole key into one task.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Chat channels and users
-are heavily skewed (one key can hold a third of all rows), so every ordered computation in this
-library goes through :func:`ordered_scan`:
-
-1. Heavy keys are found with one partial aggregation (count, min and max of the first order column
-   per key). With none, the plain per-key window runs: every group is bounded. A key with more than
-   ``max_group_rows`` rows gets a 1,024-bin histogram of that order value (another partial
-   aggregation); bins are packed in order into slices of about ``max_group_rows`` rows, so slices
-   stay balanced however the values cluster. The slice is a pure function of the row (a lookup in
-   the key's small bin -> slice array), so every branch of the plan sees the same slices (a sampled
-   range partitioner would not: its bounds depend on the RDD). The heavy-key table has at most
-   ``rows / max_group_rows`` entries.
-2. The window runs per ``(key, slice)``: one hash shuffle, each group bounded by the slice.
-3. Per (key, slice) totals (a small table) give, by a prefix over slices, the offset to add to the
-   row number and running sums, and the last value for the first row's lag. They are joined back
-   on (key, slice), on which the big side is already partitioned.
-
-Exact: equals the single-window result (tested with tiny slices).
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Chat channels and users are heavily skewed (one
+key can hold a third of all rows), so every ordered computation in this library goes through :func:`ordered_scan`:
+
+1. All rows are range partitioned by (key, order columns, a hash of the row for ties) into ``slices`` ranges. The bounds
+   are sampled quantiles of the whole tuple, so ranges are about equal whatever the values are: an outlier, two distinct
+   values, nulls or one huge key do not matter. The result is written once with the number of its range
+   (reliable checkpoint), so every branch of the plan and every retried task sees the same slices.
+2. The window runs per ``(key, slice)``: one hash shuffle, each group at most a slice.
+3. Per (key, slice) totals (at most keys + slices rows) give, by a prefix over slices, the offset to add to the row number and
+   running sums, and the last value for the first row's lag. They are joined back on (key, slice).
+
+Every key is treated alike at every size. Exact: equals the single-window result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.session import cut_lineage
 
 _S = "_slice"
-MAX_GROUP_ROWS_CONF = "parley.ordered.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
+_TIE = "_tie"
+SLICES_CONF = "parley.ordered.slices"
 
 
 def _as_cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _numeric(df: DataFrame, c: Column) -> Column:
-    dtype = df.select(c.alias("_x")).schema["_x"].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row: rows equal in their order columns get a fixed order by it."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
 
 
-# above this many heavy keys the heavy-key table stays a (broadcast) DataFrame instead of a literal
-_MAX_COLLECTED_HEAVY = 100_000
-# heavy keys get a histogram of this many equal-width bins; bins are packed into balanced slices
-_BINS = 1024
-# up to this many heavy keys the per-key bin -> slice arrays are built (bins x keys ints, broadcast)
-_MAX_HISTOGRAM_KEYS = 4096
-
-
-def _heavy_keys(base: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
-    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .filter(F.col("_n") > F.lit(max_rows))
-            .select(*[F.col(k).alias(f"_hk_{k}") for k in keys], "_lo", "_hi",
-                    F.ceil(F.col("_n") / F.lit(max_rows)).cast("double").alias("_nb")))
-
-
-def _key_cond(keys: list[str]):
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
-        cond = c if cond is None else cond & c
-    return cond
-
-
-def _bin(width: Column) -> Column:
-    raw = F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(_BINS))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(_BINS - 1)).cast("int")
-
-
-def _with_bin_slices(base: DataFrame, keys: list[str], heavy: DataFrame, max_rows: int) -> DataFrame:
-    """Heavy-key table plus ``_bins``: for each of the key's histogram bins, the slice it belongs to.
-
-    Greedy packing in value order: a bin goes to slice ``floor(rows before it / max_rows)``, so a
-    slice holds about ``max_rows`` rows (plus at most one bin) however the values are clustered.
-    One partial aggregation over the heavy keys' rows; the result is keys x bins small numbers.
-    """
-    rows = base.join(F.broadcast(heavy), _key_cond(keys), "inner").filter(F.col("_hi") > F.col("_lo"))
-    hist = rows.groupBy(*[f"_hk_{k}" for k in keys], _bin(F.col("_hi") - F.col("_lo")).alias("_b")) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*[f"_hk_{k}" for k in keys]).orderBy("_b") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_sl", F.floor(F.coalesce(F.sum("_c").over(w), F.lit(0)) / F.lit(max_rows)).cast("int"))
-    per_key = hist.groupBy(*[f"_hk_{k}" for k in keys]).agg(
-        F.map_from_entries(F.collect_list(F.struct("_b", "_sl"))).alias("_m"), F.max("_sl").alias("_top"))
-    # a dense array over all bins (empty bins never hold a row; they get 0); arrays are bounded by _BINS
-    dense = per_key.select(*[F.col(f"_hk_{k}").alias(f"_dk_{k}") for k in keys], "_top",
-                           F.transform(F.sequence(F.lit(0), F.lit(_BINS - 1)),
-                                       lambda i: F.coalesce(F.element_at("_m", i), F.lit(0))).alias("_bins"))
-    cond = None
-    for k in keys:  # null-safe: a null key can be heavy too
-        c = F.col(f"_hk_{k}").eqNullSafe(F.col(f"_dk_{k}"))
-        cond = c if cond is None else cond & c
-    out = heavy.join(dense, cond, "left").drop(*[f"_dk_{k}" for k in keys])
-    return out.withColumn("_nb", F.coalesce(F.col("_top") + 1, F.col("_nb")).cast("double")).drop("_top")
-
-
-def _slices(base: DataFrame, keys: list[str], heavy: DataFrame, descending: bool) -> DataFrame:
-    # every heavy key holds more than max_rows rows, so there are at most rows / max_rows of them:
-    # a proven bound for the broadcast
-    joined = base.join(F.broadcast(heavy), _key_cond(keys), "left")
-    width = F.col("_hi") - F.col("_lo")
-    if "_bins" in heavy.columns:
-        pos = F.element_at(F.col("_bins"), _bin(width) + 1).cast("double")
-    else:  # many heavy keys: equal-width slices of the value range
-        pos = F.floor((F.col("_v") - F.col("_lo")) / width * F.col("_nb")).cast("double")
-        pos = F.least(F.greatest(pos, F.lit(0.0)), F.col("_nb") - 1)
-    if descending:
-        pos = F.col("_nb") - 1 - pos
-    null_slice = F.lit(math.inf if descending else -math.inf)  # nulls last when descending, first otherwise
-    sl = (F.when(F.col("_nb").isNull() | (width <= 0), F.lit(0.0))
-          .when(F.col("_v").isNull(), null_slice)
-          .otherwise(pos))
-    return joined.withColumn(_S, sl).drop("_v", "_lo", "_hi", "_nb", "_bins", *[f"_hk_{k}" for k in keys])
-
-
-def heavy_key_table(df: DataFrame, keys: list[str], first: Column, max_rows: int) -> DataFrame | None:
-    """Keys with more than ``max_rows`` rows, with the range of the first order value and (for up to
-    ``_MAX_HISTOGRAM_KEYS`` keys) the bin -> slice arrays; ``None`` if there is none. Small jobs:
-    partial aggregations; short results become literal tables."""
-    base = df.withColumn("_v", _numeric(df, first))
-    heavy = _heavy_keys(base, keys, max_rows)
-    found = heavy.limit(_MAX_COLLECTED_HEAVY + 1).collect()
-    if not found:
-        return None
-    if len(found) > _MAX_COLLECTED_HEAVY:
-        return heavy
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slices: int | None = None) -> DataFrame:
+    """``df`` with ``_slice``, increasing with (keys, order), and ``_tie``; written once."""
     spark = df.sparkSession
-    lit_heavy = spark.createDataFrame(found, heavy.schema)
-    if len(found) > _MAX_HISTOGRAM_KEYS:
-        return lit_heavy
-    with_bins = _with_bin_slices(base, keys, lit_heavy, max_rows)
-    return spark.createDataFrame(with_bins.collect(), with_bins.schema)
+    n = slices or int(spark.conf.get(SLICES_CONF, spark.conf.get("spark.sql.shuffle.partitions")))
+    tied = df.withColumn(_TIE, row_hash(df))
+    dealt = tied.repartitionByRange(n, *[F.col(k) for k in keys], *_as_cols(order), F.col(_TIE))
+    return cut_lineage(dealt.withColumn(_S, F.spark_partition_id()))
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, descending: bool = False,
                  row_number: str | None = None,
                  running_sums: dict[str, Column] | None = None,
                  lags: dict[str, Column] | None = None,
-                 max_group_rows: int | None = None) -> DataFrame:
+                 slices: int | None = None) -> DataFrame:
     """Add ``row_number`` (1-based), inclusive running sums and one-row lags within ``keys``, ordered
-    by ``order`` (all ascending with nulls first, or all descending with nulls last).
-
-    ``order`` must make rows unique within a key for the row number to be deterministic (as for any
-    ``row_number``).
-    """
+    by ``order`` (all ascending with nulls first, or all descending with nulls last; ties by a hash of the row)."""
     running_sums = dict(running_sums or {})
     lags = dict(lags or {})
     keys = list(keys)
     if not keys:
         raise ValueError("ordered_scan needs at least one key (a global order would be one window partition)")
-    order_cols = _as_cols(order)
-    if max_group_rows is None:
-        max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    order_cols = [*_as_cols(order), F.col(_TIE)]
+    parts = sliced(df, keys, order, slices)
+    if descending:
+        parts = parts.withColumn(_S, -F.col(_S))
     sort = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in order_cols]
-
     key_cols = [F.col(k) for k in keys]
-    heavy = heavy_key_table(df, keys, order_cols[0], max_group_rows)
-    if heavy is None:
-        # no key is larger than max_group_rows: the plain window is bounded per task and exact
-        w = Window.partitionBy(*key_cols).orderBy(*sort)
-        out = df
-        if row_number:
-            out = out.withColumn(row_number, F.row_number().over(w).cast("bigint"))
-        for name, c in running_sums.items():
-            out = out.withColumn(name, F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        for name, c in lags.items():
-            out = out.withColumn(name, F.lag(c).over(w))
-        return out
-
-    sliced = _slices(df.withColumn("_v", _numeric(df, order_cols[0])), keys, heavy, descending)
-    r = sliced
     local = Window.partitionBy(*key_cols, F.col(_S)).orderBy(*sort)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    r = r.withColumn("_lrn", F.row_number().over(local))
+    r = parts.withColumn("_lrn", F.row_number().over(local))
     for name, c in running_sums.items():
         r = r.withColumn(f"_ls_{name}", F.sum(c).over(upto))
     for name, c in lags.items():
         r = r.withColumn(f"_lg_{name}", F.lag(c).over(local))
 
-    # per-slice totals straight from the sliced input (partial aggregation, no second window sort);
+    # per-slice totals straight from the slices (partial aggregation, no second window sort);
     # the last row of a slice in window order is the max of the order tuple (min when descending:
     # struct ordering puts nulls first, matching nulls first / nulls last)
     last_of = F.min_by if descending else F.max_by
@@ -193,7 +82,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     aggs += [F.sum(c).alias(f"_ts_{name}") for name, c in running_sums.items()]
     aggs += [last_of(c, order_key).alias(f"_last_{name}") for name, c in lags.items()]
-    stats = sliced.groupBy(*key_cols, F.col(_S)).agg(*aggs)
+    stats = parts.groupBy(*key_cols, F.col(_S)).agg(*aggs)
     sw = Window.partitionBy(*key_cols).orderBy(F.col(_S))
     before = sw.rowsBetween(Window.unboundedPreceding, -1)
     sel = [*[F.col(k).alias(f"_ok_{k}") for k in keys], F.col(_S).alias("_os"),
@@ -215,7 +104,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     for name in lags:
         out = out.withColumn(name, F.when(F.col("_lrn") == 1, F.col(f"_plast_{name}"))
                              .otherwise(F.col(f"_lg_{name}")))
-    helper = [_S, "_os", "_lrn", "_off", *[f"_ok_{k}" for k in keys]]
+    helper = [_S, _TIE, "_os", "_lrn", "_off", *[f"_ok_{k}" for k in keys]]
     helper += [f"_ls_{n_}" for n_ in running_sums] + [f"_soff_{n_}" for n_ in running_sums]
     helper += [f"_lg_{n_}" for n_ in lags] + [f"_plast_{n_}" for n_ in lags]
     return out.drop(*helper)

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import Window
 
-from parley.operators.ordered import (_S, DEFAULT_MAX_GROUP_ROWS, MAX_GROUP_ROWS_CONF, _numeric, _slices,
-                                     heavy_key_table, ordered_scan)
+from parley.operators.ordered import _S, _TIE, ordered_scan, sliced
 
 STALL_TIMEOUT_S = 300
 MAX_FAILURES = 3
@@ -43,7 +42,7 @@ def stalls(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: str = "id
 
 def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: str = "id",
                    failed: Column, max_failures: int = MAX_FAILURES,
-                   reset_timeout_s: int = RESET_TIMEOUT_S, max_group_rows: int | None = None) -> DataFrame:
+                   reset_timeout_s: int = RESET_TIMEOUT_S, slices: int | None = None) -> DataFrame:
     """W5 + W6: circuit-breaker state after each outcome, and whether the call was allowed before it.
 
     A failure adds one, a success resets to zero; the breaker is open once failures >= max_failures.
@@ -55,29 +54,18 @@ def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: s
     failure count at the end of the slices before it, a segmented prefix over the small per-slice
     table (reset at every slice that contains a success). No join on island ids, no per-key task.
     """
-    if max_group_rows is None:
-        max_group_rows = int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    base = df.withColumn("_succ", ~F.coalesce(failed, F.lit(False)))
-    heavy = heavy_key_table(base, [key_col], F.col(ts_col), max_group_rows)
-    if heavy is None:  # every key fits one task: a single slice per key, nothing to carry
-        sliced = base.withColumn(_S, F.lit(0.0))
-    else:
-        sliced = _slices(base.withColumn("_v", _numeric(base, F.col(ts_col))), [key_col], heavy, False)
-    local = Window.partitionBy(key_col, _S).orderBy(F.col(ts_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
+    order = [F.col(ts_col), F.col(id_col)]
+    parts = sliced(df.withColumn("_succ", ~F.coalesce(failed, F.lit(False))), [key_col], order, slices)
+    local = Window.partitionBy(key_col, _S).orderBy(*[c.asc_nulls_first() for c in order], _TIE)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = (sliced.withColumn("_lrn", F.row_number().over(local))
+    r = (parts.withColumn("_lrn", F.row_number().over(local))
          .withColumn("_ls", F.max(F.when(F.col("_succ"), F.col("_lrn"))).over(upto))
          .withColumn("_lsp", F.lag("_ls").over(local))
          .withColumn("_pts", F.lag(ts_col).over(local)))
 
-    if heavy is None:
-        out = r.withColumn("_carry", F.lit(None).cast("long")) \
-            .withColumn("_prev_last_ts", F.lit(None).cast(base.schema[ts_col].dataType))
-        return _breaker_columns(out, ts_col, max_failures, reset_timeout_s)
-
     # per slice: trailing failures, whether it holds a success, time of its last event
     st = r.groupBy(key_col, _S).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_ls").alias("_last_succ"),
-                                    F.max_by(F.col(ts_col), F.struct(F.col(ts_col), F.col(id_col))).alias("_last_ts"))
+                                    F.max_by(F.col(ts_col), F.struct(F.col(ts_col), F.col(id_col), F.col(_TIE))).alias("_last_ts"))
     st = st.withColumn("_trail", F.col("_cnt") - F.coalesce(F.col("_last_succ"), F.lit(0))) \
         .withColumn("_has", F.col("_last_succ").isNotNull().cast("long"))
     by_key = Window.partitionBy(key_col).orderBy(_S)
@@ -105,4 +93,4 @@ def _breaker_columns(out: DataFrame, ts_col: str, max_failures: int, reset_timeo
     out = out.withColumn("failures", failures.cast("bigint")) \
         .withColumn("is_open", (F.col("failures") >= F.lit(max_failures)).cast("int")) \
         .withColumn("can_execute", allowed.cast("int"))
-    return out.drop("_succ", _S, "_lrn", "_ls", "_lsp", "_pts", "_ok", "_os", "_carry", "_prev_last_ts")
+    return out.drop("_succ", _S, _TIE, "_lrn", "_ls", "_lsp", "_pts", "_ok", "_os", "_carry", "_prev_last_ts")

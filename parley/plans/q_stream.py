@@ -1,13 +1,12 @@
 """Queries: keyed stateful streams over the events log.
 
-The events are written as files in time order (one file per time slice of about 2,500 rows), then
-streamed one file per micro-batch, as a live feed would deliver them.
+The events are written in ``SLICES`` time slices of about equal rows (bounds from quantiles of the time), one job a
+slice, and each slice by key, so that a key's rows of a slice are in one file. The stream takes ``FILES`` files a
+micro-batch in the order they were written, as a live feed would deliver them.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from parley.plans.q_history import _BREAKER_SQL
@@ -16,43 +15,24 @@ from parley.plans.tables import EVENTS_SQL, table
 from parley.session import shared_dir
 from parley.streaming.stateful import breaker_stream, stall_stream
 
-ROWS_PER_FILE = 2500
-
-
-_WRITTEN: dict = {}
-
+SLICES, FILES = 8, 4  # time slices; files a slice and a micro-batch
 
-def _events_in_time_order(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = _write_events_in_time_order(spark, sf)
-    return _WRITTEN[key]
 
-
-def _write_events_in_time_order(spark, sf):
+def _stream(spark, sf, key):
     path = shared_dir(spark, "event_files")
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type",
                                           (F.col("event_type") == "error").alias("failed"))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    st = e.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not st["n"]:
-        e.limit(0).write.mode("overwrite").parquet(path)
-        return path, e.schema
-    slices = max(1, math.ceil(st["n"] / ROWS_PER_FILE))
-    width = (st["hi"] - st["lo"]) / slices
-    for i in range(slices):
-        lo = st["lo"] + i * width
-        cond = us >= F.lit(int(math.floor(lo))) if i else F.lit(True)
-        if i < slices - 1:
-            cond = cond & (us < F.lit(int(math.floor(lo + width))))
-        # one time slice, one file, written after the previous slice: arrival order = time order
-        e.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path, e.schema
-
-
-def _stream(spark, sf):
-    path, schema = _events_in_time_order(spark, sf)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cuts = e.agg(F.percentile_approx(us, [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        part = e
+        if lo is not None:
+            part = part.filter(us > F.lit(lo))
+        if hi is not None:
+            part = part.filter(us <= F.lit(hi))
+        part.repartition(FILES, key).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _drain(spark, df, name):
@@ -70,7 +50,7 @@ select user_id, event_id, failures, cast(is_open as integer) is_open,
        cast(coalesce(not prev_open, true) or ts > prev_ts + interval 60 seconds as integer) can_execute from o""")
 def q_breaker_stream(spark, sf):
     """Live breaker per user in keyed state; every logged outcome counts (equals W5 + W6)."""
-    out = _drain(spark, breaker_stream(_stream(spark, sf), "user_id"), "breaker")
+    out = _drain(spark, breaker_stream(_stream(spark, sf, "user_id"), "user_id"), "breaker")
     return out.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "failures", "is_open", "can_execute")
 
 
@@ -81,7 +61,35 @@ select channel_id, id, "timestamp", prev_ts, (epoch_us("timestamp") - epoch_us(p
 from l where prev_ts is not null and "timestamp" > prev_ts + interval 300 seconds""")
 def q_stall_stream(spark, sf):
     """Per-channel gaps over 300 s found by keyed state as the updates stream in (equals W4)."""
-    out = _drain(spark, stall_stream(_stream(spark, sf), "event_type"), "stall")
+    out = _drain(spark, stall_stream(_stream(spark, sf, "event_type"), "event_type"), "stall")
     return out.filter(F.col("kind") == "gap").select(
         F.col("key").alias("channel_id"), F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), "prev_ts",
         "gap_seconds")
+
+
+@register("breaker_stream_suppress", """
+with recursive e as (select user_id, event_id, ts, event_type = 'error' failed,
+                            row_number() over (partition by user_id order by ts, event_id) rn from events),
+s as (select user_id, rn, event_id, cast(failed as bigint) failures, case when failed then ts end last_fail, 1 executed,
+             1 can_execute from e where rn = 1
+      union all
+      select e.user_id, e.rn, e.event_id, case when not a.ok then s.failures when e.failed then s.failures + 1 else 0 end,
+             case when not a.ok then s.last_fail when e.failed then e.ts end, cast(a.ok as integer), cast(a.ok as integer)
+      from s join e on e.user_id = s.user_id and e.rn = s.rn + 1,
+      lateral (select s.failures < 3 or e.ts > s.last_fail + interval 60 seconds ok) a)
+select user_id, event_id, failures, cast(failures >= 3 as integer) is_open, can_execute, executed from s""")
+def q_breaker_stream_suppress(spark, sf):
+    """R4 live: an attempt that the breaker does not allow is not made and leaves the state as it is."""
+    out = _drain(spark, breaker_stream(_stream(spark, sf, "user_id"), "user_id", suppress=True), "breaker_live")
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "failures", "is_open", "can_execute",
+                      "executed")
+
+
+@register("stall_alarm_stream")
+def q_stall_alarm_stream(spark, sf):
+    """R5 with alarms: event-time timers raise a ``silent`` row where the watermark passes a key's last update by the
+    timeout. Which alarms come before the next update depends on the micro-batches, so there is no SQL for it."""
+    events = _stream(spark, sf, "event_type")
+    out = _drain(spark, stall_stream(events, "event_type", alarm=True, watermark="10 minutes"), "alarm")
+    return out.filter(F.col("kind") == "silent").select(F.col("key").alias("channel_id"), F.col("event_id").alias("id"),
+                                                        F.col("ts").alias("timestamp"))

@@ -2,9 +2,9 @@
 
 State lives in the RocksDB state store, checkpointed with the query, so a restarted or re-run
 stream carries every key's breaker on. Rows of one key within a micro-batch are processed in
-(ts, id) order; across micro-batches input is assumed to arrive in time order (files written in
-time order), as the live source would deliver it. Each group handed to the processor is one key's
-rows of one micro-batch, bounded by ``maxFilesPerTrigger``.
+(ts, id) order; across micro-batches input is expected in time order (files written in time order), as the live source
+would deliver it. What comes late is defined: a stall ignores it, the breaker counts it when it comes. Each group handed
+to the processor is one key's rows of one micro-batch, bounded by ``maxFilesPerTrigger``.
 
 Timestamps are kept as epoch microseconds (``Timestamp.value // 1000``), never through a local-time
 conversion.
@@ -79,8 +79,9 @@ class BreakerProcessor(StatefulProcessor):
 
 
 class StallProcessor(StatefulProcessor):
-    """Per key: the time of the last update. A new update more than ``timeout_s`` after it is a
-    ``gap`` row (the streaming form of W4). With ``alarm=True`` (event-time mode, watermark needed),
+    """Per key: the time of the latest update. A new update more than ``timeout_s`` after it is a
+    ``gap`` row (the streaming form of W4). An update that comes late, with a time not after the latest one, changes
+    nothing: the latest time never goes back, so rows out of order give no false gap. With ``alarm=True`` (event-time mode, watermark needed),
     a timer at last update + timeout also raises a ``silent`` row when the watermark passes it with
     no newer update."""
 
@@ -97,6 +98,8 @@ class StallProcessor(StatefulProcessor):
         out = []
         for ts, eid in zip(pdf[self.ts_col], pdf[self.id_col]):
             now = _us(ts)
+            if last is not None and now <= last:  # late: it fills no gap and moves nothing back
+                continue
             if last is not None and now - last > self.timeout_us:
                 out.append((str(key[0]), int(eid), pd.Timestamp(now, unit="us"), pd.Timestamp(last, unit="us"),
                             (now - last) / 1e6, "gap"))

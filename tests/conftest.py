@@ -23,7 +23,7 @@ def spark():
 
 @pytest.fixture()
 def tiny_groups(spark):
-    """Force the skew path of ordered_scan: every key over 37 rows is cut into slices."""
-    spark.conf.set("parley.ordered.maxGroupRows", "37")
+    """Many slices for ordered_scan: every key of some size is cut into several."""
+    spark.conf.set("parley.ordered.slices", "60")
     yield
-    spark.conf.unset("parley.ordered.maxGroupRows")
+    spark.conf.unset("parley.ordered.slices")

@@ -18,7 +18,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.catalog.QUERIES) == set(E.catalog.ORACLES)
+    without_sql = {"stall_alarm_stream"}  # which alarms fire depends on the micro-batches
+    assert set(E.catalog.QUERIES) - without_sql == set(E.catalog.ORACLES)
     assert set(E.oracle_sql()) <= set(E.queries())
 
 

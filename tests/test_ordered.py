@@ -18,11 +18,11 @@ def _plain(df, keys, order, desc):
 
 
 @pytest.mark.parametrize("desc", [False, True])
-@pytest.mark.parametrize("max_rows", [37, 10_000])
-def test_matches_plain_window(spark, desc, max_rows):
+@pytest.mark.parametrize("slices", [1, 60])
+def test_matches_plain_window(spark, desc, slices):
     ev = table(spark, SF_SMALL, "events").select("event_id", "ts", "event_type", "value")
     got = ordered_scan(ev, ["event_type"], ["ts", "event_id"], descending=desc, row_number="rn",
-                       running_sums={"run": F.col("value")}, lags={"prev": F.col("ts")}, max_group_rows=max_rows)
+                       running_sums={"run": F.col("value")}, lags={"prev": F.col("ts")}, slices=slices)
     want = _plain(ev, ["event_type"], ["ts", "event_id"], desc)
     cols = ["event_id", "rn", "run", "prev"]
     a = sorted((r[0], r[1], round(r[2], 6), r[3]) for r in got.select(*cols).collect())
@@ -33,45 +33,32 @@ def test_matches_plain_window(spark, desc, max_rows):
 def test_null_keys_and_order_values(spark):
     rows = [(None, 1, 1.0), (None, 2, 2.0), ("a", None, 3.0), ("a", 5, 4.0), ("a", 7, 5.0), ("a", 6, 6.0)]
     df = spark.createDataFrame(rows, "k string, o long, value double")
-    got = ordered_scan(df, ["k"], ["o"], row_number="rn", running_sums={"s": F.col("value")}, max_group_rows=1)
+    got = ordered_scan(df, ["k"], ["o"], row_number="rn", running_sums={"s": F.col("value")}, slices=6)
     res = {(r["k"], r["o"]): (r["rn"], r["s"]) for r in got.collect()}
     assert res[(None, 1)] == (1, 1.0) and res[(None, 2)] == (2, 3.0)
     assert res[("a", None)] == (1, 3.0)  # nulls first when ascending
     assert res[("a", 5)] == (2, 7.0) and res[("a", 6)] == (3, 13.0) and res[("a", 7)] == (4, 18.0)
 
 
-def test_heavy_key_is_split(spark):
-    ev = table(spark, SF_SMALL, "events")
-    plan = ordered_scan(ev, ["event_type"], ["event_id"], row_number="rn", max_group_rows=37)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "_slice" in text
+@pytest.mark.parametrize("values", [
+    lambda i: 0 if i == 0 else 10 ** 12 + i,            # one outlier
+    lambda i: i % 2,                                     # two distinct values
+    lambda i: None if i % 3 else i,                      # nulls
+    lambda i: 7,                                         # one value
+    lambda i: i if i < 900 else 10 * i,                  # clustered
+])
+def test_slices_are_bounded_whatever_the_values(spark, values):
+    from parley.operators.ordered import sliced
+    rows = [("hot" if i % 5 else "cold", values(i), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, o long, id long")
+    sizes = [r["count"] for r in sliced(df, ["k"], ["o"], 10).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 2 * 200
+    got = ordered_scan(df, ["k"], ["o", "id"], row_number="rn", slices=10)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")).cast("bigint"))
+    assert got.select("k", "id", "rn").exceptAll(want.select("k", "id", "rn")).count() == 0
 
 
-def test_clustered_values_give_balanced_slices(spark):
-    from parley.operators.ordered import _numeric, _slices, heavy_key_table
-    # 900 of 1,000 rows of key 'h' sit in 1/20 of the key's span (equal-width slices would put 900 in one)
-    rows = [("h", i / 180.0) for i in range(900)] + [("h", float(i)) for i in range(1, 101)] + \
-           [("s", 1.0), ("s", 2.0)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    heavy = heavy_key_table(df, ["k"], F.col("v"), 100)
-    sl = _slices(df.withColumn("_v", _numeric(df, F.col("v"))), ["k"], heavy, False)
-    sizes = [r["count"] for r in sl.filter("k = 'h'").groupBy("_slice").count().collect()]
-    assert sum(sizes) == 1000 and max(sizes) <= 200 and len(sizes) >= 5
-    got = ordered_scan(df, ["k"], ["v"], row_number="rn", max_group_rows=100)
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("bigint"))
-    assert got.select("k", "v", "rn").exceptAll(want).count() == 0
-
-
-@pytest.mark.parametrize("histogram", [True, False])
-def test_both_slicing_paths_match_plain_window(spark, monkeypatch, histogram):
-    import parley.operators.ordered as O
-    if not histogram:  # as with more heavy keys than the histogram limit: equal-width slices
-        monkeypatch.setattr(O, "_MAX_HISTOGRAM_KEYS", 0)
-    ev = table(spark, SF_SMALL, "events").select("event_id", "ts", "user_id", "value")
-    got = ordered_scan(ev, ["user_id"], ["ts", "event_id"], row_number="rn",
-                       running_sums={"run": F.col("value")}, lags={"prev": F.col("ts")}, max_group_rows=2)
-    want = _plain(ev, ["user_id"], ["ts", "event_id"], False)
-    cols = ["event_id", "rn", "run", "prev"]
-    a = sorted((r[0], r[1], round(r[2], 6), r[3]) for r in got.select(*cols).collect())
-    b = sorted((r[0], r[1], round(r[2], 6), r[3]) for r in want.select(*cols).collect())
-    assert a == b
+def test_numbers_are_complete_where_the_order_has_ties(spark):
+    df = spark.createDataFrame([("k", 1, i) for i in range(300)], "k string, o long, id long")
+    got = ordered_scan(df, ["k"], ["o"], row_number="rn", running_sums={"s": F.lit(1)}, slices=7).collect()
+    assert sorted(r.rn for r in got) == list(range(1, 301)) and all(r.rn == r.s for r in got)

@@ -51,7 +51,7 @@ def test_breaker_with_skewed_key_slices(spark, tiny_groups):
     from conftest import SF_SMALL
     from parley.plans.catalog import QUERIES
     a = sorted(tuple(r) for r in QUERIES["breaker_gate"](spark, SF_SMALL).collect())
-    spark.conf.set("parley.ordered.maxGroupRows", "1000000")
+    spark.conf.set("parley.ordered.slices", "1")
     b = sorted(tuple(r) for r in QUERIES["breaker_gate"](spark, SF_SMALL).collect())
     assert a == b
 
@@ -64,6 +64,6 @@ def test_breaker_sliced_users_equal_unsliced(spark):
     kw = dict(key_col="user_id", ts_col="ts", id_col="event_id", failed=F.col("event_type") == "error",
               max_failures=2, reset_timeout_s=3600)
     cols = ["user_id", "event_id", "failures", "is_open", "can_execute"]
-    sliced = sorted(tuple(r) for r in P.breaker_replay(e, max_group_rows=3, **kw).select(*cols).collect())
-    whole = sorted(tuple(r) for r in P.breaker_replay(e, max_group_rows=10 ** 9, **kw).select(*cols).collect())
+    sliced = sorted(tuple(r) for r in P.breaker_replay(e, slices=40, **kw).select(*cols).collect())
+    whole = sorted(tuple(r) for r in P.breaker_replay(e, slices=1, **kw).select(*cols).collect())
     assert sliced == whole and len(whole) == e.count()

@@ -57,3 +57,14 @@ def test_stall_alarm_timer_fires_on_silence(spark, tmp_path):
     rows = _drain(spark, stall_stream(s, "user", alarm=True, watermark="1 second"), tmp_path, "a")
     silent = [(r.key, r.event_id) for r in rows if r.kind == "silent"]
     assert ("u", 1) in silent
+
+
+def test_late_updates_give_no_false_gap(spark, tmp_path):
+    src = str(tmp_path / "late_src")
+    for seconds in ([(0, 1000)], [(1, 0)], [(2, 1100)]):
+        t0 = dt.datetime(2025, 1, 1)
+        spark.createDataFrame([("u", i, t0 + dt.timedelta(seconds=s), False) for i, s in seconds],
+                              "user string, event_id long, ts timestamp_ntz, failed boolean").coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema("user string, event_id long, ts timestamp_ntz, failed boolean").option(
+        "maxFilesPerTrigger", 1).parquet(src)
+    assert _drain(spark, stall_stream(s, "user"), tmp_path, "late") == []
