@@ -38,7 +38,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    max_examples: int = 4000   # of each label
+    max_examples: int = 1000   # of each label
     max_terms: int = 2048
     min_df: int = 3            # examples that must have a vocabulary word
     neighbours: int = 15
@@ -140,19 +140,27 @@ class BlockMaxIndex:
         terms = sorted(query)
         weights = np.array([query[t] for t in terms])
         bounds = weights @ self.most[terms] if terms else np.zeros(0)
-        best: list[tuple[float, int]] = []
+        places, values = np.zeros(0, np.int64), np.zeros(0)
+        least = 0.0  # the k-th similarity so far
         for b in np.argsort(-bounds, kind="stable").tolist():
             # rounding may lift a similarity over its bound by parts of a billion
-            if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-9 < -best[-1][0]:
+            if bounds[b] <= 0 or bounds[b] + 1e-9 < least:
                 break
             sums = np.zeros(self.block)
             for t, w in zip(terms, weights):
                 if (found := self.lists.get((t, b))) is not None:
                     sums[found[0]] += w * found[1]
-            best += [(-round(float(sums[i]), 9), b * self.block + i) for i in np.flatnonzero(sums).tolist()
-                     if b * self.block + i != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+            sums = np.round(sums, 9)
+            near = np.flatnonzero((sums > 0) & (sums >= least))
+            near = near[near + b * self.block != without]
+            if len(near):
+                places, values = np.concatenate([places, near + b * self.block]), np.concatenate([values, sums[near]])
+                if len(places) > k:
+                    order = np.lexsort((places, -values))[:k]
+                    places, values = places[order], values[order]
+                    least = values[-1]
+        order = np.lexsort((places, -values))
+        return list(zip(values[order].tolist(), places[order].tolist()))
 
 
 class ToxicityModel:
