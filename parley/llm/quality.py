@@ -36,7 +36,7 @@ class QualityRules:
     max_repeat_percent: int = 50
     min_docs: int = 5            # a line in fewer documents of a host is never boilerplate
     host_share: float = 0.05     # nor one in a smaller share of the host's documents
-    min_kept_share: float = 0.3  # of a document's words
+    min_kept_share: float = 0.5  # of a document's words
 
 
 RULES = QualityRules()
