@@ -12,29 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import mixing, packing, quality, simhash, suffix_dedup
 from parley.llm.common import table
+from parley.session import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines that are frequent in their host are gone from the rest."""
+    prepare(spark)
     return quality.good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    prepare(spark)
     return simhash.one_of_each_group(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in repeated strings of 400 bytes and more are gone."""
+    prepare(spark)
     return suffix_dedup.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; one epoch, so that no document comes twice after the near-dedup."""
+    prepare(spark)
     return mixing.mixed_documents(docs, mix=replace(mixing.MIX, max_epochs=1))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a sequence of at most 4,096 tokens."""
+    prepare(spark)
     return packing.pack_documents(docs)
 
 

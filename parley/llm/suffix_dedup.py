@@ -249,7 +249,10 @@ def counted_marks(rows: DataFrame, length: int) -> DataFrame:
 
 
 def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
-    """(doc, marks, sought): per document, the spans known from copies, and the contexts to look up in an index."""
+    """(doc, marks, sought): per document, the spans known from copies, and the contexts to look up in an index.
+
+    Sets, not lists: equal rows say the same, and what is left is bounded by the length of the text.
+    """
     every = written(occurrences(docs, length, gram))
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"),
                                           F.max("context").alias("high")).where("rows > 1")
@@ -270,7 +273,7 @@ def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts:
         "anchor", start.alias("start"), size.alias("n"), (F.col("copies") > 1).alias("several"),
         F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("sought"))
     return covered.unionByName(sought, allowMissingColumns=True).groupBy("doc").agg(
-        F.collect_list("mark").alias("marks"), F.collect_list("sought").alias("sought"))
+        F.collect_set("mark").alias("marks"), F.collect_set("sought").alias("sought"))
 
 
 def indexed_spans(waiting: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -281,7 +284,7 @@ def indexed_spans(waiting: DataFrame, length: int, shard_bytes: int) -> DataFram
     size = rows.where("not crowded").agg(F.sum(F.octet_length("body"))).first()[0] or 0
     found = indexed_marks(rows.where("not crowded"), 1 + size // shard_bytes, length).unionByName(
         counted_marks(rows.where("crowded"), length))
-    return found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    return found.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("found"))
 
 
 def spans_of(column: pa.Array) -> list[list[tuple[int, int]]]:
