@@ -103,7 +103,9 @@ class PageMaker:
     def comments(self) -> str:
         each = []
         for _ in range(self.rng.randint(1, 5)):
-            who = self.rng.choice(["", f"<b>{self.words(1, 2)}</b> ", f"<cite>{self.word()}</cite>", f"<h4>{self.words(1, 2)}</h4>"])
+            who = self.rng.choice(["", f"<b>{self.words(1, 2)}</b> ", f"<cite>{self.word()}</cite>", f"<h4>{self.words(1, 2)}</h4>",
+                                   f"<header>{self.words(1, 3)}</header>", f"<div>{self.words(1, 4)}</div>",
+                                   f"<footer>{self.words(1, 3)}</footer>"])
             text = self.rng.choice([f"<p>{self.sentences(1, 4)}</p>", self.sentences(1, 3)])
             tag = self.rng.choice(["div", "li", "article", "p"])
             if tag == "p":
@@ -163,7 +165,11 @@ class PageMaker:
         after = [f() for f in (self.comments, self.sidebar, self.ad, self.share, self.form, self.notice, self.nav)
                  if self.rng.random() < 0.4]
         self.rng.shuffle(after)
-        body = "".join(before) + self.article() + "".join(after) + (self.footer() if self.rng.random() < 0.85 else "")
+        bare = self.rng.random() < 0.08  # the article's blocks stand in the body itself
+        article = self.article_blocks() if bare else self.article()
+        body = "".join(before) + article + "".join(after) + (self.footer() if self.rng.random() < 0.85 else "")
+        if bare:
+            return f'<html><head><title>{self.words(2, 6)}</title></head><body data-y="1">{body}</body></html>'
         if self.rng.random() < 0.3:
             body = f"<div{self.named(['wrapper', 'container', 'page', 'site'], 0.8)}>{body}</div>"
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{body}</body></html>"
