@@ -121,6 +121,7 @@ def selected(unit: DataFrame, mix: Mix) -> DataFrame:
     plan = leaf_budgets(unit, mix).where("supply > 0").withColumns({
         "whole": F.expr("budget div supply"), "rest": F.expr("budget % supply"),
         "slices": F.expr(f"1 + n_docs div {int(mix.slice_rows)}")})
+    plan = kept(plan)  # a table of its own, so that the join can be a broadcast or split a frequent leaf
     rows = unit.where("one > 0").join(plan, list(LEVELS))
     draw = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"),
                              F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key"))
