@@ -5,8 +5,8 @@ k-mers are selected, put in the order in which they stand in the text, and hashe
 signature. Two texts' likeness is the share of equal entries; moving text changes the order, so it lowers the likeness,
 which a plain MinHash would not see.
 
-The neighbour query puts documents in descending id order: ids are cut into ranges at quantiles, every range goes to one
-task, sorted, and the first document of each range is also sent to the range before it. So each text is shuffled once,
+The neighbour query puts documents in descending id order (ids are taken to be about unique): ids are cut into ranges at
+quantiles, every range goes to one task, sorted, and the first document of each range is also sent to the range before it. So each text is shuffled once,
 and a task holds two texts at a time. The edited text shares its first two thirds with the original, so the selection
 runs over the common part, the two ends, and merges.
 
@@ -31,6 +31,7 @@ from parley.llm.common import record_batch
 
 KMER, SIZE, SEED = 8, 64, 11
 BLOCK = 1 << 13
+RANGES_A_TASK = 8
 BASE = np.uint64(0x100000001B3)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -185,10 +186,11 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     document in descending id order, whose last is followed by the first.
     """
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or RANGES_A_TASK * 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    placed = with_neighbours(rows, ranges).repartition(ranges, "range").sortWithinPartitions(
+    tasks = -(-ranges // RANGES_A_TASK)  # ranges fall into tasks by hash: several a task make tasks about equal
+    placed = with_neighbours(rows, ranges).repartition(tasks, "range").sortWithinPartitions(
         "range", "copy", F.desc_nulls_last("id"), F.desc("key"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
