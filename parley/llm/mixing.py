@@ -39,7 +39,7 @@ class Mix:
     budget_tokens: int | None = None
     max_epochs: int = 2
     seed: int = 7
-    slice_rows: int = 20_000
+    slice_rows: int = 2_000
 
 
 #: The query's mix: domains 4:3:2:1, languages en 6, de 2, others 1, one source weighted up, one left out.
