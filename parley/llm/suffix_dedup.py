@@ -267,8 +267,8 @@ def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts:
     covered = again.join(distinct.where("copies > 1").select("anchor", "context"), ["anchor", "context"]).select(
         "doc", F.struct(start.alias("start"), size.alias("n")).alias("mark"))
     contested = distinct.where("contested").select("anchor", "copies", "at.doc", "at.place")
-    crowded = contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_contexts).select(
-        "anchor", F.lit(True).alias("crowded"))
+    crowded = written(contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_contexts).select(
+        "anchor", F.lit(True).alias("crowded")))
     sought = contested.join(crowded, "anchor", "left").select("doc", F.struct(
         "anchor", start.alias("start"), size.alias("n"), (F.col("copies") > 1).alias("several"),
         F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("sought"))
