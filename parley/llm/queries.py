@@ -69,6 +69,34 @@ def _rule_case(value) -> str:
     return "case " + " ".join(f"when {_FITS.format(h=r.host, p=r.path)} then '{value(r)}'" for r in rules)
 
 
+def _quality_sql(rules: quality.QualityRules) -> str:
+    """Base counts by lists, line frequency by (host, normalised line) over distinct texts."""
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+        with d as (select row_number() over () row_id, doc_id, coalesce(source, '') host, coalesce(md5(text), '') text_key,
+                coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{word}') w from documents),
+            lines as (select row_id, host, text_key, unnest(string_split(t, chr(10))) line from d),
+            normal as (select row_id, host, text_key, line, lower(array_to_string(regexp_extract_all(line, '{word}'), ' ')) form,
+                len(regexp_extract_all(line, '{word}')) words from lines where regexp_matches(line, '{word}')),
+            often as (select host, form from normal join (select host, count(distinct text_key) host_docs from d group by host)
+                using (host) group by host, form, host_docs having count(distinct text_key) > {rules.min_docs}
+                and count(distinct text_key) > {rules.host_share}::double * host_docs),
+            gone as (select row_id, sum(words) removed from normal join often using (host, form) group by row_id),
+            dups as (select row_id, count(*) - count(distinct line) n from normal group by row_id),
+            windows as (select row_id, unnest(range(1, len(w) - 1)) i, w from d where len(w) > 2),
+            named as (select row_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] name from windows),
+            twice as (select row_id, name from named group by all having count(*) > 1),
+            again as (select row_id, count(distinct place) n from (
+                select row_id, unnest([i, i + 1, i + 2]) place from named join twice using (row_id, name)) group by row_id),
+            counts as (select doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint
+                word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, coalesce(dups.n, 0)::bigint n_dup_lines,
+                coalesce(again.n, 0)::bigint n_repeat_words, coalesce(removed, 0)::bigint removed_words
+                from d left join dups using (row_id) left join again using (row_id) left join gone using (row_id)),
+            judged as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words
+                as base_failed from counts)
+        select *, not base_failed and n_words - removed_words >= {rules.min_kept_share}::double * n_words as kept from judged"""
+
+
 def _mixing_sql(mix: mixing.Mix) -> str:
     """The mix in DuckDB SQL: leaf table, water filling level by level, each leaf's running sum in seeded order."""
     def weight(level: str) -> str:
@@ -130,5 +158,6 @@ ORACLES = {
                           '{url_filters.LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u)
         select page_id, host, path, {_rule_case(lambda r: r.text)} end as rule,
                {_rule_case(lambda r: r.verdict)} else 'allow' end as verdict from v""",
+    "op5_quality_rules": _quality_sql(quality.RULES),
     "op9_mixing": _mixing_sql(mixing.MIX),
 }
