@@ -40,10 +40,9 @@ def open_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
 def dedup_first(df: DataFrame, id_col: str = "id", order_cols: tuple[str, ...] = ()) -> DataFrame:
     """One row per id: the first in ``order_cols`` (file, position...), then in the order of its other columns, so that
     the same rows always give the same one."""
-    others = [c for c in df.columns if c != id_col]
-    rank = F.struct(*[F.col(c) for c in (*order_cols, *[c for c in others if c not in order_cols])])
-    first = F.min_by(F.struct(*others), rank)
-    return df.groupBy(id_col).agg(first.alias("_r")).select(id_col, "_r.*")
+    rest = [c for c in df.columns if c != id_col and c not in order_cols]
+    first = df.groupBy(id_col).agg(F.min(F.struct(*order_cols, *rest)).alias("_r"))
+    return first.select(*[id_col if c == id_col else F.col(f"_r.{c}") for c in df.columns])
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:
@@ -73,11 +72,11 @@ def collection_add(incoming: DataFrame, root: str, name: str, load_id: int, *, i
     extra = [c for c in order_cols if c not in columns]
     # the load (embeddings included) is computed once: the id join and the write both read this
     batch = cut_lineage(dedup_first(incoming.select(*columns, *extra), id_col, order_cols).select(*columns))
-    fresh = cut_lineage(new_rows(batch, stored.filter(~own), id_col))
+    fresh = new_rows(batch, stored.filter(~own), id_col)
     named = fresh.withColumn("source", F.lit(source)).withColumn("load_id", F.lit(int(load_id)).cast("bigint"))
     (named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("source", "load_id").parquet(collection_path(root, name)))
-    return fresh.count()
+    return open_collection(spark, root, name).filter(own).count()
 
 
 def collection_count(spark: SparkSession, root: str, name: str) -> int:
