@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from helpers import SCHEMA, empty, messy
-from parley.llm.toxicity import BlockMaxIndex, Settings, isotonic, toxicity_scores
+from parley.llm.toxicity import SETTINGS, BlockMaxIndex, Settings, fitted, isotonic, toxicity_scores
 
 BAD = ["scumm", "vilez", "rotte"]
 
@@ -57,6 +57,15 @@ def test_bounded_sample(spark):
     assert len({i for r in got for i in r.evidence}) <= 40
 
 
+def test_examples_beyond_a_thousand_of_a_label_are_used(spark):
+    rng = random.Random(5)
+    docs = [(i, f"{rng.choice(BAD) if i % 2 else 'plain'} w{'abcdefghij'[i % 10]} " + "".join(rng.choice("abcdef") for _ in range(12)),
+             "en", "s", 1) for i in range(2600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2600)], "doc_id bigint, toxic int")
+    model = fitted(spark.createDataFrame(docs, SCHEMA), labels, F.lit(True), "doc_id", "text", "toxic", SETTINGS)
+    assert (model.labels.count(0), model.labels.count(1)) == (1300, 1300)
+
+
 def test_messy_without_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity_scores(messy(spark), none, *folds()).collect()
