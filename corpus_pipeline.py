@@ -14,11 +14,14 @@ from parley.llm import mixing, packing, quality, simhash, suffix_dedup
 from parley.llm.common import table
 from parley.session import prepare
 
+#: The share of a host alone would let a line stand in any number of a large host's documents.
+QUALITY = replace(quality.RULES, max_docs=1000)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines that are frequent in their host are gone from the rest."""
     prepare(spark)
-    return quality.good_documents(docs)
+    return quality.good_documents(docs, rules=QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules: base counts of each text, and line frequency across the documents of a host.
 
 Lines are normalised (lower case, white space runs to one space) and hashed. A line that stands in more than
-``max(min_docs, host_share * documents of the host)`` distinct documents of a host is boilerplate there and is removed;
+``max(min_docs, host_share * documents of the host)`` distinct documents of a host, or in more than ``max_docs`` if that is
+given (the share alone grows with the host), is boilerplate there and is removed;
 a document that loses more than ``1 - min_kept_share`` of its words this way is depleted and rejected. Equal texts of a
 host count as one document, so exact copies alone (the near-dedup's business) do not turn their lines into boilerplate.
 
@@ -37,6 +38,7 @@ class QualityRules:
     min_docs: int = 5            # a line in fewer documents of a host is never boilerplate
     host_share: float = 0.05     # nor one in a smaller share of the host's documents
     min_kept_share: float = 0.5  # of a document's words
+    max_docs: int | None = None  # a line in more documents of a host is boilerplate whatever the host's size
 
 
 RULES = QualityRules()
@@ -118,9 +120,11 @@ def removed_lines(stats: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     each = stats.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
     lines = each.select("host", "text_key", F.inline("lines"))
     sizes = each.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    frequent = F.col("docs") > F.lit(rules.host_share) * F.col("host_docs")
+    if rules.max_docs is not None:
+        frequent = frequent | (F.col("docs") > rules.max_docs)
     often = (lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > rules.min_docs)
-             .join(sizes, "host").where(F.col("docs") > F.lit(rules.host_share) * F.col("host_docs"))
-             .select("host", "line"))
+             .join(sizes, "host").where(frequent).select("host", "line"))
     return lines.join(often, ["host", "line"]).groupBy("host", "text_key").agg(
         F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
 

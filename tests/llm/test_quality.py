@@ -91,3 +91,13 @@ def test_base_counts():
 def test_lines_are_removed_by_their_normal_form():
     h = line_hash(b"home page".split())
     assert without_lines("x\nHome  PAGE \n\ny", {h}) == "x\n\ny"
+
+
+def test_a_line_in_many_documents_is_frequent_in_a_large_host(spark):
+    rows = [(i, prose(900 + i, 60) + ("\nall rights reserved" if i < 9 else ""), "en", "a", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.removed_words for r in quality_verdicts(df).collect()} == {0}  # 9 of 200 is under the share
+    got = {r.doc_id: r for r in quality_verdicts(df, rules=QualityRules(max_docs=8)).collect()}
+    assert all(r.kept and r.removed_words == (3 if i < 9 else 0) for i, r in got.items())
+    texts = {r.doc_id: r.text for r in good_documents(df, rules=QualityRules(max_docs=8)).collect()}
+    assert texts == {i: t.split("\n")[0] for i, t, *_ in rows}
