@@ -11,7 +11,7 @@ Block text has its character references decoded, runs of white space made one sp
 a line feed in page order. A ``<br>`` counts as white space. Scripts, styles, head, forms' fields, buttons and comments in the markup hold no text.
 
 Defined cases: a null or empty page, and one without article text, gives the empty text; unclosed, misnested and unknown
-tags are tolerated, a tag cut off by the page's end is dropped; repeated rows are extracted each. An empty table gives
+tags are tolerated, an open head ends at the first tag or text that cannot be in it, a tag cut off by the page's end is dropped; repeated rows are extracted each. An empty table gives
 an empty result; other columns are not read. Parsing and messages take time in proportion to the page and no recursion,
 so very long and very deep pages work. A map stage without any shuffle.
 """
@@ -40,6 +40,8 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 HIDDEN = frozenset("""script style head title template noscript textarea select option button svg math iframe object canvas
  video audio datalist""".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
+FOREIGN = frozenset("svg math".split())  # "/>" closes these and what is in them
+HEAD_PARTS = frozenset("base link meta title style script noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
              "th": ("td", "th"), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
@@ -91,6 +93,8 @@ def parse(source: str) -> Page:
 
     def see(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)
         if raw and not hidden:
             run.append(raw)
             if links:
@@ -131,6 +135,8 @@ def parse(source: str) -> Page:
                 if stack[i][0] in SCOPES and tag not in BLOCKS:  # an inline end tag does not reach out of its block
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD_PARTS:  # the end tag of head may be left out
+            close(len(stack) - 1)
         if tag == "br":
             see(" ")
             continue
@@ -153,6 +159,8 @@ def parse(source: str) -> Page:
                             break
                     elif stack[i][0] in SCOPES and stack[i][0] not in ("td", "th"):
                         break
+        if m.group(3).endswith("/") and (tag in FOREIGN or tag in RAW and any(t in FOREIGN for t, _ in stack)):
+            continue
         if tag in VOID:
             if tag not in BLOCKS:
                 see(" " if tag in ("img", "input") else "")

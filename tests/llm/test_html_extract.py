@@ -75,6 +75,20 @@ def test_blocks_in_page_order():
     assert [t for t in page.text if t] == ["a bc", "d e", "f", "g", "h", "i", "<p>"]
 
 
+@pytest.mark.parametrize("old, new", [
+    ("</head>", ""), ("</head><body>", ""), ("</head><body>", "Skip <body>"), ("<article>", '<svg class="i" viewBox="0 0 1 1"/><article>'),
+    ("<article>", "<math/><article>"), ("<article>", '<svg><title/><style/><path d="M0"/></svg><article>')])
+def test_open_head_and_self_closed_elements(model, old, new):
+    page = ARTICLE.replace("\n", " ").replace("</head> <body>", "</head><body>")
+    assert old in page
+    assert MAIN in model.main_text(page.replace(old, new, 1))
+
+
+def test_head_without_end_tag():
+    page = parse("<html><head><title>x</title><meta a><style>y{}</style><p>one</p><svg/>two<math />three<svg><p>no</p></svg><p>four")
+    assert [t for t in page.text if t] == ["one", "twothree", "four"]
+
+
 def test_query_rows(spark, model):
     rows = [(1, "u", ARTICLE), (2, None, None), (3, "v", ""), (3, "v", ""), (None, "w", "<article><p>" + "Long words. " * 20000 + "</p></article>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' as text", "7 as n_chars")
