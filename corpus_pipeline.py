@@ -17,6 +17,10 @@ from parley.session import prepare
 #: The share of a host alone would let a line stand in any number of a large host's documents.
 QUALITY = replace(quality.RULES, max_docs=1000)
 
+#: One epoch, and no source left out.
+MIX = replace(mixing.MIX, max_epochs=1, weights={
+    level: {name: w for name, w in given.items() if w} for level, given in mixing.MIX.weights.items()})
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the lines that are frequent in their host are gone from the rest."""
@@ -39,7 +43,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; one epoch, so that no document comes twice after the near-dedup."""
     prepare(spark)
-    return mixing.mixed_documents(docs, mix=replace(mixing.MIX, max_epochs=1))
+    return mixing.mixed_documents(docs, mix=MIX)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

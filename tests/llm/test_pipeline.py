@@ -48,6 +48,12 @@ def test_each_stage_works_on_what_its_predecessor_kept(spark, tmp_path):
         (r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed.collect())
 
 
+def test_the_mix_leaves_no_source_out(spark):
+    docs = spark.createDataFrame([(i, prose(600 + i, 60), "en", f"src{i % 10}", 1) for i in range(200)], SCHEMA)
+    taken = corpus_pipeline.mix(spark, docs, "")
+    assert {r.source for r in taken.select("source").collect()} == {f"src{i}" for i in range(10)}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
