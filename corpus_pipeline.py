@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import mixing, packing, quality, simhash, suffix_dedup
-from parley.llm.common import table
+from parley.llm.common import table, written
 from parley.session import prepare
 
 #: The share of a host alone would let a line stand in any number of a large host's documents.
@@ -59,6 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

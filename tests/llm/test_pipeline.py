@@ -54,6 +54,19 @@ def test_the_mix_leaves_no_source_out(spark):
     assert {r.source for r in taken.select("source").collect()} == {f"src{i}" for i in range(10)}
 
 
+def test_each_stage_reads_what_its_predecessor_wrote(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(messy_rows(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(set(docs.inputFiles()))
+        return docs.where("doc_id > 1")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {2, 3, 4, 5, 6, 7, 8, 9, 10}
+    assert all(read) and not read[0] & read[1] and not read[1] & read[2] and not read[0] & read[2]
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
