@@ -3,7 +3,8 @@
 Sum-of-squares rule: with N(g) the number of open sequences whose residual gap is g, a piece goes where the sum of
 N(g)^2 becomes smallest; a new sequence is opened only if no open one has room. Pieces come longest first.
 
-Texts are tokenised in Arrow batches; what is shuffled afterwards is a row of numbers a piece. Pieces are dealt over
+Texts are tokenised in Arrow batches; what is shuffled afterwards is a row of numbers a piece. Pieces of full
+length are numbered where they are; shorter ones are dealt over
 shards of about ``shard_rows`` by a hash, so all shards see the same mix of lengths and each packs by itself; the last
 sequences of the shards that are not full are then packed once more together, again in bounded shards.
 
@@ -204,8 +205,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    capacity: int = CAPACITY, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where every piece of every document lies."""
     pieces = kept(token_pieces(docs, id_col, text_col, tokenizer_path, capacity, end_id))
-    shards = 1 + pieces.where(F.col("length") < capacity).count() // shard_rows
-    first = kept(_packed(pieces, shards, 0, capacity))
+    short = pieces.where(F.col("length") < capacity)
+    shards = 1 + short.count() // shard_rows
+    first = kept(_packed(short, shards, 0, capacity))
     loose = kept(first.where(F.col("used") < capacity).select(*pieces.columns))
-    second = _packed(loose, 1 + loose.count() // shard_rows, shards, capacity)
-    return first.where(F.col("used") >= capacity).unionByName(second).drop("used")
+    again = 1 + loose.count() // shard_rows
+    second = _packed(loose, again, shards, capacity)
+    # a full piece is a sequence by itself, numbered after those of the shards without being gathered
+    full = pieces.where(F.col("length") >= capacity).withColumns({
+        "sequence_id": F.lit((shards + again) << 32) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    return first.where(F.col("used") >= capacity).unionByName(second).drop("used").unionByName(full)

@@ -113,3 +113,20 @@ def test_cut_pieces_of_exact_lengths():
     ids = np.arange(7, dtype="<u4").tobytes()
     assert [x[:3] for x in cut_pieces(iter([ids[:12], ids[12:]]), 4, 1)] == [(0, 0, 4), (1, 4, 4)]
     assert [x[:3] for x in cut_pieces(iter([]), 4, 1)] == [(0, 0, 1)]
+
+
+def test_full_pieces_are_not_gathered(spark, monkeypatch):
+    plain, gathered = packing._packed, []
+
+    def packed(rows, *args):
+        gathered.append(rows.where("length >= 16").count())
+        return plain(rows, *args)
+
+    monkeypatch.setattr(packing, "_packed", packed)
+    docs = spark.createDataFrame([(i, prose(i, 200)) for i in range(20)], "doc_id bigint, text string").repartition(3)
+    got = pack_documents(docs, capacity=16, shard_rows=5).collect()
+    assert gathered == [0, 0]
+    full = [r for r in got if r.length == 16]
+    others = {r.sequence_id for r in got if r.length < 16}
+    assert len(full) > 100 and all(r.offset == 0 for r in full)
+    assert len({r.sequence_id for r in full}) == len(full) and not others & {r.sequence_id for r in full}
