@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    fingerprints, html_extract, language, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filters,
+    fingerprints, html_extract, language, mixing, packing, quality, simhash, spelling, suffix_dedup,
+    toxicity, url_filters,
 )
 from parley.llm.common import table
 
@@ -58,8 +59,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
-                                   op6_toxicity, op7_language_id, op8_fingerprints, op9_mixing, op10_simhash)}
+                                   op6_toxicity, op7_language_id, op8_fingerprints, op9_mixing, op10_simhash,
+                                   op11_spelling_variants)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
@@ -150,6 +156,45 @@ def _mixing_sql(mix: mixing.Mix) -> str:
                 unnest(range(0, times::bigint)) as epoch from taken) t, range(0, copies)"""
 
 
+def _spelling_sql() -> str:
+    """Counted words, pairs by their deletions, forms, and roots by recursion."""
+    crc = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        crc.append(c)
+
+    def step(state: str, byte: str) -> str:
+        return f"xor(({state}) >> 8, crcs[xor(({state}) & 255, {byte})::int + 1])"
+
+    one, two = step("c", "x"), step(step("c", "195"), "x - 64")  # a letter from U+00C0 on is the bytes C3 and itself less 64
+    points = "list_transform(string_split(id || ':' || run, ''), lambda y: unicode(y)::bigint)"
+    return rf"""
+        with crc as (select {crc}::bigint[] crcs),
+            runs as (select coalesce(doc_id::varchar, '') id, unnest(regexp_extract_all(translate(text, '{url_filters.UPPER}',
+                '{url_filters.LOWER}'), '[a-zÀ-ÿ]+')) run from documents),
+            each as (select id, run, count(*) n from runs group by all),
+            hashed as (select id, run, n, xor(list_reduce({points}, lambda c, x:
+                case when x < 128 then {one} else {two} end, 4294967295::bigint), 4294967295::bigint) h from each, crc),
+            seen as (select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end word, n from hashed),
+            vocab as materialized (select word, sum(n)::bigint n from seen where length(word) >= {spelling.MIN_LENGTH}
+                group by word having sum(n) >= {spelling.MIN_COUNT}),
+            cut as materialized (select word, i, word[:i - 1] || word[i + 1:] less from
+                (select word, unnest(range(1, length(word) + 1)) i from vocab)),
+            pair as materialized (select distinct a.word, b.word near from cut a join cut b on a.i = b.i and a.less = b.less and a.word <> b.word
+                union select word, less from cut where less in (select word from vocab)
+                union select less, word from cut where less in (select word from vocab)),
+            best as (select p.word, count(*) n_near, first(struct_pack(near, n) order by n desc, near) best
+                from pair p join vocab v on v.word = near group by p.word),
+            judged as materialized (select word, n, coalesce(n_near, 0)::bigint n_near,
+                case when best.n >= {spelling.RATIO} * vocab.n then best.near end form,
+                case when best.n >= {spelling.RATIO} * vocab.n then best.n end form_n from vocab left join best using (word)),
+            chain as (with recursive up(word, root) as (select word, form from judged where form is not null
+                union all select up.word, j.form from up join judged j on j.word = up.root where j.form is not null)
+                select up.word, root from up join judged j on j.word = up.root where j.form is null)
+        select word, n, n_near, form, form_n, coalesce(root, word) root from judged left join chain using (word)"""
+
+
 ORACLES = {
     "op1_url_filters": f"""
         with u as (select page_id, case when position('://' in url) > 0
@@ -160,4 +205,5 @@ ORACLES = {
                {_rule_case(lambda r: r.verdict)} else 'allow' end as verdict from v""",
     "op5_quality_rules": _quality_sql(quality.RULES),
     "op9_mixing": _mixing_sql(mixing.MIX),
+    "op11_spelling_variants": _spelling_sql(),
 }
