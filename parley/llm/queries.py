@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    fingerprints, html_extract, language, mixing, packing, quality, simhash, spelling, suffix_dedup,
-    toxicity, url_filters,
+    clustering, fingerprints, html_extract, language, mixing, packing, quality, simhash, spelling,
+    suffix_dedup, toxicity, url_filters,
 )
 from parley.llm.common import table
 
@@ -63,9 +63,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
                                    op6_toxicity, op7_language_id, op8_fingerprints, op9_mixing, op10_simhash,
-                                   op11_spelling_variants)}
+                                   op11_spelling_variants, op12_centroid_clustering)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
@@ -195,6 +199,36 @@ def _spelling_sql() -> str:
         select word, n, n_near, form, form_n, coalesce(root, word) root from judged left join chain using (word)"""
 
 
+def _clustering_sql() -> str:
+    """Plain rounds: every vector against every centroid, floors of exact means."""
+    dim, k = clustering.DIM, clustering.K
+    apart = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (v.p[i] - c.p[i]) * (v.p[i] - c.p[i])))"
+
+    def nearest(t: int) -> str:
+        return f"""a{t} as materialized (select rid, first(struct_pack(k := c.k, d := {apart}) order by {apart}, c.k) best
+            from v, c{t} c group by rid)"""
+
+    steps = []
+    for t in range(clustering.ROUNDS):
+        steps.append(f"""{nearest(t)},
+            s{t} as (select k, i, sum(x) s, count(*) n from (select a.best.k k, unnest(p) x, unnest(range({dim})) i
+                from v join a{t} a using (rid)) group by k, i),
+            c{t + 1} as materialized (select c.k, coalesce(m.p, c.p) p from c{t} c left join (select k,
+                list(((s - ((s % n) + n) % n) // n)::bigint order by i) p from s{t} group by k) m using (k))""")
+    last = clustering.ROUNDS
+    return f"""
+        with v as materialized (select row_number() over () rid, vec_id, list_transform(embedding,
+                lambda x: floor({clustering.SCALE} * x::double)::bigint) p from embeddings where len(embedding) = {dim}
+                and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dim}),
+            h as (select p, sha256('{clustering.SEED}:' || coalesce(vec_id::varchar, '')) h from v),
+            c0 as materialized (select row_number() over (order by h, p) - 1 k, p from h order by h, p limit {k}),
+            {", ".join(steps)}, {nearest(last)},
+            inertia as (select best.k k, sum(best.d)::bigint inertia from a{last} group by best.k)
+        select vec_id, best.k::int as cluster, best.d::bigint as distance, i.inertia as cluster_inertia,
+            (select sum(inertia)::bigint from inertia) as inertia, sha256(array_to_string(c.p, ',')) as centroid_sha256
+        from v join a{last} a using (rid) join inertia i on i.k = a.best.k join c{last} c on c.k = a.best.k"""
+
+
 ORACLES = {
     "op1_url_filters": f"""
         with u as (select page_id, case when position('://' in url) > 0
@@ -206,4 +240,5 @@ ORACLES = {
     "op5_quality_rules": _quality_sql(quality.RULES),
     "op9_mixing": _mixing_sql(mixing.MIX),
     "op11_spelling_variants": _spelling_sql(),
+    "op12_centroid_clustering": _clustering_sql(),
 }
