@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import (
     clustering, fingerprints, html_extract, language, mixing, packing, quality, simhash, spelling,
-    suffix_dedup, toxicity, url_filters,
+    suffix_dedup, token_store, toxicity, url_filters,
 )
 from parley.llm.common import table
 
@@ -67,9 +67,13 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_html_extraction, op3_suffix_dedup, op4_best_fit_packing, op5_quality_rules,
                                    op6_toxicity, op7_language_id, op8_fingerprints, op9_mixing, op10_simhash,
-                                   op11_spelling_variants, op12_centroid_clustering)}
+                                   op11_spelling_variants, op12_centroid_clustering, op13_token_store)}
 
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
 
