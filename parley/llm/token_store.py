@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +39,14 @@ from parley.session import shared_dir
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-SLICE_BYTES, PART_CHARS = 2 << 20, 1 << 21
-CACHE_PIECES, CACHED_BYTES = 400_000, 256
+SLICE_BYTES, PART_CHARS = 4 << 20, 1 << 21
+CACHE_BYTES = 48 << 20
 
-LETTER, NUMBER, SPACE, OTHER, UNSURE, MARK = range(6)
+LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 #: What the vocabulary's pattern sees as white space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What follows an apostrophe in the pattern's contractions.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-END_MARK, PART_MARK = 0xFFFFFFFF, 0xFFFFFFFE  # no code points
 SINGLE_SPACE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
@@ -66,86 +66,115 @@ def classes() -> np.ndarray:
     return out
 
 
+class Pieces:
+    """The ids of pieces seen before; forgotten when they pass ``CACHE_BYTES``."""
+
+    def __init__(self):
+        self.keys, self.flat = pa.array([], pa.binary()), np.zeros(0, np.uint32)
+        self.first, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def of(self, keys: pa.Array, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each key begin, how many it has); ``make`` gives the ids of a key not seen before."""
+        if self.keys.nbytes + self.flat.nbytes > CACHE_BYTES:
+            self.__init__()
+        at = pc.index_in(keys, value_set=self.keys)
+        if at.null_count:
+            new = keys.filter(at.is_null())
+            found = [make(key) for key in new.to_pylist()]
+            lengths = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+            self.first = np.append(self.first, len(self.flat) + np.cumsum(lengths, dtype=np.int32) - lengths)
+            self.lengths = np.append(self.lengths, lengths)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(found), "<u4"))
+            places = at.is_null().to_numpy(zero_copy_only=False)
+            at = at.fill_null(0).to_numpy().copy()
+            at[places] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, new])
+        else:
+            at = at.to_numpy()
+        return self.flat, self.first[at], self.lengths[at]
+
+
 class Encoder:
     """Ids of many texts at once, equal to the tokenizer's."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.classes = self.tokenizer.model, classes()
-        self.marks = {END_MARK.to_bytes(4, "little"): np.array([end_id], "<u4").tobytes(), PART_MARK.to_bytes(4, "little"): b""}
-        self.known = dict(self.marks)
-        self.end = np.array([end_id], np.uint32)
+        self.model, self.classes, self.end_id = self.tokenizer.model, classes(), end_id
+        self.known = {"latin-1": Pieces(), "utf-32-le": Pieces()}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def piece(self, key: bytes) -> bytes:
-        word = key.decode("utf-32-le")
-        spelled = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        if len(key) <= CACHED_BYTES:
-            if len(self.known) >= CACHE_PIECES:
-                self.known = dict(self.marks)
-            self.known[key] = ids
-        return ids
-
-    def encode(self, texts: list[str], ends: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids of each): each text's ids, and the end id where ``ends`` says that its document ends."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        close = np.cumsum(sizes) - 1
-        points = np.frombuffer(bytearray(("\0".join(texts) + "\0").encode("utf-32-le")), np.uint32)
+    def piece(self, key: bytes, code: str) -> bytes:
+        """The ids of a piece, given by the bytes of its characters in ``code``, as bytes."""
+        spelled = key.decode(code).encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        text = "".join(texts)
+        if not text:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        try:
+            code, points = "latin-1", np.frombuffer(text.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            code, points = "utf-32-le", np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kind = self.classes[points]
-        odd = np.flatnonzero((kind == UNSURE) | ((points == ord("<")) & (np.roll(points, -1) == ord("|"))))
+        odd = np.flatnonzero(kind == UNSURE)
+        if "<|" in text:
+            odd = np.concatenate([odd, np.flatnonzero((points[:-1] == ord("<")) & (points[1:] == ord("|")))])
         if len(odd):
-            slow = set(np.unique(np.searchsorted(close, odd)).tolist())
-            ids, counts = self.encode(["" if i in slow else t for i, t in enumerate(texts)], ends)
-            parts, cut = np.split(ids, np.cumsum(counts)[:-1]), counts.copy()
+            slow = set(np.unique(np.searchsorted(ends, odd, side="right")).tolist())
+            ids, counts = self.encode(["" if i in slow else t for i, t in enumerate(texts)])
+            parts = np.split(ids, np.cumsum(counts)[:-1])
             for i in slow:
-                parts[i] = np.concatenate([self.whole(texts[i]), parts[i]])
-                cut[i] = len(parts[i])
-            return np.concatenate(parts), cut
-        kind[close] = MARK
-        points[close] = np.where(ends, np.uint32(END_MARK), np.uint32(PART_MARK))
-        start = np.flatnonzero(self.starts(points, kind))
-        offsets = np.concatenate([start, [len(points)]]).astype(np.int32) * np.int32(4)
+                parts[i] = self.whole(texts[i])
+                counts[i] = len(parts[i])
+            return np.concatenate(parts), counts
+        start = np.flatnonzero(self.starts(points, kind, ends))
+        offsets = np.append(start, len(points)).astype(np.int32) * np.int32(points.itemsize)
         pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(points)])
         coded = pieces.dictionary_encode()
-        known, found = self.known, []
-        for key in coded.dictionary.to_pylist():
-            ids = known.get(key)
-            if ids is None:
-                ids = self.piece(key)
-                known = self.known
-            found.append(ids)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, first = np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+        flat, first, lengths = self.known[code].of(coded.dictionary, lambda key: self.piece(key, code))
         at = coded.indices.to_numpy()
         n = lengths[at]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (upto - n), n) + np.arange(upto[-1])]
-        return ids, np.diff(upto[np.searchsorted(start, close)], prepend=0)
+        upto = np.cumsum(n, dtype=np.int32)
+        places = np.repeat(first[at] - (upto - n).astype(np.int32), n)
+        places += np.arange(len(places), dtype=np.int32)
+        last = np.concatenate([[0], upto])[np.searchsorted(start, ends)]
+        return flat[places], np.diff(last, prepend=0).astype(np.int64)
 
     @staticmethod
-    def starts(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def starts(points: np.ndarray, kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where the pattern's pieces begin: runs of letters, numbers or other signs with the space before them, the rest of
         white space, and contractions where an apostrophe begins a piece."""
-        before = np.concatenate([[MARK], kind[:-1]])
-        after = np.concatenate([kind[1:], [MARK]])
-        space = points == 0x20
-        spaced = np.concatenate([[False], space[:-1]])
-        blank = kind == SPACE
+        border = np.concatenate([[0], ends[:-1]])
+        border = border[border < len(points)]  # where texts begin
+        blank, space = kind == SPACE, points == 0x20
+        out = np.empty(len(points), bool)
+        out[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=out[1:])
+        # what follows a space belongs to its piece, unless it is white space itself
+        out[1:] &= ~space[:-1] | blank[1:]
         # of a run of white space, the last character stands apart unless the text ends there
-        out = np.where(blank, (before != SPACE) | ((after != SPACE) & (after != MARK)), (kind != before) & ~spaced)
-        out |= kind == MARK
-        mark = np.flatnonzero((points == ord("'")) & (before != OTHER) & ~spaced)
-        for tail in CONTRACTIONS:
-            n = len(tail)
-            hit = mark[mark + n < len(points)]
-            for k, c in enumerate(tail, 1):
-                hit = hit[points[hit + k] == ord(c)]
-            out[hit + 1] = False
-            out[hit + n + 1] = True  # after the text's last character comes its mark, a start in any case
+        last = np.flatnonzero(blank[:-1] & ~blank[1:])
+        out[np.setdiff1d(last, border - 1, assume_unique=True)] = True
+        out[border] = True
+        mark = np.flatnonzero(points == ord("'"))
+        if len(mark):
+            opens = np.isin(mark, border) | (mark > 0) & (kind[mark - 1] != OTHER) & ~space[mark - 1]
+            mark = mark[opens]
+            stop = ends[np.searchsorted(ends, mark, side="right")]
+            for tail in CONTRACTIONS:
+                n = len(tail)
+                hit, end = mark[mark + n < stop], stop[mark + n < stop]
+                for k, c in enumerate(tail, 1):
+                    fits = points[hit + k] == ord(c)
+                    hit, end = hit[fits], end[fits]
+                out[hit + 1] = False
+                out[hit[hit + n + 1 < end] + n + 1] = True
         return out
 
 
@@ -177,11 +206,13 @@ def encoded(encoder: Encoder, buf: np.ndarray, off: np.ndarray) -> Iterator[np.n
     for i, j in row_slices(off, SLICE_BYTES):
         texts = [buf[off[k]:off[k + 1]].tobytes().decode() for k in range(i, j)]
         if j == i + 1 and len(texts[0]) > PART_CHARS:
-            parts = list(parts_of(texts[0]))
-            yield np.concatenate([encoder.encode([p], [k == len(parts) - 1])[0] for k, p in enumerate(parts)])
+            parts = [encoder.encode([p])[0] for p in parts_of(texts[0])]
+            yield np.append(np.concatenate(parts), np.uint32(encoder.end_id))
         else:
-            ids, counts = encoder.encode(texts, [True] * len(texts))
-            yield from np.split(ids, np.cumsum(counts)[:-1])
+            ids, counts = encoder.encode(texts)
+            ends = np.cumsum(counts)
+            ids = np.insert(ids, ends, np.uint32(encoder.end_id))
+            yield from np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1])
 
 
 def vocabulary_bits(path: str) -> int:

@@ -35,6 +35,11 @@ def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def coded(encoder, texts):
+    ids, counts = encoder.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def stored(spark, docs, **how):
     path = shared_dir(spark, "parley-tokens")
     token_store.write_tokens(docs, path, **how)
@@ -45,17 +50,13 @@ def stored(spark, docs, **how):
 @given(st.lists(st.lists(st.sampled_from(AWKWARD), max_size=30).map("".join) | st.text(max_size=40), min_size=1, max_size=6))
 def test_ids_are_those_of_the_tokenizer(texts):
     encoder = token_store.worker_encoder(default_tokenizer_path(), 0)
-    ids, counts = encoder.encode(texts, [True] * len(texts))
-    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-    assert got == [ids_of(encoder.tokenizer, t) for t in texts]
+    assert coded(encoder, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_every_sure_character_has_the_class_that_the_tokenizer_sees(encoder):
     points = [p for p in range(0x30000) if classes()[p] != token_store.UNSURE]
     texts = [f"a{chr(p)}1 {chr(p)}{chr(p)}b" for p in points[::7]]
-    want = [[*x.ids, 0] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    ids, counts = encoder.encode(texts, [True] * len(texts))
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert coded(encoder, texts) == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_parts_of_long_texts_have_the_ids_of_the_whole(encoder):
@@ -63,15 +64,15 @@ def test_parts_of_long_texts_have_the_ids_of_the_whole(encoder):
     text = "".join(rng.choice(AWKWARD) for _ in range(3000))
     parts = list(parts_of(text, 40))
     assert len(parts) > 5 and "".join(parts) == text
-    got = np.concatenate([encoder.encode([p], [False])[0] for p in parts])
+    got = np.concatenate([encoder.encode([p])[0] for p in parts])
     assert got.tolist() == encoder.whole(text).tolist()
 
 
 def test_the_cache_may_overflow(encoder, tokenizer, monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE_PIECES", 5)
-    texts = [prose(k, 40) for k in range(4)]
-    ids, counts = encoder.encode(texts, [True] * 4)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [ids_of(tokenizer, t) for t in texts]
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 300)
+    for _ in range(3):
+        texts = [prose(k, 40) for k in range(4)]
+        assert coded(encoder, texts) == [ids_of(tokenizer, t)[:-1] for t in texts]
 
 
 @pytest.mark.parametrize("shard_tokens, partitions", [(1 << 20, 3), (50, 5), (1, 1)])
