@@ -47,7 +47,8 @@ def breaker_replay(df: DataFrame, *, key_col: str, ts_col: str = "ts", id_col: s
 
     A failure adds one, a success resets to zero; the breaker is open once failures >= max_failures.
     Before an event, a call is allowed iff the breaker was not open, or more than ``reset_timeout_s``
-    passed since the previous event (which, when open, is by construction the last failure).
+    passed since the previous event (which, when open, is by construction the last failure). An event without a time lies
+    before all others.
 
     One windowed pass per (key, slice) (slices as in :func:`ordered_scan`, so a hot key is split):
     failures since the last success are counted inside the slice; what a slice inherits is the
@@ -89,7 +90,7 @@ def _breaker_columns(out: DataFrame, ts_col: str, max_failures: int, reset_timeo
     prev_ts = F.when(F.col("_lrn") == 1, F.col("_prev_last_ts")).otherwise(F.col("_pts"))
     prev_open = prev_failures >= F.lit(max_failures)
     allowed = F.coalesce(~prev_open, F.lit(True)) | \
-        F.coalesce(F.col(ts_col) > prev_ts + F.expr(f"INTERVAL {int(reset_timeout_s)} SECONDS"), F.lit(False))
+        F.coalesce(F.col(ts_col) > prev_ts + F.expr(f"INTERVAL {int(reset_timeout_s)} SECONDS"), F.col(ts_col).isNotNull())
     out = out.withColumn("failures", failures.cast("bigint")) \
         .withColumn("is_open", (F.col("failures") >= F.lit(max_failures)).cast("int")) \
         .withColumn("can_execute", allowed.cast("int"))

@@ -175,6 +175,29 @@ def q_breaker_gate(spark, sf):
     return _breaker(spark, sf).select("user_id", "event_id", "can_execute")
 
 
+_SUPPRESS_SQL = """
+with recursive e as (select user_id, event_id, ts, event_type = 'error' failed,
+                            row_number() over (partition by user_id order by ts, event_id) rn from events),
+s as (select user_id, rn, event_id, cast(failed as bigint) failures, case when failed then ts end last_fail, 1 executed,
+             1 can_execute from e where rn = 1
+      union all
+      select e.user_id, e.rn, e.event_id, case when not a.ok then s.failures when e.failed then s.failures + 1 else 0 end,
+             case when not a.ok then s.last_fail when e.failed then e.ts end, cast(a.ok as integer), cast(a.ok as integer)
+      from s join e on e.user_id = s.user_id and e.rn = s.rn + 1,
+      lateral (select s.failures < 3 or e.ts > s.last_fail + interval 60 seconds ok) a)
+select user_id, event_id, failures, cast(failures >= 3 as integer) is_open, can_execute, executed from s"""
+
+
+@register("breaker_suppress", _SUPPRESS_SQL)
+def q_breaker_suppress(spark, sf):
+    """W5 + W6 with the live rule: an attempt that the open breaker does not allow is not made and changes nothing."""
+    from parley.operators.breaker import breaker_suppress
+    from parley.plans.tables import table
+    e = table(spark, sf, "events")
+    out = breaker_suppress(e, key_col="user_id", ts_col="ts", id_col="event_id", failed=F.col("event_type") == "error")
+    return out.select("user_id", "event_id", "failures", "is_open", "can_execute", "executed")
+
+
 @register("chunk_rows", f"""
 select channel_id, id, cast(floor((row_number() over (partition by channel_id order by id) - 1) / {CHUNK}) + 1 as bigint) chunk
 from (select doc_id id, lang channel_id from documents)""")

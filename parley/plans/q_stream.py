@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.plans.q_history import _BREAKER_SQL
+from parley.plans.q_history import _BREAKER_SQL, _SUPPRESS_SQL
 from parley.plans.registry import register
 from parley.plans.tables import EVENTS_SQL, table
 from parley.session import shared_dir
@@ -67,17 +67,7 @@ def q_stall_stream(spark, sf):
         "gap_seconds")
 
 
-@register("breaker_stream_suppress", """
-with recursive e as (select user_id, event_id, ts, event_type = 'error' failed,
-                            row_number() over (partition by user_id order by ts, event_id) rn from events),
-s as (select user_id, rn, event_id, cast(failed as bigint) failures, case when failed then ts end last_fail, 1 executed,
-             1 can_execute from e where rn = 1
-      union all
-      select e.user_id, e.rn, e.event_id, case when not a.ok then s.failures when e.failed then s.failures + 1 else 0 end,
-             case when not a.ok then s.last_fail when e.failed then e.ts end, cast(a.ok as integer), cast(a.ok as integer)
-      from s join e on e.user_id = s.user_id and e.rn = s.rn + 1,
-      lateral (select s.failures < 3 or e.ts > s.last_fail + interval 60 seconds ok) a)
-select user_id, event_id, failures, cast(failures >= 3 as integer) is_open, can_execute, executed from s""")
+@register("breaker_stream_suppress", _SUPPRESS_SQL)
 def q_breaker_stream_suppress(spark, sf):
     """R4 live: an attempt that the breaker does not allow is not made and leaves the state as it is."""
     out = _drain(spark, breaker_stream(_stream(spark, sf, "user_id"), "user_id", suppress=True), "breaker_live")

@@ -26,6 +26,9 @@ SESSION_DEFAULTS = {
 }
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def build_session(master: str = "local[8]", app: str = "parley", shuffle_partitions: int = 8,
                   extra: dict | None = None) -> SparkSession:
     """Session for tests, the bench and scripts. On a cluster, pass the cluster's own settings in ``extra``."""
@@ -91,9 +94,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._parley_shipped = True
 
 
+def bound_arrow_batches(spark: SparkSession, limit: str = "8MB") -> None:
+    """Arrow batches by bytes, unless the session says otherwise: a Python worker and the JVM's side of it hold a few of
+    them at a time, and rows may be texts of any length."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, limit)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session-level requirements of every query: UTC clock, a checkpoint folder, the package on workers."""
+    """Session-level requirements of every query: UTC clock, bounded Arrow batches, a checkpoint folder, the package on
+    workers."""
     ensure_utc(spark)
+    bound_arrow_batches(spark)
     shared_dir(spark)
     ship_package(spark)
     return spark
