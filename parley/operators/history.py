@@ -89,7 +89,7 @@ def history_pages_reference(df: DataFrame, start=None, end=None, size: int = PAG
                             channel_col: str = "channel_id", id_col: str = "id",
                             ts_col: str = "timestamp", page_col: str = "page") -> DataFrame:
     """reference walk. Pages are cut before the date filter; the first page with no survivor ends
-    the walk for its channel, and no later page is returned.
+    the walk for its channel, and no later page is returned. Messages without a channel are one channel.
     """
     paged = history_pages(df, size, channel_col=channel_col, id_col=id_col, page_col=page_col)
     keep = F.lit(True)
@@ -102,17 +102,18 @@ def history_pages_reference(df: DataFrame, start=None, end=None, size: int = PAG
             keep = keep & (F.col(ts_col) <= _bound(end, dtype))
     paged = paged.withColumn("_keep", keep)
     kept = paged.groupBy(channel_col, page_col).agg(F.sum(F.col("_keep").cast("long")).alias("_kept"))
-    stops = kept.filter(F.col("_kept") == 0).groupBy(channel_col).agg(F.min(page_col).alias("_stop"))
-    out = paged.join(stops, channel_col, "left")
+    stops = kept.filter(F.col("_kept") == 0).groupBy(F.col(channel_col).alias("_ch")).agg(F.min(page_col).alias("_stop"))
+    out = paged.join(stops, F.col(channel_col).eqNullSafe(F.col("_ch")), "left")
     out = out.filter(F.col("_keep") & (F.col("_stop").isNull() | (F.col(page_col) < F.col("_stop"))))
-    return out.drop("_keep", "_stop")
+    return out.drop("_keep", "_stop", "_ch")
 
 
 def resume_filter(df: DataFrame, state: DataFrame, *, channel_col: str = "channel_id", id_col: str = "id",
                   cursor_col: str = "oldest_message_id") -> DataFrame:
-    """Per channel, only messages older than the saved cursor; channels without state start fresh."""
+    """Per channel, only messages older than the saved cursor; channels without state start fresh. Messages without a
+    channel are one channel, with a state of its own."""
     st = state.select(F.col(channel_col).alias("_ch"), F.col(cursor_col).cast("decimal(20,0)").alias("_cur"))
-    out = df.join(st, F.col(channel_col) == F.col("_ch"), "left")
+    out = df.join(st, F.col(channel_col).eqNullSafe(F.col("_ch")), "left")
     out = out.filter(F.col("_cur").isNull() | (F.col(id_col).cast("decimal(20,0)") < F.col("_cur")))  # cursor is text
     return out.drop("_ch", "_cur")
 

@@ -16,6 +16,7 @@ from parley.operators.normalize import normalize_saved
 from parley.operators.privacy import apply_privacy, drop_empty_content
 from parley.sources.batches import BATCH_GLOB, parse_batch_files
 from parley.sources.collection import collection_add
+from parley.sources.registry import RECORDS_A_FILE, state_records
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -57,14 +58,18 @@ def privacy_stream(msgs: DataFrame, optout: DataFrame | None = None, **kw) -> Da
     return apply_privacy(drop_empty_content(msgs), optout, **kw)
 
 
+def query_id(batch: DataFrame) -> str:
+    """The id of the query that a micro-batch belongs to: kept in its checkpoint, new with a new one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def collection_stream(stream: DataFrame, root: str, name: str, checkpoint: str, *,
                       available_now: bool = True) -> StreamingQuery:
     """Each micro-batch is one insert-if-absent load, named by the query's id (kept in its checkpoint) and the batch
     id: a retried micro-batch rewrites its own load, and a new checkpoint starts names of its own."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        collection_add(batch, root, name, int(batch_id), source=f"stream-{query_id}", retry=True,
+        collection_add(batch, root, name, int(batch_id), source=f"stream-{query_id(batch)}", retry=True,
                        order_cols=tuple(c for c in ("file", "pos") if c in batch.columns))
 
     w = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
@@ -73,21 +78,36 @@ def collection_stream(stream: DataFrame, root: str, name: str, checkpoint: str,
 
 def progress_stream(msgs: DataFrame, out: str, checkpoint: str, *, channel_col: str = "channel_id",
                     available_now: bool = True) -> StreamingQuery:
-    """Running message count per channel (update mode). Each micro-batch appends the changed
-    counters with its batch id; readers take the latest per channel (:func:`latest_progress`)."""
+    """Running message count per channel (update mode). Each micro-batch writes the changed counters to a folder of its
+    query and batch id; readers take the latest (:func:`latest_progress`)."""
     counts = msgs.groupBy(channel_col).agg(F.count(F.lit(1)).alias("messages"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # a retried micro-batch overwrites its own folder: idempotent
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={int(batch_id)}")
+        batch.write.mode("overwrite").parquet(f"{out}/query={query_id(batch)}/batch_id={int(batch_id)}")
 
     w = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     return _run(w, available_now)
 
 
-def latest_progress(spark: SparkSession, out: str, channel_col: str = "channel_id") -> DataFrame:
+def _latest_counters(spark: SparkSession, out: str, channel_col: str) -> DataFrame:
+    """(query, channel, messages, batch_id): the last counters of every query."""
     t = spark.read.parquet(out)
-    return t.groupBy(channel_col).agg(F.max_by("messages", "batch_id").alias("messages"))
+    return t.groupBy("query", channel_col).agg(F.max_by("messages", "batch_id").alias("messages"),
+                                               F.max("batch_id").alias("batch_id"))
+
+
+def latest_progress(spark: SparkSession, out: str, channel_col: str = "channel_id") -> DataFrame:
+    """Messages per channel so far: the last counters of each query, summed over the queries that wrote to ``out``. A query
+    with a new checkpoint counts what it reads itself, so input that two queries read counts twice."""
+    return _latest_counters(spark, out, channel_col).groupBy(channel_col).agg(F.sum("messages").alias("messages"))
+
+
+def compact_progress(spark: SparkSession, out: str, into: str, channel_col: str = "channel_id") -> None:
+    """The last counters of every query in the folder ``into``, one file a query: what :func:`latest_progress` says of it is
+    what it says of ``out``. A query goes on in the new folder if its ``out`` is changed between two runs."""
+    last = _latest_counters(spark, out, channel_col)
+    last.repartition("query", "batch_id").write.mode("overwrite").partitionBy("query", "batch_id").parquet(into)
 
 
 def file_table_stream(spark: SparkSession, path: str, schema: StructType | str,
@@ -99,7 +119,8 @@ def file_table_stream(spark: SparkSession, path: str, schema: StructType | str,
 def ingest_state_stream(msgs: DataFrame, state_path: str, checkpoint: str, *, channel_col: str = "channel_id",
                         id_col: str = "id", available_now: bool = True) -> StreamingQuery:
     """K3 on a stream: after every micro-batch, the state of each channel it touched (messages and
-    batches so far, oldest id) is appended as a record; :func:`load_ingest_state` reads the latest.
+    batches so far, oldest id) is appended as a record; :func:`load_ingest_state` reads the latest by time, whichever query
+    wrote it.
 
     A streaming aggregation in update mode keeps the running values in the state store. A file counts as a batch of
     every channel in it: by the rows that are the first of their channel in their file (``opens``, see
@@ -112,11 +133,11 @@ def ingest_state_stream(msgs: DataFrame, state_path: str, checkpoint: str, *, ch
         F.count(F.lit(1)).alias("total_messages"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rec = batch.select(F.col(channel_col).alias("channel_id"), "oldest_message_id", "batch_count",
-                           "total_messages", F.current_timestamp().alias("last_updated"),
-                           F.lit(int(batch_id)).alias("_batch"))
-        # one folder per micro-batch, overwritten on retry: idempotent
-        rec.drop("_batch").write.mode("overwrite").json(f"{state_path}/batch_id={int(batch_id)}")
+        rec = state_records(batch.select(F.col(channel_col).alias("channel_id"), "oldest_message_id", "batch_count",
+                                         "total_messages", F.current_timestamp().alias("last_updated")))
+        # one folder per query and micro-batch, overwritten on retry: idempotent, and no query writes to another's
+        rec.write.mode("overwrite").option("maxRecordsPerFile", RECORDS_A_FILE).json(
+            f"{state_path}/query={query_id(batch)}/batch_id={int(batch_id)}")
 
     w = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     return _run(w, available_now)

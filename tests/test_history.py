@@ -101,3 +101,47 @@ def test_running_totals(spark):
     h = _history(spark, n=12)
     rt = H.running_totals(H.history_pages(h, size=5)).orderBy("page").collect()
     assert [(r.page, r.messages, r.total_messages) for r in rt] == [(1, 5, 5), (2, 5, 10), (3, 2, 12)]
+
+
+def test_no_channel_is_a_channel(spark):
+    """Reference walk, resume and saved state treat messages without a channel like those of any other."""
+    base = dt.datetime(2025, 1, 2)
+    rows = [(i, ch, base - dt.timedelta(days=100 * (10 <= i < 20)) + dt.timedelta(seconds=i))
+            for ch in ("a", None) for i in range(30)]
+    h = spark.createDataFrame(rows, "id long, channel_id string, timestamp timestamp")
+    # pages of 10 from the newest: ids 20-29, then 10-19 (emptied by the date filter), then 0-9 (never reached)
+    ref = H.history_pages_reference(h, start="2025-01-01", size=10)
+    got = {(r.channel_id, r.page): r.n for r in ref.groupBy("channel_id", "page").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", 1): 10, (None, 1): 10}
+    state = spark.createDataFrame([("a", "5"), (None, "7")], "channel_id string, oldest_message_id string")
+    left = H.resume_filter(h, state).groupBy("channel_id").count().collect()
+    assert {r.channel_id: r["count"] for r in left} == {"a": 5, None: 7}
+
+
+def test_state_of_no_channel_is_saved_and_loaded(spark, tmp_path):
+    from parley.sources.registry import compact_ingest_state, load_ingest_state, save_ingest_state, state_from_totals
+    rows = [(i, ch) for ch in ("a", None) for i in range(7)]
+    paged = H.history_pages(spark.createDataFrame(rows, "id long, channel_id string"), size=3)
+    for hour in (1, 2):
+        state = state_from_totals(H.ingest_totals(paged), H.resume_cursor(paged), dt.datetime(2025, 1, 1, hour))
+        save_ingest_state(state, str(tmp_path / "state"))
+    (tmp_path / "state" / "stray.json").write_text('{"oldest_message_id": "1"}')  # names no channel: no state
+    want = {("a", "0", 3, 7, 2), (None, "0", 3, 7, 2)}
+
+    def rows_of(df):
+        return {(r.channel_id, r.oldest_message_id, r.batch_count, r.total_messages, r.last_updated.hour) for r in df.collect()}
+    assert rows_of(load_ingest_state(spark, str(tmp_path / "state"))) == want
+    assert rows_of(compact_ingest_state(spark, str(tmp_path / "state"), str(tmp_path / "compact"))) == want
+    lines = [x for f in (tmp_path / "compact").glob("part-*") for x in f.read_text().splitlines()]
+    assert len(lines) == 2
+
+
+def test_state_is_read_once(spark, tmp_path):
+    from parley.sources.registry import load_ingest_state
+    (tmp_path / "a.json").write_text('{"channel_id": "c",\n "oldest_message_id": "5"}')
+    (tmp_path / "b.json").write_text('{"channel_id": "d", "oldest_message_id": "6"}\n{"channel_id": "e"}\n{broken\n')
+    st = load_ingest_state(spark, str(tmp_path))
+    assert sorted((r.channel_id, r.oldest_message_id, r.batch_count) for r in st.collect()) == [
+        ("c", "5", 0), ("d", "6", 0), ("e", None, 0)]
+    plan = st._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
