@@ -30,6 +30,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` has them (column names know no case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(col: pa.Array) -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in col.to_pylist()]

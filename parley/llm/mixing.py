@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parley.llm.common import kept
+from parley.llm.common import kept, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
@@ -153,12 +153,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     source_col: str = "source", domain: Column | None = None, mix: Mix = MIX) -> DataFrame:
     """The taken documents with all their columns, a row for each time one is taken."""
     picked = selected(units(docs, id_col, text_col, lang_col, source_col, domain, mix), mix)
-    keys = {"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__key": text_identity(text_col),
-            **{f"__{k}": v for k, v in leaf_of(lang_col, source_col, domain).items()}}
-    times = picked.groupBy("doc_id", "text_key", *LEVELS).agg(F.count(F.lit(1)).alias("__times"))
-    times = times.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"),
-                         F.col("text_key").alias("__key"), *[F.col(lv).alias(f"__{lv}") for lv in LEVELS], "__times")
-    rows = docs.select("*", *[v.alias(k) for k, v in keys.items()]).join(times, list(keys))
+    parts = {"id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "key": text_identity(text_col),
+             **leaf_of(lang_col, source_col, domain)}
+    *keys, n_times, epoch = unused(docs, *[f"__{k}" for k in parts], "__times", "__epoch")
+    times = picked.groupBy("doc_id", "text_key", *LEVELS).agg(F.count(F.lit(1)).alias(n_times))
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key"), *[F.col(level) for level in LEVELS]]
+    times = times.select(*[c.alias(k) for c, k in zip(own, keys)], n_times)
+    rows = docs.select("*", *[v.alias(k) for k, v in zip(keys, parts.values())]).join(times, keys)
     if mix.max_epochs > 1:
-        rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+        rows = rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(n_times).cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,14 +18,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import kept, record_batch, texts
+from parley.llm.common import kept, record_batch, texts, unused
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -106,7 +108,12 @@ def text_stats(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
                 + [("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))])
             rows = texts(b.column(3))
             stats = [base_counts(t) for t in rows] or [()] * 5
-            lines = [[{"line": k, "words": v} for k, v in hashed_lines(t).items()] for t in rows]
+            found = [hashed_lines(t) for t in rows]
+            ends = np.cumsum([0, *map(len, found)])
+            line, words = (np.fromiter(chain.from_iterable(x), np.int64, ends[-1])
+                           for x in (found, (f.values() for f in found)))
+            lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(line), pa.array(words)], ["line", "words"]))
             yield record_batch(schema, b.column(0), b.column(1), b.column(2),
                                *(zip(*stats) if rows else [[]] * 5), lines)
 
@@ -154,14 +161,14 @@ def strip_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
 def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                    rules: QualityRules = RULES) -> DataFrame:
     """The documents that are kept, all columns, without their frequent lines (``n_chars``, if there, follows)."""
+    host, key, gone = unused(docs, "__host", "__key", "__removed")
     judged = verdicts(text_stats(docs, id_col, text_col, host_col), rules).where("kept").groupBy("host", "text_key").agg(
-        F.first("removed").alias("__removed"))
-    judged = judged.withColumnsRenamed({"host": "__host", "text_key": "__key"})
-    rows = docs.select("*", F.coalesce(F.col(host_col), F.lit("")).alias("__host"), identity(F.col(text_col)).alias("__key"))
-    rows = rows.join(judged, ["__host", "__key"])
-    rows = rows.withColumn(text_col, F.pandas_udf(strip_lines, "string")(F.col(text_col), F.col("__removed")))
+        F.first("removed").alias(gone)).withColumnsRenamed({"host": host, "text_key": key})
+    rows = docs.select("*", F.coalesce(F.col(host_col), F.lit("")).alias(host), identity(F.col(text_col)).alias(key))
+    rows = rows.join(judged, [host, key])
+    rows = rows.withColumn(text_col, F.pandas_udf(strip_lines, "string")(F.col(text_col), F.col(gone)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars"))
+        rows = rows.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars"))
                                .otherwise(F.length(text_col)).cast(kind))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

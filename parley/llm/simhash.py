@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import kept, raw_texts, record_batch
+from parley.llm.common import kept, raw_texts, record_batch, unused
 
 SHINGLE_WORDS, RADIUS, SEED, BLOCKS = 3, 2, 42, 8
 TILE = 1024
@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group of near duplicates: its smallest id
     (rows without id last; of rows that share an id, the one with the smallest text hash; of equal rows any one)."""
-    named = F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id")
+    name, key = unused(docs, "__id", "__key")
     stay = grouped(docs, id_col, text_col, **how).select(
-        F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("__id"),
-        F.col("first.text_key").alias("__key")).distinct()
-    rows = docs.select("*", named, F.xxhash64(text_col).alias("__key"))
-    return rows.join(stay, ["__id", "__key"]).dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+        F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias(name),
+        F.col("first.text_key").alias(key)).distinct()
+    rows = docs.select("*", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(name), F.xxhash64(text_col).alias(key))
+    return rows.join(stay, [name, key]).dropDuplicates([name, key]).drop(name, key)

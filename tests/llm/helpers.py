@@ -30,7 +30,8 @@ def messy(spark, extra: bool = True):
     from pyspark.sql import functions as F
     df = spark.createDataFrame(messy_rows(), SCHEMA)
     if extra:
-        for name in ("fp", "doc", "anchor", "range", "id", "row", "host", "line", "domain", "tokens", "shard", "label"):
+        for name in ("fp", "doc", "anchor", "range", "id", "row", "host", "line", "domain", "tokens", "shard", "label",
+                     "__id", "__key", "__host", "__removed", "__times", "__lang", "text_key", "n", "part"):
             df = df.withColumn(name, F.lit(name))
     return df
 
