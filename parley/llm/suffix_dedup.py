@@ -13,6 +13,10 @@
 4. An anchor with more than ``max_contexts`` different contexts (a passage in a great part of the corpus) would not fit
    a shard; its windows are counted by hash instead, pre-aggregated, so no group is gathered.
 5. Marks go back to their documents by a join, and each document's remaining bytes are hashed or returned.
+6. With ``report``, a smaller length, shorter repeats are found in the same pass and reported, not removed: anchors are those
+   of ``report`` bytes, and a context reaches ``length - report`` bytes further, so that it holds every window of
+   ``length`` bytes that starts in it. Windows of ``report`` bytes are compared only where they start in a context's own
+   part, as the rest of it is another context's too.
 
 Defined cases: a null or empty text has no bytes; texts shorter than ``length`` lose nothing; matches never cross
 documents; equal rows are copies of each other and lose all they share, also where their ids are equal; rows are keyed
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from parley.llm.common import raw_texts, record_batch, written
 
 LENGTH, GRAM = 400, 160
+#: Passages of over 50 words: 99% have 280 bytes or more (measured on the test tables).
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 280, 112
 BLOCK = 1 << 20
 SHARD_BYTES, MAX_CONTEXTS = 1 << 20, 2048
 BASE = 0x100000001B3
@@ -61,8 +67,9 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def contexts(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, start, bytes, anchor's offset) of the contexts of a text, block by block."""
+def contexts(b: np.ndarray, length: int = LENGTH, gram: int = GRAM, further: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, start, bytes, windows) of the contexts of a text, block by block; each reaches ``further`` bytes beyond
+    its windows, if the text does."""
     width, mask = length - gram + 1, np.uint64((1 << 24) - 1)
     for at in range(0, len(b) - length + 1, BLOCK):
         x = b[at:at + BLOCK + length - 1]
@@ -77,11 +84,12 @@ def contexts(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[
         place = (np.minimum(behind[:n - width + 1], ahead[width - 1:n]) & mask).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         stop = np.concatenate([start[1:], [len(place)]])
-        yield h[place[start]], at + start, stop - start + length - 1, place[start] - start
+        size = np.minimum(stop - start + length - 1 + further, len(b) - at - start)
+        yield h[place[start]], at + start, size, stop - start
 
 
-def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, context, doc, place) of every context; ``place`` packs start, bytes and the anchor's offset."""
+def occurrences(docs: DataFrame, length: int, gram: int, further: int = 0) -> DataFrame:
+    """(anchor, context, doc, place) of every context; ``place`` packs start, bytes and windows."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.int64()) for c in ("anchor", "context", "doc", "place")])
         digest = xxhash.xxh3_64_intdigest
@@ -93,12 +101,12 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for i in range(len(off) - 1):
                 text = buf[off[i]:off[i + 1]]
                 view = memoryview(text)
-                for anchor, start, n, offset in contexts(text, length, gram):
+                for anchor, start, n, windows in contexts(text, length, gram, further):
                     seen = [digest(view[s:e]) for s, e in zip(start.tolist(), (start + n).tolist())]
                     out[0].append(anchor.view(np.int64))
                     out[1].append(np.array(seen, np.uint64).view(np.int64))
                     out[2].append(np.full(len(start), doc[i]))
-                    out[3].append(start << 18 | n << 8 | offset)
+                    out[3].append(start << 18 | n << 8 | windows)
                     held += len(start)
                 if held > 100_000:
                     yield record_batch(schema, *map(np.concatenate, out))
@@ -182,18 +190,32 @@ class RunLengthIndex:
         reach = np.maximum.accumulate(reach)  # a match never passes its text's end, so texts do not mix
         return np.maximum(reach - np.arange(self.n), 0)
 
+    def window_marks(self, length: int, windows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, start, bytes) of the repeated ``length`` bytes among those that start in the first ``windows`` places of each
+        text: neighbours in the order of the suffixes that have so much in common."""
+        text = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, self.n)))
+        rows = self.order[(np.arange(self.n) - self.starts[text] < windows[text])[self.order]]
+        same = self.match(rows[1:], rows[:-1]) >= length
+        hit = np.unique(np.concatenate([rows[1:][same], rows[:-1][same]]))
+        for a, b in runs_in(hit, text[hit]):
+            yield int(text[hit[a]]), int(hit[a] - self.starts[text[hit[a]]]), int(hit[b] - hit[a]) + length
+
     def marks(self, length: int) -> Iterator[tuple[int, int, int]]:
         """(text, start, bytes) of the runs of bytes in matches of ``length`` and more."""
         stat = self.statistics()
         hit = np.flatnonzero(stat >= length)
-        if not len(hit):
-            return
         text = np.searchsorted(self.starts, hit, side="right") - 1
-        cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(text) > 0)) + 1
-        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]]) - 1):
+        for a, b in runs_in(hit, text):
             yield int(text[a]), int(hit[a] - self.starts[text[a]]), int(hit[b] + stat[hit[b]] - hit[a])
 
 
+def runs_in(hit: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) entry of each run of consecutive places in the same text."""
+    if len(hit):
+        cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(text) > 0)) + 1
+        yield from zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(hit)]]) - 1)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs [start, end) of bytes covered by (start, bytes) spans."""
     out: list[list[int]] = []
@@ -215,18 +237,23 @@ def remaining(text: memoryview, runs: list[tuple[int, int]]) -> Iterator[memoryv
         yield text[at:]
 
 
-def indexed_marks(rows: DataFrame, shards: int, length: int) -> DataFrame:
-    """(doc, start, n): repeated bytes of the contexts ``rows`` (anchor, doc, start, several, body), shard by shard."""
+def indexed_marks(rows: DataFrame, shards: int, length: int, report: int | None) -> DataFrame:
+    """(doc, start, n, least): repeated bytes of the contexts ``rows`` (anchor, doc, start, several, windows, body), shard by
+    shard, in matches of at least ``length`` and of at least ``report`` bytes."""
     def search(shard: pa.Table) -> pa.Table:
         body = shard["body"].to_pylist()
         doc, start = shard["doc"].to_numpy(), shard["start"].to_numpy()
         several = shard["several"].to_numpy(zero_copy_only=False)
-        found = [(doc[k], start[k] + at, n) for k, at, n in RunLengthIndex(body).marks(length) if not several[k]]
-        cols = list(zip(*found)) if found else [[], [], []]
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "start", "n"), cols)})
+        index = RunLengthIndex(body)
+        found = [(doc[k], start[k] + at, n, length) for k, at, n in index.marks(length) if not several[k]]
+        if report is not None:
+            found += [(doc[k], start[k] + at, n, report) for k, at, n in index.window_marks(report, shard["windows"].to_numpy())
+                      if not several[k]]
+        cols = list(zip(*found)) if found else [[], [], [], []]
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "start", "n", "least"), cols)})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(search, "doc bigint, start bigint, n bigint")
+    return dealt.groupBy("shard").applyInArrow(search, "doc bigint, start bigint, n bigint, least bigint")
 
 
 def counted_marks(rows: DataFrame, length: int) -> DataFrame:
@@ -236,24 +263,28 @@ def counted_marks(rows: DataFrame, length: int) -> DataFrame:
         for b in batches:
             anchor, doc, start = (b.column(i).to_numpy() for i in range(3))
             copies = 1 + b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, body in enumerate(b.column(4)):
-                h = gram_hashes(np.frombuffer(body.as_buffer(), np.uint8), length).view(np.int64)
+            most = b.column(4).to_numpy()
+            for k, body in enumerate(b.column(5)):
+                if len(body.as_buffer()) < length:
+                    continue
+                h = gram_hashes(np.frombuffer(body.as_buffer(), np.uint8), length).view(np.int64)[:most[k]]
                 n = len(h)
                 yield record_batch(schema, np.full(n, anchor[k]), h, np.full(n, doc[k]), start[k] + np.arange(n),
                                    np.full(n, copies[k]))
 
-    each = written(rows.select("anchor", "doc", "start", "several", "body").mapInArrow(
+    each = written(rows.select("anchor", "doc", "start", "several", "windows", "body").mapInArrow(
         windows, "anchor bigint, window bigint, doc bigint, start bigint, copies bigint"))
     twice = each.groupBy("anchor", "window").agg(F.sum("copies").alias("all")).where("all > 1").select("anchor", "window")
-    return each.where("copies = 1").join(twice, ["anchor", "window"]).select("doc", "start", F.lit(length).cast("bigint").alias("n"))
+    return each.where("copies = 1").join(twice, ["anchor", "window"]).select(
+        "doc", "start", *[F.lit(length).cast("bigint").alias(c) for c in ("n", "least")])
 
 
-def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
+def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts: int, further: int = 0) -> DataFrame:
     """(doc, marks, sought): per document, the spans known from copies, and the contexts to look up in an index.
 
     Sets, not lists: equal rows say the same, and what is left is bounded by the length of the text.
     """
-    every = written(occurrences(docs, length, gram))
+    every = written(occurrences(docs, length, gram, further))
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"),
                                           F.max("context").alias("high")).where("rows > 1")
     # a table of its own, so that the join has an exchange on either side and a very frequent anchor can be split
@@ -270,43 +301,59 @@ def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts:
     crowded = written(contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_contexts).select(
         "anchor", F.lit(True).alias("crowded")))
     sought = contested.join(crowded, "anchor", "left").select("doc", F.struct(
-        "anchor", start.alias("start"), size.alias("n"), (F.col("copies") > 1).alias("several"),
+        "anchor", start.alias("start"), size.alias("n"), F.expr("place & 255").alias("windows"),
+        (F.col("copies") > 1).alias("several"),
         F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("sought"))
     return covered.unionByName(sought, allowMissingColumns=True).groupBy("doc").agg(
         F.collect_set("mark").alias("marks"), F.collect_set("sought").alias("sought"))
 
 
-def indexed_spans(waiting: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def indexed_spans(waiting: DataFrame, length: int, report: int | None, shard_bytes: int) -> DataFrame:
     """(doc, found): the repeated spans of the contexts that wait for an index."""
     rows = written(waiting.select("doc", "pending", F.inline("sought")).select(
-        "anchor", "doc", "start", "several", "crowded",
+        "anchor", "doc", "start", "several", "crowded", "windows",
         F.substring("pending", F.col("start").cast("int") + 1, F.col("n").cast("int")).alias("body")))
     size = rows.where("not crowded").agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    found = indexed_marks(rows.where("not crowded"), 1 + size // shard_bytes, length).unionByName(
-        counted_marks(rows.where("crowded"), length))
-    return found.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    found = indexed_marks(rows.where("not crowded"), 1 + size // shard_bytes, length, report)
+    for least in {length, report or length}:
+        found = found.unionByName(counted_marks(rows.where("crowded"), least))
+    return found.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "least")).alias("found"))
 
 
-def spans_of(column: pa.Array) -> list[list[tuple[int, int]]]:
-    return [[(x["start"], x["n"]) for x in row or ()] for row in column.to_pylist()]
+def spans_of(column: pa.Array) -> list[list[tuple[int, int, int]]]:
+    """(start, bytes, least) of every span of a row: its bytes lie in matches of at least ``least`` bytes. A span that a copy
+    repeats as a whole is one match."""
+    return [[(x["start"], x["n"], x.get("least", x["n"])) for x in row or ()] for row in column.to_pylist()]
+
+
+def runs_of(spans: list[tuple[int, int, int]], length: int) -> list[tuple[int, int]]:
+    """The bytes in matches of at least ``length``."""
+    return merged([(a, n) for a, n, least in spans if least >= length])
 
 
 def with_repeats_removed(rows: DataFrame, finish: Callable, outputs: dict[str, str], length: int = LENGTH,
-                         gram: int = GRAM, shard_bytes: int = SHARD_BYTES, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """``rows`` (row, doc, text) as (row, *outputs): ``finish(text, runs)`` of each text and its repeated byte runs.
+                         gram: int = GRAM, shard_bytes: int = SHARD_BYTES, max_contexts: int = MAX_CONTEXTS,
+                         report: int | None = None) -> DataFrame:
+    """``rows`` (row, doc, text) as (row, *outputs): ``finish(text, runs)`` of each text and its repeated byte runs, and with
+    ``report`` ``finish(text, runs, reported runs)``.
 
     The text is shuffled once, to meet what is known of its document. Texts with contexts to look up are handed on and
     finished when the indexes have answered, all others at once.
     """
-    known = contested_and_covered(rows, length, gram, max_contexts)
+    least = min(length, report or length)
+    known = contested_and_covered(rows, least, gram, max_contexts, length - least)
     row_type = rows.schema["row"].dataType.simpleString()
     out_type = ", ".join(f"{k} {v}" for k, v in outputs.items())
 
+    def finished(text: memoryview, spans: list[tuple[int, int, int]]) -> tuple:
+        runs = runs_of(spans, length)
+        return finish(text, runs) if report is None else finish(text, runs, runs_of(spans, least))
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = raw_texts(b.column("text"))
             waits = [bool(x) for x in pa.compute.fill_null(pa.compute.list_value_length(b.column("sought")), 0).to_pylist()]
-            done = [None if w else finish(memoryview(buf[off[i]:off[i + 1]]), merged(m))
+            done = [None if w else finished(memoryview(buf[off[i]:off[i + 1]]), m)
                     for i, (w, m) in enumerate(zip(waits, spans_of(b.column("marks"))))]
             pending = pa.array([buf[off[i]:off[i + 1]].tobytes() if w else None for i, w in enumerate(waits)], pa.binary())
             cols = [pa.array([d and d[k] for d in done], arrow_type(v)) for k, v in enumerate(outputs.values())]
@@ -318,13 +365,14 @@ def with_repeats_removed(rows: DataFrame, finish: Callable, outputs: dict[str, s
     lists = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("marks", "sought"))
     half = written(joined.mapInArrow(first, f"row {row_type}, doc bigint, {out_type}, pending binary, {lists}"))
     waiting = half.where("pending is not null")
-    answered = waiting.select("row", "doc", "pending", "marks").join(indexed_spans(waiting, length, shard_bytes), "doc", "left")
+    answered = waiting.select("row", "doc", "pending", "marks").join(
+        indexed_spans(waiting, length, report, shard_bytes), "doc", "left")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("pending").to_pylist()
             marks = zip(spans_of(b.column("marks")), spans_of(b.column("found")))
-            done = [finish(memoryview(t), merged(m + f)) for t, (m, f) in zip(texts, marks)]
+            done = [finished(memoryview(t), m + f) for t, (m, f) in zip(texts, marks)]
             cols = [pa.array([d[k] for d in done], arrow_type(v)) for k, v in enumerate(outputs.values())]
             yield pa.RecordBatch.from_arrays([b.column("row"), *cols], ["row", *outputs])
 
@@ -336,11 +384,20 @@ def arrow_type(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "string": pa.string()}[name]
 
 
-def digest_of(text: memoryview, runs: list[tuple[int, int]]) -> tuple[int, int, int, str]:
+def whole_words(text: memoryview, a: int, b: int) -> int:
+    """Words of the text (parted by ASCII white space) that lie in [a, b) as a whole."""
+    words = bytes(text[a:b]).split()
+    inner = bytes(text[max(a - 1, 0):a] if a else b" ").isspace(), bytes(text[b:b + 1] or b" ").isspace()
+    cut = sum(not free and not bytes([text[k]]).isspace() for free, k in zip(inner, (a, b - 1)))
+    return max(len(words) - cut, 0)
+
+
+def digest_of(text: memoryview, runs: list[tuple[int, int]], reported: list[tuple[int, int]]) -> tuple:
     h = hashlib.sha256()
     for part in remaining(text, runs):
         h.update(part)
-    return len(text), sum(b - a for a, b in runs), len(runs), h.hexdigest()
+    passages = [n for n in (whole_words(text, a, b) for a, b in reported) if n > PASSAGE_WORDS]
+    return len(text), sum(b - a for a, b in runs), len(runs), h.hexdigest(), len(passages), sum(passages)
 
 
 def text_of(text: memoryview, runs: list[tuple[int, int]]) -> tuple[str]:
@@ -348,10 +405,14 @@ def text_of(text: memoryview, runs: list[tuple[int, int]]) -> tuple[str]:
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) of every row. The last two report runs of
+    bytes in repeated strings of ``PASSAGE_BYTES`` and more that hold over ``PASSAGE_WORDS`` whole words; nothing is removed
+    for them."""
+    how = {"report": PASSAGE_BYTES, "gram": PASSAGE_GRAM, **how}
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), F.xxhash64(id_col, text_col).alias("doc"),
                        F.col(text_col).alias("text"))
-    outputs = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    outputs = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string",
+               "n_passages": "bigint", "n_passage_words": "bigint"}
     return with_repeats_removed(rows, digest_of, outputs, **how).select("row.doc_id", *outputs)
 
 

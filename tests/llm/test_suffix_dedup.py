@@ -1,11 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from helpers import SCHEMA, empty, messy, messy_rows
+from helpers import SCHEMA, empty, messy, messy_rows, prose
 from parley.llm import suffix_dedup
 from parley.llm.suffix_dedup import RunLengthIndex, contexts, deduplicated, merged, repeat_digests
 
@@ -15,12 +16,15 @@ def brute_runs(texts, length):
     return [merged([(i, length) for i in range(len(t) - length + 1) if seen[t[i:i + length]] > 1]) for t in texts]
 
 
-def brute_digest(rows, length=400):
+def brute_digest(rows, length=400, report=280):
     texts = [(r[1] or "").encode() for r in rows]
     out = []
-    for r, t, runs in zip(rows, texts, brute_runs(texts, length)):
+    for r, t, runs, passages in zip(rows, texts, brute_runs(texts, length), brute_runs(texts, report)):
         left = b"".join(t[b:a] for (_, b), (a, _) in zip([(0, 0), *runs], [*runs, (len(t), 0)]))
-        out.append((r[0], len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest()))
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        held = [sum(a <= x and y <= b for x, y in words) for a, b in passages]
+        held = [n for n in held if n > 50]
+        out.append((r[0], len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), len(held), sum(held)))
     return sorted(out, key=repr)
 
 
@@ -77,12 +81,23 @@ def edited_family(seed):
     return rows
 
 
+def test_contexts_reach_further_within_the_text():
+    text = np.random.default_rng(2).integers(97, 100, 300).astype(np.uint8)
+    seen = set()
+    for (_, start, size, _), (_, same, longer, _) in zip(contexts(text, 40, 16), contexts(text, 40, 16, 25)):
+        assert (start == same).all() and (longer == np.minimum(size + 25, 300 - start)).all()
+        seen |= {s + i for s, z in zip(same, longer) for i in range(z - 64)}
+    assert seen == set(range(300 - 64))  # every window of 65 bytes lies in the context in which it starts
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_contexts": 3}, {"shard_bytes": 4000}])
 def test_digests_equal_brute_force(spark, monkeypatch, limits):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
     rows = edited_family(3) + messy_rows()
+    rows += [(300 + i, prose(i, 30) + " " + prose(77, 52 + 3 * i) + "\n" + prose(90 + i, 20), "en", "a", 1) for i in range(6)]
     got = [tuple(r) for r in repeat_digests(spark.createDataFrame(rows, SCHEMA), **limits).collect()]
-    assert sorted(got, key=repr) == brute_digest(rows)
+    want = brute_digest(rows)
+    assert sorted(got, key=repr) == want and sum(r[5] and not r[2] for r in want) > 2
 
 
 def test_stage_removes_the_bytes(spark):
