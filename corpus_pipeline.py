@@ -35,9 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in repeated strings of 400 bytes and more are gone."""
+    """Bytes in repeated strings of 280 bytes and more are gone: passages of over 50 words, 99% of which are that long."""
     prepare(spark)
-    return suffix_dedup.deduplicated(docs)
+    return suffix_dedup.deduplicated(docs, length=suffix_dedup.PASSAGE_BYTES, gram=suffix_dedup.PASSAGE_GRAM)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
