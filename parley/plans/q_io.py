@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from parley.operators.normalize import normalize_saved
-from parley.plans.jobs import build_collection, ingest_history
+from parley.plans.jobs import build_collection, ingest_history, prepare_collection_rows
 from parley.plans.oracle_sql import default_chain_sql
 from parley.plans.q_history import END, START, _FILTERED_PAGES_SQL
 from parley.plans.q_privacy import OPT_OUT, _users, _values_sql
@@ -20,7 +20,7 @@ from parley.plans.registry import register
 from parley.plans.tables import CONV_SQL, DOCS_SQL, conversations_as_messages, documents_as_messages, events_as_messages, table
 from parley.session import shared_dir
 from parley.sources.batches import read_message_batches, write_batch_files
-from parley.sources.collection import open_collection
+from parley.sources.collection import collection_add, collection_compact, collection_opt_in, collection_opt_out, open_collection
 from parley.sources.registry import load_ingest_state, read_opt_out
 from parley.streaming.ingest import (collection_stream, file_table_stream, ingest_state_stream, ingest_stream,
                                      latest_progress, message_file_stream, privacy_stream, progress_stream)
@@ -104,7 +104,6 @@ def _embedding_rows(spark, sf):
 select cast(vec_id as varchar) id, case when label = 0 then 1 else 2 end load_id from embeddings""")
 def q_collection_add(spark, sf):
     """Load 1 adds the label-0 vectors, load 2 adds every vector; stored ids are left alone."""
-    from parley.sources.collection import collection_add
     root = shared_dir(spark, "collections")
     rows = _embedding_rows(spark, sf)
     collection_add(rows.filter(F.col("label") == 0).drop("label"), root, "vectors", 1)
@@ -131,7 +130,6 @@ select cast(vec_id as varchar) id, case when label = 0 then 'batch' else 'stream
 def q_collection_stream_after_load(spark, sf):
     """K2 + R3: a batch load of the label-0 vectors, then a stream of all of them, then the same stream from a new
     checkpoint: every id is stored once, by whoever came first."""
-    from parley.sources.collection import collection_add
     rows = _embedding_rows(spark, sf)
     src, root = shared_dir(spark, "vector_files"), shared_dir(spark, "collections")
     rows.drop("label").write.mode("overwrite").parquet(src)
@@ -146,7 +144,6 @@ def q_collection_stream_after_load(spark, sf):
 select cast(vec_id as varchar) id, cast(case when label <= 4 then 2 else 1 end as bigint) load_id from embeddings""")
 def q_collection_backfill(spark, sf):
     """Load 2 (labels up to 4) comes before load 1 (all vectors): the later load 1 adds only what is missing."""
-    from parley.sources.collection import collection_add
     root = shared_dir(spark, "collections")
     rows = _embedding_rows(spark, sf)
     collection_add(rows.filter(F.col("label") <= 4).drop("label"), root, "vectors", 2)
@@ -154,6 +151,39 @@ def q_collection_backfill(spark, sf):
     return open_collection(spark, root, "vectors").select("id", "load_id")
 
 
+@register("optout_after_load", """
+with d as (select cast(doc_id as varchar) id, source author from documents where text is not null and text <> '')
+select 'out' phase, id, author from d where author is null or author not in ('src3', 'src7') union all
+select 'in again', id, author from d where author is null or author <> 'src3' union all
+select 'compacted', id, author from d where author is null or author <> 'src3' union all
+select 'in too late', id, author from d where author is null or author <> 'src3'""")
+def q_optout_after_load(spark, sf):
+    """U1 + U2 + F3 on what is stored: two authors opt out after the load, one opts in again, the other's rows are removed
+    for good, so that they are not back when the author opts in too."""
+    root, phases = shared_dir(spark, "collections"), []
+
+    def phase(name):
+        rows = open_collection(spark, root, "documents")
+        phases.append(rows.select(F.lit(name).alias("phase"), "id", F.col("metadata.author").alias("author")))
+
+    msgs = documents_as_messages(spark, sf).withColumn("id", F.col("id").cast("string"))
+    rows = prepare_collection_rows(msgs, redact=False, embedder=lambda d: d.withColumn(
+        "embedding", F.array(F.lit(0.0)).cast("array<float>")))
+    collection_add(rows, root, "documents", 1)
+    collection_opt_out(_users(spark, OPT_OUT), root, "documents")
+    phase("out")
+    collection_opt_in(_users(spark, OPT_OUT[1:]), root, "documents")
+    phase("in again")
+    collection_compact(spark, root, "documents")
+    phase("compacted")
+    collection_opt_in(_users(spark, OPT_OUT[:1]), root, "documents")
+    phase("in too late")
+    out = phases[0]
+    for p in phases[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("build_collection", f"""
 select cast(id as varchar) id, {default_chain_sql('content')} document, author
 from {DOCS_SQL} where content is not null and content <> ''
