@@ -42,6 +42,10 @@ class Files:
         fs, p = self._at(path)
         return (now_ms - fs.getFileStatus(p).getModificationTime()) / 1000
 
+    def set_time(self, path: str, ms: int) -> None:
+        fs, p = self._at(path)
+        fs.setTimes(p, ms, -1)
+
     def read(self, path: str) -> str:
         fs, p = self._at(path)
         stream = fs.open(p)

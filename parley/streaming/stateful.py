@@ -1,144 +1,248 @@
 """Keyed live state: circuit breaker (R4) and stall alarms (R5) with ``transformWithStateInPandas``.
 
-State lives in the RocksDB state store, checkpointed with the query, so a restarted or re-run
-stream carries every key's breaker on. Rows of one key within a micro-batch are processed in
-(ts, id) order; across micro-batches input is expected in time order (files written in time order), as the live source
-would deliver it. What comes late is defined: a stall ignores it, the breaker counts it when it comes. Each group handed
-to the processor is one key's rows of one micro-batch, bounded by ``maxFilesPerTrigger``.
-
-Timestamps are kept as epoch microseconds (``Timestamp.value // 1000``), never through a local-time
-conversion.
+State lives in the RocksDB state store, checkpointed with the query, so a restarted or re-run stream carries every key's
+state on. A key's rows of a micro-batch are sorted by (time, id) and handled as arrays; they are at most a micro-batch, which
+the source bounds (``maxBytesPerTrigger``).
+
+Two orders across micro-batches:
+
+* As it comes (the default): micro-batches are expected in time order, as a live source delivers them. What comes late is
+  defined: a stall ignores it, the breaker counts it when it comes. An event without a time lies before all others.
+* ``reorder="<delay>"``: events wait in a list state until the watermark (the greatest time of earlier micro-batches less the
+  delay) has passed them and are handled in order of time, whatever micro-batch brought them. What comes with a time below
+  the watermark, or without one, is handed out as late and changes nothing. The result depends on the events and the last
+  watermark alone. A key's waiting rows are those of about the delay.
+
+Times are epoch microseconds; watermark and timers have milliseconds, and an event is passed when its millisecond is below
+the watermark.
 """
 
 from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pyspark import cloudpickle
+from parley.operators import breaker as breaker_module
+from parley.operators.breaker import NO_TIME, Slice
 
 # The processors are shipped by value: the driver-side runner of transformWithState starts its own
 # Python process, which does not see files added with addPyFile.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(breaker_module)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-BREAKER_OUT = "key string, event_id long, failures long, is_open int, can_execute int, executed int"
+BREAKER_OUT = "key string, event_id long, failures long, is_open int, can_execute int, executed int, late int"
 STALL_OUT = "key string, event_id long, ts timestamp_ntz, prev_ts timestamp_ntz, gap_seconds double, kind string"
 
 
-def _us(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1000)
+def micros(times: pd.Series) -> np.ndarray:
+    """Epoch microseconds, ``NO_TIME`` for none."""
+    us = times.to_numpy("datetime64[us]")
+    return np.where(np.isnat(us), NO_TIME, us.astype(np.int64))
 
 
-class BreakerProcessor(StatefulProcessor):
-    """Per key: failures since the last success, open flag, time of the last failure.
+def stamps(us: np.ndarray) -> pd.Series:
+    return pd.Series(np.where(us == NO_TIME, np.iinfo(np.int64).min, us).astype("datetime64[us]"))
 
-    Before each attempt: allowed iff closed, or open for more than ``reset_timeout_s`` since the
-    last failure (half-open). With ``suppress=True`` a disallowed attempt is not made: it is
-    reported with ``executed = 0`` and leaves the state as it is (live behaviour). With
-    ``suppress=False`` every logged outcome counts (replay of a log where every call happened).
-    """
 
-    def __init__(self, max_failures: int = 3, reset_timeout_s: int = 60, suppress: bool = False,
-                 ts_col: str = "ts", id_col: str = "event_id", failed_col: str = "failed"):
-        self.max_failures, self.reset_us, self.suppress = max_failures, reset_timeout_s * 1_000_000, suppress
-        self.ts_col, self.id_col, self.failed_col = ts_col, id_col, failed_col
+class KeyedProcessor(StatefulProcessor):
+    """Rows of a key in order of (time, id), as they come or reordered by event time; ``steps`` is what is done with them."""
+
+    def __init__(self, reorder: bool, ts_col: str, id_col: str, flag_col: str | None = None):
+        self.reorder, self.ts_col, self.id_col, self.flag_col = reorder, ts_col, id_col, flag_col
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("breaker", "failures long, is_open boolean, last_failure_us long")
+        self.handle = handle
+        if self.reorder:
+            self.waiting = handle.getListState("waiting", "us long, id long, flag boolean")
+            self.alarm_at = handle.getValueState("timer", "ms long")
+        self.open_state(handle)
+
+    def _sorted(self, us: np.ndarray, ids: np.ndarray, flags: np.ndarray) -> tuple:
+        at = np.lexsort((ids, us))
+        return us[at], ids[at], flags[at]
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts_col, self.id_col], kind="stable")
-        if self.state.exists():
-            failures, is_open, last_fail = self.state.get()
-        else:
-            failures, is_open, last_fail = 0, False, None
-        out = []
-        for ts, eid, failed in zip(pdf[self.ts_col], pdf[self.id_col], pdf[self.failed_col]):
-            now = _us(ts)
-            allowed = (not is_open) or (last_fail is not None and now > last_fail + self.reset_us)
-            if self.suppress and not allowed:
-                out.append((str(key[0]), int(eid), failures, int(is_open), 0, 0))
-                continue
-            if bool(failed):
-                failures, last_fail = failures + 1, now
+        parts = []
+        for pdf in rows:  # each frame as three arrays; nothing else of it is kept
+            flags = np.zeros(len(pdf), bool) if self.flag_col is None else pdf[self.flag_col].fillna(False).to_numpy(bool)
+            parts.append((micros(pdf[self.ts_col]), pdf[self.id_col].to_numpy(np.int64), flags))
+        us, ids, flags = (np.concatenate(x) for x in zip(*parts))
+        if not self.reorder:
+            yield self.steps(str(key[0]), *self._sorted(us, ids, flags), None)
+            return
+        passed = max(timerValues.getCurrentWatermarkInMs(), 0)
+        late = (us // 1000 < passed) | (us == NO_TIME)
+        if not late.all():
+            keep = ~late
+            self.waiting.appendList(list(zip(us[keep].tolist(), ids[keep].tolist(), flags[keep].tolist())))
+            self._wake(int(us[keep].min()) // 1000)
+        yield self.late_rows(str(key[0]), us[late], ids[late])
+
+    def _wake(self, ms: int) -> None:
+        """One timer a key: at the first time at which something is to be done."""
+        now = self.alarm_at.get()[0] if self.alarm_at.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.alarm_at.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.alarm_at.clear()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        us, ids, flags = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+        ready = us // 1000 < passed
+        if rows:
+            rest = [r for r, done in zip(rows, ready.tolist()) if not done]
+            if rest:
+                self.waiting.put(rest)
+                self._wake(min(r[0] for r in rest) // 1000)
             else:
-                failures, last_fail = 0, None
-            is_open = failures >= self.max_failures
-            out.append((str(key[0]), int(eid), failures, int(is_open), int(allowed), 1))
-        self.state.update((failures, is_open, last_fail))
-        yield pd.DataFrame(out, columns=["key", "event_id", "failures", "is_open", "can_execute", "executed"])
+                self.waiting.clear()
+        yield self.steps(str(key[0]), *self._sorted(us[ready], ids[ready], flags[ready]), passed)
 
     def close(self) -> None:
         pass
 
 
-class StallProcessor(StatefulProcessor):
-    """Per key: the time of the latest update. A new update more than ``timeout_s`` after it is a
-    ``gap`` row (the streaming form of W4). An update that comes late, with a time not after the latest one, changes
-    nothing: the latest time never goes back, so rows out of order give no false gap. With ``alarm=True`` (event-time mode, watermark needed),
-    a timer at last update + timeout also raises a ``silent`` row when the watermark passes it with
-    no newer update."""
-
-    def __init__(self, timeout_s: int = 300, alarm: bool = False, ts_col: str = "ts", id_col: str = "event_id"):
-        self.timeout_us, self.alarm, self.ts_col, self.id_col = timeout_s * 1_000_000, alarm, ts_col, id_col
+class BreakerProcessor(KeyedProcessor):
+    """Per key: failures since the last success, open flag, time of the last failure.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("last", "last_us long, last_id long")
+    Before each attempt: allowed iff closed, or open for more than ``reset_timeout_s`` since the
+    last failure (half-open). With ``suppress=True`` a disallowed attempt is not made: it is
+    reported with ``executed = 0`` and leaves the state as it is (live behaviour). With
+    ``suppress=False`` every logged outcome counts (replay of a log where every call happened).
+    """
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts_col, self.id_col], kind="stable")
-        last, last_id = self.state.get() if self.state.exists() else (None, None)
-        out = []
-        for ts, eid in zip(pdf[self.ts_col], pdf[self.id_col]):
-            now = _us(ts)
-            if last is not None and now <= last:  # late: it fills no gap and moves nothing back
-                continue
-            if last is not None and now - last > self.timeout_us:
-                out.append((str(key[0]), int(eid), pd.Timestamp(now, unit="us"), pd.Timestamp(last, unit="us"),
-                            (now - last) / 1e6, "gap"))
-            if self.alarm and last is not None:
-                self.handle.deleteTimer((last + self.timeout_us) // 1000)
-            last, last_id = now, int(eid)
-        if self.alarm and last is not None:
-            self.handle.registerTimer((last + self.timeout_us) // 1000)
-        self.state.update((last, last_id))
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "prev_ts", "gap_seconds", "kind"])
+    def __init__(self, max_failures: int = 3, reset_timeout_s: int = 60, suppress: bool = False,
+                 ts_col: str = "ts", id_col: str = "event_id", failed_col: str = "failed", reorder: bool = False):
+        super().__init__(reorder, ts_col, id_col, failed_col)
+        self.max_failures, self.reset_us, self.suppress = max_failures, reset_timeout_s * 1_000_000, suppress
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last, last_id = self.state.get()
-        yield pd.DataFrame([(str(key[0]), last_id, pd.Timestamp(last, unit="us"), pd.Timestamp(last, unit="us"),
-                             None, "silent")], columns=["key", "event_id", "ts", "prev_ts", "gap_seconds", "kind"])
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", "failures long, is_open boolean, last_failure_us long")
 
-    def close(self) -> None:
-        pass
+    def _suppressed(self, us, failed, failures, is_open, last):
+        value, opened, made = Slice(us, failed, self.max_failures, self.reset_us).replay(is_open, failures, last)
+        return value, opened, made, made
+
+    def _counted(self, us, failed, failures, is_open, last):
+        place = np.arange(len(us))
+        success = np.maximum.accumulate(np.where(failed, -1, place))
+        value = place - success + np.where(success < 0, failures, 0)
+        opened = value >= self.max_failures
+        before = np.concatenate([[is_open], opened[:-1]])
+        since = np.concatenate([[last], us[:-1]])  # an open breaker's last event is its last failure
+        return value, opened, ~before | (us > since + self.reset_us), np.ones(len(us), bool)
+
+    def steps(self, key: str, us, ids, failed, passed) -> pd.DataFrame:
+        if not len(us):
+            return self._frame(key, ids, *[np.zeros(0, int)] * 5)
+        failures, is_open, last = self.state.get() if self.state.exists() else (0, False, NO_TIME)
+        how = self._suppressed if self.suppress else self._counted
+        value, opened, allowed, made = how(us, failed, failures, is_open, last)
+        bad = np.flatnonzero(made & failed)
+        if len(bad):
+            last = int(us[bad[-1]])
+        self.state.update((int(value[-1]), bool(opened[-1]), last))
+        return self._frame(key, ids, value, opened, allowed, made, np.zeros(len(us), int))
+
+    def late_rows(self, key: str, us, ids) -> pd.DataFrame:
+        none = np.full(len(ids), None)
+        return self._frame(key, ids, none, none, none, none, np.ones(len(ids), int))
+
+    @staticmethod
+    def _frame(key, ids, failures, is_open, can_execute, executed, late) -> pd.DataFrame:
+        def whole(x, kind):
+            return pd.array(x if x.dtype == object else x.astype(np.int64), kind)
+        return pd.DataFrame({"key": key, "event_id": ids, "failures": whole(failures, "Int64"), "is_open": whole(is_open, "Int32"),
+                             "can_execute": whole(can_execute, "Int32"), "executed": whole(executed, "Int32"),
+                             "late": whole(late, "Int32")}, columns=["key", "event_id", "failures", "is_open", "can_execute", "executed", "late"])
+
+
+class StallProcessor(KeyedProcessor):
+    """Per key: the time of the latest update. A new update more than ``timeout_s`` after it is a ``gap`` row (the streaming
+    form of W4). An update that comes late, with a time not after the latest one, changes nothing: the latest time never goes
+    back, so rows out of order give no false gap. With ``alarm=True`` (reordered by event time) a ``silent`` row says that no
+    update came within ``timeout_s`` of one: as soon as the watermark has passed that time, or with the update after it."""
+
+    def __init__(self, timeout_s: int = 300, alarm: bool = False, ts_col: str = "ts", id_col: str = "event_id",
+                 reorder: bool = False):
+        super().__init__(reorder or alarm, ts_col, id_col)
+        self.timeout_us, self.alarm = timeout_s * 1_000_000, alarm
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "last_us long, last_id long, silent boolean")
+
+    def steps(self, key: str, us, ids, flags, passed) -> pd.DataFrame:
+        out = []
+        if self.state.exists():
+            first, first_id, told = self.state.get()
+            us, ids = np.concatenate([[first], us]), np.concatenate([[first_id], ids])
+        else:
+            told = False
+        if not len(us):
+            return self._frame(key, out)
+        top = np.maximum.accumulate(us)
+        new = np.concatenate([[True], us[1:] > top[:-1]])  # an update that moves the latest time on
+        if self.alarm:  # of updates at one time, the last one stands for it
+            new = np.concatenate([[True], us[1:] >= top[:-1]])
+        us, ids = us[new], ids[new]
+        gap = np.diff(us)
+        wide = np.flatnonzero((gap > self.timeout_us) & (us[:-1] != NO_TIME))
+        out.append((ids[wide + 1], us[wide + 1], us[wide], gap[wide] / 1e6, "gap"))
+        if self.alarm:
+            quiet = wide[1:] if told and len(wide) and wide[0] == 0 else wide  # the first one has been told
+            told = told and len(us) == 1
+            if not told and us[-1] != NO_TIME and (us[-1] + self.timeout_us) // 1000 < passed:
+                quiet, told = np.append(quiet, len(us) - 1), True
+            out.append((ids[quiet], us[quiet], us[quiet], np.full(len(quiet), np.nan), "silent"))
+            if not told:
+                self._wake(int(us[-1] + self.timeout_us) // 1000)
+        self.state.update((int(us[-1]), int(ids[-1]), told))
+        return self._frame(key, out)
+
+    def late_rows(self, key: str, us, ids) -> pd.DataFrame:
+        return self._frame(key, [(ids, us, np.full(len(us), NO_TIME), np.full(len(us), np.nan), "late")])
+
+    @staticmethod
+    def _frame(key, parts) -> pd.DataFrame:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), "")
+        return pd.concat([pd.DataFrame({"key": pd.Series(key, range(len(i)), str), "event_id": i, "ts": stamps(t), "prev_ts": stamps(p),
+                                        "gap_seconds": g, "kind": kind}) for i, t, p, g, kind in parts or [none]], ignore_index=True)
 
 
 def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def breaker_stream(events: DataFrame, key_col: str, **kw) -> DataFrame:
-    """R4 on a streaming (or batch) frame with ``ts``, ``event_id`` and boolean ``failed`` columns."""
+def _keyed(events: DataFrame, key_col: str, processor: KeyedProcessor, out: str, delay: str | None) -> DataFrame:
     use_rocksdb(events.sparkSession)
+    if delay is not None:
+        # the watermark is on a copy that the processor does not get, or Spark would drop late rows before it sees them
+        ts = F.col(processor.ts_col).cast("timestamp")  # watermarks need TIMESTAMP; naive times are UTC (session time zone)
+        events = events.withColumn("_event_time", ts).withWatermark("_event_time", delay).drop("_event_time")
     return events.groupBy(key_col).transformWithStateInPandas(
-        statefulProcessor=BreakerProcessor(**kw), outputStructType=BREAKER_OUT, outputMode="Append", timeMode="None")
+        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime" if delay else "None")
+
+
+def breaker_stream(events: DataFrame, key_col: str, *, reorder: str | None = None, **kw) -> DataFrame:
+    """R4 on a streaming frame with ``ts``, ``event_id`` and boolean ``failed`` columns; ``reorder`` is the watermark's delay
+    within which events may come in any order (``late = 1`` marks those that came later still)."""
+    return _keyed(events, key_col, BreakerProcessor(reorder=reorder is not None, **kw), BREAKER_OUT, reorder)
 
 
 def stall_stream(events: DataFrame, key_col: str, *, alarm: bool = False, watermark: str = "10 minutes",
-                 **kw) -> DataFrame:
-    """R5. ``alarm=True`` switches to event time: the input gets a watermark on ``ts``."""
-    use_rocksdb(events.sparkSession)
-    if alarm:
-        ts = kw.get("ts_col", "ts")
-        # watermarks need TIMESTAMP; naive times are UTC (session time zone)
-        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    return events.groupBy(key_col).transformWithStateInPandas(
-        statefulProcessor=StallProcessor(alarm=alarm, **kw), outputStructType=STALL_OUT, outputMode="Append",
-        timeMode="EventTime" if alarm else "None")
+                 reorder: str | None = None, **kw) -> DataFrame:
+    """R5. ``alarm=True`` reorders by event time with the delay ``watermark`` and raises ``silent`` rows."""
+    delay = watermark if alarm else reorder
+    return _keyed(events, key_col, StallProcessor(alarm=alarm, reorder=delay is not None, **kw), STALL_OUT, delay)
