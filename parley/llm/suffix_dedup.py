@@ -392,12 +392,15 @@ def whole_words(text: memoryview, a: int, b: int) -> int:
     return max(len(words) - cut, 0)
 
 
-def digest_of(text: memoryview, runs: list[tuple[int, int]], reported: list[tuple[int, int]]) -> tuple:
+def digest_of(text: memoryview, runs: list[tuple[int, int]], reported: list[tuple[int, int]] | None = None) -> tuple:
     h = hashlib.sha256()
     for part in remaining(text, runs):
         h.update(part)
+    out = len(text), sum(b - a for a, b in runs), len(runs), h.hexdigest()
+    if reported is None:
+        return out
     passages = [n for n in (whole_words(text, a, b) for a, b in reported) if n > PASSAGE_WORDS]
-    return len(text), sum(b - a for a, b in runs), len(runs), h.hexdigest(), len(passages), sum(passages)
+    return *out, len(passages), sum(passages)
 
 
 def text_of(text: memoryview, runs: list[tuple[int, int]]) -> tuple[str]:
@@ -405,14 +408,14 @@ def text_of(text: memoryview, runs: list[tuple[int, int]]) -> tuple[str]:
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words) of every row. The last two report runs of
-    bytes in repeated strings of ``PASSAGE_BYTES`` and more that hold over ``PASSAGE_WORDS`` whole words; nothing is removed
-    for them."""
-    how = {"report": PASSAGE_BYTES, "gram": PASSAGE_GRAM, **how}
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row. With ``report`` also n_passages and n_passage_words: runs
+    of bytes in repeated strings of ``report`` bytes and more (``PASSAGE_BYTES``) that hold over ``PASSAGE_WORDS`` whole words;
+    nothing is removed for them."""
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), F.xxhash64(id_col, text_col).alias("doc"),
                        F.col(text_col).alias("text"))
-    outputs = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string",
-               "n_passages": "bigint", "n_passage_words": "bigint"}
+    outputs = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    if how.get("report"):
+        outputs |= {"n_passages": "bigint", "n_passage_words": "bigint"}
     return with_repeats_removed(rows, digest_of, outputs, **how).select("row.doc_id", *outputs)
 
 

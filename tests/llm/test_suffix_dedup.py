@@ -95,8 +95,10 @@ def test_digests_equal_brute_force(spark, monkeypatch, limits):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
     rows = edited_family(3) + messy_rows()
     rows += [(300 + i, prose(i, 30) + " " + prose(77, 52 + 3 * i) + "\n" + prose(90 + i, 20), "en", "a", 1) for i in range(6)]
-    got = [tuple(r) for r in repeat_digests(spark.createDataFrame(rows, SCHEMA), **limits).collect()]
-    want = brute_digest(rows)
+    df, want = spark.createDataFrame(rows, SCHEMA), brute_digest(rows)
+    assert sorted((tuple(r) for r in repeat_digests(df, **limits).collect()), key=repr) == sorted((r[:5] for r in want), key=repr)
+    reported = {"report": suffix_dedup.PASSAGE_BYTES, "gram": suffix_dedup.PASSAGE_GRAM}
+    got = [tuple(r) for r in repeat_digests(df, **reported, **limits).collect()]
     assert sorted(got, key=repr) == want and sum(r[5] and not r[2] for r in want) > 2
 
 
