@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -48,8 +49,11 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("address article aside body details dialog div fieldset footer form header html main menu nav search section".split())
 SCOPES = frozenset("table ul ol dl article section div main aside nav header footer body html td th form blockquote".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
-LOOSE = re.compile(r"<[a-zA-Z][^>]*(?:>|\Z)")
+HARD_SCOPES = SCOPES - {"td", "th"}
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SIGNS = re.compile("[>\"']")
+#: A tag without angle brackets in its quotations: most are. It looks no further than the next bracket.
+PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 MARK = re.compile(r'data-y="([01])"')
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -74,10 +78,115 @@ class Page:
         return len(self.parent) - 1
 
 
+class Tags:
+    """The tags of a page from left to right. Every sign that can end a tag or a quotation is looked at once, however many tags
+    are cut off or have a stray quote."""
+
+    def __init__(self, source: str):
+        self.source, self.signs = source, None
+
+    def _look(self) -> None:
+        source = self.source
+        self.signs = [m.start() for m in SIGNS.finditer(source)]
+        self.after: dict[int, int] = {}  # by index of a sign outside quotations: where the tag ends, -1 for nowhere
+        self.next_same = [len(self.signs)] * len(self.signs)
+        seen: dict[str, int] = {}
+        for k in range(len(self.signs) - 1, -1, -1):
+            sign = source[self.signs[k]]
+            self.next_same[k] = seen.get(sign, len(self.signs))
+            seen[sign] = k
+
+    def end(self, at: int) -> int:
+        """The first ">" from ``at`` on that is outside quotations, -1 if there is none or a quotation does not end."""
+        if self.signs is None:
+            self._look()
+        k, way, found = bisect_left(self.signs, at), [], -1
+        while k < len(self.signs):
+            if k in self.after:
+                found = self.after[k]
+                break
+            way.append(k)
+            if self.source[self.signs[k]] == ">":
+                found = self.signs[k]
+                break
+            k = self.next_same[k] + 1  # beyond the quotation
+        for k in way:
+            self.after[k] = found
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, closing) of the next tag, comment or tag that is cut off; no name for the latter two."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            plain = PLAIN_TAG.match(source, start)
+            if plain:
+                closing, name, attributes = plain.groups()
+                return start, plain.end(), name.lower(), attributes, closing != ""
+            if source.startswith("<!--", start):
+                stop = source.find("-->", start + 4)
+                return start, len(source) if stop < 0 else stop + 3, "", "", False
+            sign = source[start + 1:start + 2]
+            name = TAG_NAME.match(source, start + 1 + (sign == "/"))
+            if name and (stop := self.end(name.end())) >= 0:
+                return start, stop + 1, name.group().lower(), source[name.end():stop], sign == "/"
+            if name or sign and sign in "!?/":
+                stop = source.find(">", start)
+                stop = len(source) if stop < 0 else stop + 1
+                return start, stop if sign in "!?/" else self.cut(start + 1, stop), "", "", False
+            at = start + 1
+        return None
+
+    def cut(self, at: int, stop: int) -> int:
+        """Where a tag with a stray quote ends: at the next ">", or before the next tag or comment."""
+        source = self.source
+        while (at := source.find("<", at, stop)) >= 0:
+            sign, name = source[at + 1:at + 2], TAG_NAME.match(source, at + 1)
+            if sign and sign in "!?/" or name and self.end(name.end()) >= 0:
+                return at
+            at += 1
+        return stop
+
+
+NONE = (0,)
+
+
+class Open(list):
+    """The open elements, (tag, the block node each stands in), and where those of a tag and of a scope are."""
+
+    def __init__(self):
+        super().__init__()
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.hard: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        at = len(self)
+        self.append((tag, node))
+        if at:  # the page itself is never closed
+            self.places.setdefault(tag, []).append(at)
+            if tag in SCOPES:
+                self.scopes.append(at)
+            if tag in HARD_SCOPES:
+                self.hard.append(at)
+
+    def shut(self) -> str:
+        tag, _ = self.pop()
+        self.places[tag].pop()
+        for places in (self.scopes, self.hard):
+            if places and places[-1] == len(self):
+                places.pop()
+        return tag
+
+    def last(self, tags) -> int:
+        """The innermost of the open elements with one of ``tags``, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
 def parse(source: str) -> Page:
     page = Page()
     page.add(-1, "html", "")
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; the block node each stands in
+    stack, tags = Open(), Tags(source)
+    stack.push("html", 0)
     run: list[str] = []
     linked = links = hidden = 0
 
@@ -103,37 +212,29 @@ def parse(source: str) -> Page:
     def close(at: int) -> None:
         """Close open elements down to ``at``."""
         nonlocal links, hidden
-        if any(t in BLOCKS for t, _ in stack[at:]):
+        if run and any(t in BLOCKS for t, _ in stack[at:]):
             flush()
-        for t, _ in stack[at:]:
+        while len(stack) > at:
+            t = stack.shut()
             links -= t == "a"
             hidden -= t in HIDDEN
-        del stack[at:]
 
     at, end = 0, len(source)
     while at < end:
-        m = TOKEN.search(source, at)
-        loose = None if m is None and "<" not in source[at:at + 1] and source.find("<", at) < 0 else LOOSE.search(
-            source, at, m.start() if m else end)
-        if loose and (m is None or loose.start() < m.start()):  # a tag with a stray quote, or cut off
-            see(source[at:loose.start()])
-            at = loose.end()
-            continue
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             see(source[at:])
             break
-        see(source[at:m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+        start, stop, tag, attributes, closing = found
+        see(source[at:start])
+        at = stop
         if not tag:
             continue
-        if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag or tag in HEADINGS and stack[i][0] in HEADINGS:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES and tag not in BLOCKS:  # an inline end tag does not reach out of its block
-                    break
+        if closing:
+            i = stack.last(HEADINGS) if tag in HEADINGS else (stack.places.get(tag) or NONE)[-1]
+            # an inline end tag does not reach out of its block
+            if i and (tag in BLOCKS or not stack.scopes or stack.scopes[-1] <= i):
+                close(i)
             continue
         if stack[-1][0] == "head" and tag not in HEAD_PARTS:  # the end tag of head may be left out
             close(len(stack) - 1)
@@ -144,31 +245,24 @@ def parse(source: str) -> Page:
             continue
         if tag in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends before a block
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            i = (stack.places.get("p") or NONE)[-1]  # an open paragraph ends before a block
+            if i > (stack.scopes[-1] if stack.scopes else 0):
+                close(i)
             ends = CLOSED_BY.get(tag)
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                        if tag in ("li", "dt", "dd"):
-                            break
-                    elif stack[i][0] in SCOPES and stack[i][0] not in ("td", "th"):
-                        break
-        if m.group(3).endswith("/") and (tag in FOREIGN or tag in RAW and any(t in FOREIGN for t, _ in stack)):
+            while ends and (i := stack.last(ends)) > (stack.hard[-1] if stack.hard else 0):
+                close(i)
+                if tag in ("li", "dt", "dd"):
+                    break
+        if attributes.endswith("/") and (tag in FOREIGN or tag in RAW and stack.last(FOREIGN)):
             continue
         if tag in VOID:
             if tag not in BLOCKS:
                 see(" " if tag in ("img", "input") else "")
             continue
         if tag in BLOCKS and not hidden:
-            stack.append((tag, page.add(stack[-1][1], tag, m.group(3))))
+            stack.push(tag, page.add(stack[-1][1], tag, attributes))
         else:
-            stack.append((tag, stack[-1][1]))
+            stack.push(tag, stack[-1][1])
         links += tag == "a"
         hidden += tag in HIDDEN
         if tag in RAW:  # its text is not markup

@@ -1,3 +1,4 @@
+import time
 from itertools import product
 
 import pytest
@@ -97,3 +98,28 @@ def test_query_rows(spark, model):
     want.append((None, "w", ("Long words. " * 20000).strip(), 12 * 20000 - 1))
     assert got == sorted(want, key=repr)
     assert main_texts(df.where("false")).count() == 0
+
+
+HOSTILE = {"stray end tags": "<b>" * 120_000 + "</i>" * 160_000, "unclosed quotes": '<a href="x>' * 90_001, "cut-off tags": "<a " * 340_000,
+           "open brackets": "<" * 1_000_000, "deep nesting": "<div>" * 200_000, "open paragraphs": "<b>" * 100_000 + "<p>" * 200_000,
+           "list items": "<b>" * 100_000 + "<li>" * 100_000, "rows": "<table>" + "<b>" * 100_000 + "<tr>" * 100_000,
+           "quotes in quotes": "<x '\">\"' " * 90_000, "headings": "<b>" * 100_000 + "</h1>" * 100_000, "odd quotes": "<a \"'>" * 150_001,
+           "foreign": "<svg>" + "<title/>" * 100_000, "comments": "<!-" * 300_000}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(kind):
+    began = time.process_time()
+    parse(HOSTILE[kind])
+    assert time.process_time() - began < 6  # of about a megabyte; each takes under 2 s on an idle machine
+
+
+def test_tags_with_stray_quotes():
+    def leaves(source):
+        page = parse(source)
+        return [t for t in page.text if t]
+    assert leaves('<p>one <a href="x>two</a> three</p><p>four') == ["one two three", "four"]
+    assert leaves('<p>one</p><p title="a>b">two</p>') == ["one", "two"]
+    assert leaves("<p>one <i x='>two <b>three") == ["one two three"]
+    assert leaves("a < b <<p>c") == ["a < b <", "c"]
+    assert leaves("<p>x</p class=\"><p>y</p>") == ["x", "y"]
