@@ -93,6 +93,16 @@ def trained_counts(docs: DataFrame, train: Column, text_col: str, lang_col: str)
     return src.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
+def packed(counts: DataFrame) -> DataFrame:
+    """(lang, counts): the counts of a language's trigrams as one array of ``BINS`` 64-bit integers."""
+    def pack(rows: pa.Table) -> pa.Table:
+        full = np.zeros(BINS, np.int64)
+        full[rows["bin"].to_numpy()] = rows["n"].to_numpy()
+        return pa.table({"lang": rows["lang"][:1], "counts": pa.array([full.tobytes()], pa.binary())})
+
+    return counts.groupBy("lang").applyInArrow(pack, "lang string, counts binary")
+
+
 class Mixture:
     """Log-likelihoods of trigrams by language, and the inference of a document's languages."""
 
@@ -100,11 +110,11 @@ class Mixture:
         self.langs, self.table, self.penalty = langs, table, penalty
 
     @classmethod
-    def of(cls, rows: list[tuple[str, int, int]], penalty: float = 1.0) -> "Mixture":
-        langs = sorted({r[0] for r in rows})
+    def of(cls, counts_of: dict[str, np.ndarray], penalty: float = 1.0) -> "Mixture":
+        langs = sorted(counts_of)
         counts = np.full((len(langs), BINS), SMOOTH)
-        for lang, at, n in rows:
-            counts[langs.index(lang), at] += n
+        for k, lang in enumerate(langs):
+            counts[k] += counts_of[lang]
         return cls(langs, np.log(counts / counts.sum(axis=1, keepdims=True)), penalty)
 
     def word_scores(self, bins: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
@@ -170,8 +180,9 @@ def predicted_languages(docs: DataFrame, train: Column, held_out: Column, id_col
 
     ``score`` is the predicted language's proportion; ``languages`` lists the chosen set, largest first.
     """
-    rows = [tuple(r) for r in trained_counts(docs, train, text_col, lang_col).collect()]  # languages x 65,536 at most
-    model = docs.sparkSession.sparkContext.broadcast(Mixture.of(rows, penalty))
+    rows = packed(trained_counts(docs, train, text_col, lang_col)).collect()  # an array of 512 KB a language
+    counts = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows}
+    model = docs.sparkSession.sparkContext.broadcast(Mixture.of(counts, penalty))
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                       F.col(text_col).alias("text"))
 
