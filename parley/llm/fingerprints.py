@@ -26,12 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parley.llm.common import record_batch
 
 KMER, SIZE, SEED = 8, 64, 11
 BLOCK = 1 << 13
 RANGES_A_TASK = 8
+SAMPLED = 100  # text ids a range, to cut ranges by
 BASE = np.uint64(0x100000001B3)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -150,20 +152,32 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
 
+def range_cuts(rows: DataFrame, ranges: int) -> np.ndarray:
+    """Ascending ids that part the rows in about equal ranges: quantiles of integers; of text, those of the ids with the least
+    hashes (``SAMPLED`` a range)."""
+    if not isinstance(rows.schema["id"].dataType, StringType):
+        cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
+        return np.unique(np.array(cuts or [], np.int64))
+    some = rows.where("id is not null").select("id").orderBy(F.xxhash64("id")).limit(SAMPLED * ranges).collect()
+    ids = sorted({r["id"] for r in some})  # Python compares text by code points, as Spark does
+    return np.array([ids[len(ids) * i // ranges] for i in range(1, ranges)] if ids else [], object)
+
+
 def with_neighbours(rows: DataFrame, ranges: int) -> DataFrame:
     """``rows`` (id, text) in ranges of descending id, one task each; every range ends with a copy of the next's first.
 
-    Ranges are cut at approximate quantiles of the id (any cuts give the same result). The heads of the ranges, one row
+    Ids are integers or text. Ranges are cut at approximate quantiles of the id (any cuts give the same result). The heads of the ranges, one row
     each, are all that the driver and the broadcast see.
     """
-    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    cuts, named = range_cuts(rows, ranges), F.col("id")
+    if cuts.dtype != object:
+        named = F.coalesce(named.cast("bigint"), F.lit(0))
 
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64), side="left"))
+        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.fillna("").to_numpy(cuts.dtype), side="left"))
 
     rows = rows.withColumn("range", F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.pandas_udf(place, "int")(F.coalesce(F.col("id").cast("bigint"), F.lit(0)))))
+        F.pandas_udf(place, "int")(named)))
     rows = rows.withColumn("key", F.xxhash64("text"))
     top = F.max(F.struct(F.col("id").isNotNull().alias("named"), "id", "key")).alias("top")
     heads = rows.groupBy("range").agg(top).orderBy("range").collect()  # at most ranges + 1 rows

@@ -74,3 +74,14 @@ def test_null_ids_ties_one_row_and_empty(spark):
     one = neighbour_fingerprints(df.where("doc_id = 10"), ranges=3).collect()
     assert [(r.doc_id, r.near_next) for r in one] == [(10, 1.0)]
     assert neighbour_fingerprints(empty(spark)).count() == 0
+
+
+def test_text_ids(spark):
+    ids = ["b", "a", "", "ß", "\U0001f600", "aa", "B", None, "10", "9"]
+    rows = [(i, prose(k, 30 + k)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0], reverse=True)
+    want = brute([*named, (None, rows[7][1])])  # no id comes last
+    for ranges in (1, 4):
+        got = [tuple(r) for r in neighbour_fingerprints(df, ranges=ranges).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
