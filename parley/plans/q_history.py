@@ -54,6 +54,24 @@ def q_history_pages(spark, sf):
     return H.history_pages(_ev(spark, sf)).select("channel_id", "id", "page")
 
 
+PAGE_BLOCK = 2_000  # ids a folder of the stored history
+
+
+@register("paged_source", f"""
+select channel_id, id, "timestamp", page, 1 attempts from {_PAGES_SQL}""")
+def q_paged_source(spark, sf):
+    """The events stored as a history that can only be had page by page, read through the data source over a page
+    function, one channel a task."""
+    from parley.session import shared_dir
+    from parley.sources.paged import Pages, read_paged, stored_pages
+    folder = shared_dir(spark, "paged_history")
+    ev = _ev(spark, sf).select("id", "timestamp", "channel_id").withColumn("block", F.expr(f"id div {PAGE_BLOCK}"))
+    ev.repartition("channel_id", "block").write.partitionBy("channel_id", "block").parquet(folder)
+    channels = tuple(r[0] for r in ev.select("channel_id").distinct().collect())  # what a user asks for
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return read_paged(spark, "stored_history", Pages(stored_pages(uri, PAGE_BLOCK), channels), "id bigint, timestamp timestamp_ntz")
+
+
 @register("history_pages_reference", f"""
 with p as (select *, "timestamp" >= {_S} and "timestamp" <= {_RE} keep from {_PAGES_SQL}),
 k as (select channel_id, page, sum(case when keep then 1 else 0 end) kept from p group by all),
