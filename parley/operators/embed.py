@@ -96,18 +96,22 @@ def worker_encoder(name: str, factory: Callable[[], object]):
 def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str = "content",
           out_col: str = "embedding", batch: int = 100, name: str | None = None) -> DataFrame:
     """``encoder_factory()`` must return an object with ``encode(list[str]) -> array-like``. ``name`` tells
-    encoders of one factory (say, of several models) apart in a worker's cache."""
+    encoders of one factory (say, of several models) apart in a worker's cache. A null text has no vector, as in
+    :func:`hash_unit`."""
     name = name or f"{encoder_factory.__module__}.{encoder_factory.__qualname__}"
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = worker_encoder(name, encoder_factory)
         for texts in batches:
-            vals = texts.fillna("").tolist()
+            there = texts.notna()
+            vals = texts[there].tolist()
             vecs = []
             for s in range(0, len(vals), batch):
                 vecs.extend(np.asarray(enc.encode(vals[s:s + batch]), dtype=np.float32))
-            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vecs], dtype=object)
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            out[there] = pd.Series(vecs, index=texts.index[there], dtype=object)
+            yield out
 
     return df.withColumn(out_col, _encode(F.col(text_col)))
 

@@ -248,7 +248,8 @@ def hydrate(results: DataFrame, documents: DataFrame, *, id_col: str = "id", doc
             document_col: str = "document", metadata_cols: tuple[str, ...] = ()) -> DataFrame:
     """J5 + N10: attach document text / metadata to the top-k rows; ``include`` prunes columns.
 
-    A hit without a document stays, with nulls. The top-k side (``queries x k`` rows) is written once through a reliable
+    A hit without a document stays, with nulls; of several documents with one id the first in the order of the wanted columns
+    is taken, so a query never gets more than its k rows. The top-k side (``queries x k`` rows) is written once through a reliable
     checkpoint; adaptive execution reduces the documents to the hits by a semi join of its measured size first.
     """
     keep = [F.col(c) for c in ("qid", "rank", id_col)]
@@ -262,6 +263,11 @@ def hydrate(results: DataFrame, documents: DataFrame, *, id_col: str = "id", doc
         cols += [F.col(c) for c in metadata_cols]
     hits = r.select(F.col(id_col).alias("_doc_key")).distinct()
     docs = documents.select(*cols).join(hits, "_doc_key", "left_semi")
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in docs.schema):
+        docs = docs.dropDuplicates(["_doc_key"])  # no order among maps
+    else:
+        rest = [c for c in docs.columns if c != "_doc_key"]
+        docs = docs.groupBy("_doc_key").agg(F.min(F.struct(*rest)).alias("_d")).select("_doc_key", "_d.*") if rest else docs.distinct()
     return r.join(docs, r[id_col] == docs["_doc_key"], "left").drop("_doc_key")
 
 

@@ -22,7 +22,7 @@ from parley.session import shared_dir
 from parley.sources.batches import read_message_batches, write_batch_files
 from parley.sources.collection import collection_add, collection_compact, collection_opt_in, collection_opt_out, open_collection
 from parley.sources.registry import load_ingest_state, read_opt_out
-from parley.streaming.ingest import (collection_stream, file_table_stream, ingest_state_stream, ingest_stream,
+from parley.streaming.ingest import (collection_stream, dedup_stream, file_table_stream, ingest_state_stream, ingest_stream,
                                      latest_progress, message_file_stream, privacy_stream, progress_stream)
 
 _STATE_TIME = dt.datetime(2025, 1, 1, 0, 0, 0)
@@ -247,6 +247,32 @@ def q_encrypt_files(spark, sf):
     return normalize_saved(raw, keep=("batch", "pos")).select(*_BATCH_COLS)
 
 
+@register("envelope_rotation", _BATCH_ORACLE)
+def q_envelope_rotation(spark, sf):
+    """X1 + K5 + S8: the batch files with a key each, wrapped by one master key, rewrapped by another, read with that alone."""
+    from parley.sources.batches import parse_batch_files
+    from parley.sources.secure import decrypt_envelopes, encrypt_envelopes, rotate_envelopes
+    keys = {"first": b"fedcba9876543210fedcba9876543210", "second": b"0123456789abcdef0123456789abcdef"}
+    out = shared_dir(spark, "envelopes")
+    encrypt_envelopes(spark, _conversation_batches(spark, sf), out, keys, "first", glob="part-*")
+    rotate_envelopes(spark, out, keys, "second")
+    files = decrypt_envelopes(spark, out, {"second": keys["second"]}).select(F.col("source_path").alias("path"), "content")
+    return normalize_saved(parse_batch_files(files), keep=("batch", "pos")).select(*_BATCH_COLS)
+
+
+@register("dedup_stream", f"select cast(id as varchar) id, author, content, channel_id from {CONV_SQL}")
+def q_dedup_stream(spark, sf):
+    """R1 + S7: every batch file is delivered twice; a message that comes again within an hour is one row."""
+    path = _conversation_batches(spark, sf)
+    spark.read.text(path, wholetext=True).select("value").write.mode("append").text(f"{path}/batch=again")
+    out, ckpt = shared_dir(spark, "dedup_out"), shared_dir(spark, "dedup_ckpt")
+    once = dedup_stream(message_file_stream(spark, path, max_files_per_trigger=200))
+    q = (once.select("id", "author", "content", "channel_id").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 @register("ingest_state_stream", f"""
 select channel_id, cast(min(id) as varchar) oldest_message_id, count(distinct (batch, place // 100)) batch_count,
        count(*) total_messages

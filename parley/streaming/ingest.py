@@ -53,6 +53,23 @@ def ingest_stream(spark: SparkSession, in_dir: str, out: str, checkpoint: str, *
     return _run(w, available_now)
 
 
+def dedup_stream(msgs: DataFrame, *, id_cols: tuple[str, ...] = ("channel_id", "id"), delay: str = "1 hour",
+                 time_col: str | None = None) -> DataFrame:
+    """A message that is delivered again within ``delay`` is one row; the state holds the ids of about that time.
+
+    Time is that of arrival (the micro-batch's), so no first delivery is ever late, however old the message; ``time_col`` takes
+    a column instead, and then rows below the watermark are dropped. Rows without an id are the same only if all their
+    columns are.
+    """
+    from parley.operators.ordered import row_hash
+
+    own = F.when(F.col(id_cols[-1]).isNull(), F.concat(F.lit("row:"), row_hash(msgs).cast("string"))).otherwise(
+        F.concat(F.lit("id:"), F.col(id_cols[-1]).cast("string")))
+    timed = msgs.withColumn("_time", F.current_timestamp() if time_col is None else F.col(time_col).cast("timestamp"))
+    keyed = timed.withColumn("_own", own).withWatermark("_time", delay)
+    return keyed.dropDuplicatesWithinWatermark([*id_cols[:-1], "_own"]).drop("_time", "_own")
+
+
 def privacy_stream(msgs: DataFrame, optout: DataFrame | None = None, **kw) -> DataFrame:
     """R2: stateless drop-empty, opt-out (stream-static anti join) and redaction."""
     return apply_privacy(drop_empty_content(msgs), optout, **kw)

@@ -44,3 +44,35 @@ def test_state_of_two_queries_is_the_latest_record(spark, tmp_path):
     got = {r.channel_id: r.total_messages for r in load_ingest_state(spark, state).collect()}
     assert got == {"a": 1, "b": 1, None: 1}  # the later query's record; the former one's folder is still there
     assert len(list((tmp_path / "state").glob("query=*"))) == 2
+
+
+def test_redelivered_messages_are_one_row(spark, tmp_path):
+    from parley.streaming.ingest import dedup_stream
+    schema = "id string, channel_id string, content string, at timestamp"
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for rows in ([("1", "a", "x", 0), ("1", "a", "x", 0), ("2", "a", "y", 5), (None, "a", "n", 6)],
+                 [("1", "a", "x", 0), ("1", "b", "other channel", 8), (None, "a", "n", 6), (None, "a", "m", 9)],
+                 [("2", "a", "again", 7)]):
+        spark.createDataFrame([(i, c, t, s) for i, c, t, s in rows], "id string, channel_id string, content string, s long") \
+            .selectExpr("id", "channel_id", "content", "timestamp_seconds(s) at").coalesce(1).write.mode("append").parquet(src)
+    once = dedup_stream(file_table_stream(spark, src, schema))
+    q = (once.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(((r.id or "", r.channel_id, r.content) for r in spark.read.parquet(out).collect()))
+    assert got == [("", "a", "m"), ("", "a", "n"), ("1", "a", "x"), ("1", "b", "other channel"), ("2", "a", "y")]
+    assert spark.read.parquet(out).columns == ["id", "channel_id", "content", "at"]
+
+
+def test_the_state_of_deduplication_is_bounded_by_the_watermark(spark, tmp_path):
+    from parley.streaming.ingest import dedup_stream
+    schema, src = "id string, channel_id string, at timestamp", str(tmp_path / "src")
+    for k in range(5):  # a thousand seconds and 50 ids a file
+        spark.range(50).selectExpr(f"concat('{k}-', id) id", "'a' channel_id", f"timestamp_seconds(100000 + {k} * 1000 + id) at") \
+            .coalesce(1).write.mode("append").parquet(src)
+    once = dedup_stream(file_table_stream(spark, src, schema), delay="100 seconds", time_col="at")
+    q = (once.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 250 and max(held) <= 100 and held[-1] <= 50

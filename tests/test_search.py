@@ -134,3 +134,20 @@ def test_null_vectors_and_zero_vectors(spark):
     assert vector_rejects(coll).count() == 3
     pair = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<float>, b array<float>")
     assert pair.select(vector_distance(F.col("a"), F.col("b"), "cosine")).first()[0] == 1.0
+
+
+def test_a_document_id_that_occurs_twice_does_not_multiply_hits(spark):
+    from parley.operators.search import hydrate
+    res = spark.createDataFrame([(0, 1, "a", 0.1, 0.9), (0, 2, "b", 0.2, 0.8), (0, 3, "c", 0.3, 0.7)],
+                                "qid int, rank int, id string, distance double, similarity double")
+    docs = spark.createDataFrame([("a", "z"), ("a", "y"), ("b", "x"), ("b", "x")], "id string, document string")
+    got = hydrate(res, docs).orderBy("rank").collect()
+    assert [(r.id, r.document) for r in got] == [("a", "y"), ("b", "x"), ("c", None)]
+    assert hydrate(res, docs, include=("distances",)).count() == 3
+
+
+def test_a_null_text_has_no_vector_in_either_encoder(spark):
+    from parley.operators.embed import FirstCharsEncoder, embed, embed_hashing
+    df = spark.createDataFrame([(1, None), (2, "ab"), (3, ""), (4, None)], "i int, content string")
+    for out in (embed(df, FirstCharsEncoder, batch=1), embed_hashing(df)):
+        assert {r.i: r.embedding is None for r in out.collect()} == {1: True, 2: False, 3: False, 4: True}
