@@ -113,6 +113,17 @@ def q_ingest_totals(spark, sf):
     return H.ingest_totals(H.history_pages(H.filter_date_range(_ev(spark, sf), START, END)))
 
 
+@register("observed_totals", f"""
+select channel_id, count(*) total_messages, max(page) batch_count from {_FILTERED_PAGES_SQL} group by all""")
+def q_observed_totals(spark, sf):
+    """A2 without a second pass: the counters ride along with the write of the pages."""
+    from parley.session import shared_dir
+    from parley.streaming.metrics import write_with_totals
+    ev = H.filter_date_range(_ev(spark, sf), START, END)
+    channels = sorted(r[0] for r in ev.select("channel_id").distinct().collect())  # what a user asks for
+    return write_with_totals(H.history_pages(ev), shared_dir(spark, "observed"), channels)
+
+
 @register("running_totals", f"""
 with c as (select channel_id, page, count(*) messages from {_FILTERED_PAGES_SQL} group by all)
 select channel_id, page, messages,
