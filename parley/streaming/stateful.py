@@ -84,11 +84,12 @@ class KeyedProcessor(StatefulProcessor):
             keep = ~late
             self.waiting.appendList(list(zip(us[keep].tolist(), ids[keep].tolist(), flags[keep].tolist())))
             self._wake(int(us[keep].min()) // 1000)
-        yield self.late_rows(str(key[0]), us[late], ids[late])
+        if late.any():
+            yield self.late_rows(str(key[0]), us[late], ids[late])
 
     def _wake(self, ms: int) -> None:
         """One timer a key: at the first time at which something is to be done."""
-        now = self.alarm_at.get()[0] if self.alarm_at.exists() else None
+        now = (self.alarm_at.get() or (None,))[0]
         if now is None or ms < now:
             if now is not None:
                 self.handle.deleteTimer(now)
@@ -146,27 +147,24 @@ class BreakerProcessor(KeyedProcessor):
 
     def steps(self, key: str, us, ids, failed, passed) -> pd.DataFrame:
         if not len(us):
-            return self._frame(key, ids, *[np.zeros(0, int)] * 5)
-        failures, is_open, last = self.state.get() if self.state.exists() else (0, False, NO_TIME)
+            return self._frame(np.zeros(0, str), ids, *[np.zeros(0, int)] * 5)
+        failures, is_open, last = self.state.get() or (0, False, NO_TIME)
         how = self._suppressed if self.suppress else self._counted
         value, opened, allowed, made = how(us, failed, failures, is_open, last)
         bad = np.flatnonzero(made & failed)
         if len(bad):
             last = int(us[bad[-1]])
         self.state.update((int(value[-1]), bool(opened[-1]), last))
-        return self._frame(key, ids, value, opened, allowed, made, np.zeros(len(us), int))
+        return self._frame(key, ids, value, *(x.astype(np.int32) for x in (opened, allowed, made)), np.zeros(len(us), np.int32))
 
     def late_rows(self, key: str, us, ids) -> pd.DataFrame:
-        none = np.full(len(ids), None)
-        return self._frame(key, ids, none, none, none, none, np.ones(len(ids), int))
+        none = pd.array([None] * len(ids), "Int64")
+        return self._frame(key, ids, none, none, none, none, np.ones(len(ids), np.int32))
 
     @staticmethod
     def _frame(key, ids, failures, is_open, can_execute, executed, late) -> pd.DataFrame:
-        def whole(x, kind):
-            return pd.array(x if x.dtype == object else x.astype(np.int64), kind)
-        return pd.DataFrame({"key": key, "event_id": ids, "failures": whole(failures, "Int64"), "is_open": whole(is_open, "Int32"),
-                             "can_execute": whole(can_execute, "Int32"), "executed": whole(executed, "Int32"),
-                             "late": whole(late, "Int32")}, columns=["key", "event_id", "failures", "is_open", "can_execute", "executed", "late"])
+        return pd.DataFrame({"key": key, "event_id": ids, "failures": failures, "is_open": is_open, "can_execute": can_execute,
+                             "executed": executed, "late": late})
 
 
 class StallProcessor(KeyedProcessor):
@@ -185,8 +183,9 @@ class StallProcessor(KeyedProcessor):
 
     def steps(self, key: str, us, ids, flags, passed) -> pd.DataFrame:
         out = []
-        if self.state.exists():
-            first, first_id, told = self.state.get()
+        known = self.state.get()
+        if known:
+            first, first_id, told = known
             us, ids = np.concatenate([[first], us]), np.concatenate([[first_id], ids])
         else:
             told = False
