@@ -18,7 +18,7 @@ from parley.session import shared_dir
 from parley.sources.manifest import Files
 from parley.streaming.stateful import breaker_stream, stall_stream
 
-FILE_BYTES, MIN_FILES = 32 << 20, 4
+FILE_BYTES, MIN_FILES = 32 << 20, 2
 DELAY_S = 3600  # within which events may come in any order
 
 
