@@ -21,9 +21,10 @@ from parley.plans.tables import CONV_SQL, DOCS_SQL, conversations_as_messages, d
 from parley.session import shared_dir
 from parley.sources.batches import read_message_batches, write_batch_files
 from parley.sources.collection import collection_add, collection_compact, collection_opt_in, collection_opt_out, open_collection
+from parley.sources.manifest import Files
 from parley.sources.registry import load_ingest_state, read_opt_out
-from parley.streaming.ingest import (collection_stream, dedup_stream, file_table_stream, ingest_state_stream, ingest_stream,
-                                     latest_progress, message_file_stream, privacy_stream, progress_stream)
+from parley.streaming.ingest import (TRIGGER_BYTES, collection_stream, dedup_stream, file_table_stream, ingest_state_stream,
+                                     ingest_stream, latest_progress, message_file_stream, privacy_stream, progress_stream)
 
 _STATE_TIME = dt.datetime(2025, 1, 1, 0, 0, 0)
 
@@ -44,6 +45,18 @@ def _conversation_batches(spark, sf) -> str:
     return out
 
 
+MICRO_BATCHES = 3
+
+
+def _trigger_bytes(spark, path: str) -> int:
+    """Bytes a micro-batch: at most ``TRIGGER_BYTES``; a small input still comes in about ``MICRO_BATCHES`` of them."""
+    return max(1, min(TRIGGER_BYTES, Files(spark).size(path) // MICRO_BATCHES))
+
+
+def _batch_stream(spark, path: str):
+    return message_file_stream(spark, path, max_bytes_per_trigger=_trigger_bytes(spark, path))
+
+
 _PLACED = f"""(select *, conv_id // {CONVERSATIONS} batch,
        row_number() over (partition by conv_id // {CONVERSATIONS} order by id) - 1 place from {CONV_SQL})"""
 _BATCH_ORACLE = f"""
@@ -87,7 +100,7 @@ def q_progress_stream(spark, sf):
     """Running per-channel counters maintained by a streaming aggregation."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "progress_out"), shared_dir(spark, "progress_ckpt")
-    progress_stream(message_file_stream(spark, path, max_files_per_trigger=25), out, ckpt)
+    progress_stream(_batch_stream(spark, path), out, ckpt)
     return latest_progress(spark, out)
 
 

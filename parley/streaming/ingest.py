@@ -19,15 +19,21 @@ from parley.sources.collection import collection_add
 from parley.sources.registry import RECORDS_A_FILE, state_records
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+#: Batch files are small (a page of messages), and a micro-batch costs a task or two for every partition of its state,
+#: however few rows it has: micro-batches are bounded by bytes, so that their number does not go with that of the files.
+TRIGGER_BYTES = 64 << 20
 
 
 def message_file_stream(spark: SparkSession, in_dir: str, glob: str = BATCH_GLOB,
-                        max_files_per_trigger: int = 100) -> DataFrame:
+                        max_files_per_trigger: int | None = None,
+                        max_bytes_per_trigger: int = TRIGGER_BYTES) -> DataFrame:
     """R1 source: new batch files as canonical messages, with ``file``, ``batch``, ``pos`` and ``opens`` (whether the row
-    is the first of its channel in its file)."""
+    is the first of its channel in its file). A micro-batch has files of ``max_bytes_per_trigger``, or
+    ``max_files_per_trigger`` files if given."""
+    bound = {"maxBytesPerTrigger": max_bytes_per_trigger} if max_files_per_trigger is None else \
+        {"maxFilesPerTrigger": max_files_per_trigger}
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_per_trigger)
-             .load(in_dir))
+             .option("recursiveFileLookup", "true").options(**bound).load(in_dir))
     raw = parse_batch_files(files)
     return normalize_saved(raw, keep=("file", "batch", "pos", "opens"))
 
@@ -42,11 +48,11 @@ def _run(writer, available_now: bool) -> StreamingQuery:
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out: str, checkpoint: str, *, glob: str = BATCH_GLOB,
-                  max_files_per_trigger: int = 100, available_now: bool = True,
-                  partition_by: tuple[str, ...] = ()) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, max_bytes_per_trigger: int = TRIGGER_BYTES,
+                  available_now: bool = True, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
     """Incremental, restartable ingest of batch files into a parquet table (optionally
     partitioned, e.g. by channel, so later date or channel filters prune files)."""
-    msgs = message_file_stream(spark, in_dir, glob, max_files_per_trigger)
+    msgs = message_file_stream(spark, in_dir, glob, max_files_per_trigger, max_bytes_per_trigger)
     w = msgs.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(*partition_by)
