@@ -294,6 +294,6 @@ def q_ingest_state_stream(spark, sf):
     """K3 + S4 on a stream: per-channel state saved after every micro-batch, latest record read back."""
     path = _conversation_batches(spark, sf)
     state, ckpt = shared_dir(spark, "state_stream"), shared_dir(spark, "state_stream_ckpt")
-    ingest_state_stream(message_file_stream(spark, path, max_files_per_trigger=25), state, ckpt)
+    ingest_state_stream(_batch_stream(spark, path), state, ckpt)
     st = load_ingest_state(spark, state)
     return st.select("channel_id", "oldest_message_id", "batch_count", "total_messages")

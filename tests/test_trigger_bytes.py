@@ -37,3 +37,9 @@ def test_progress_stream(spark, small_files):
     got = {r.channel_id: r.messages for r in q_io.q_progress_stream(spark, small_files[0]).collect()}
     assert got == {str(i): 1 for i in range(TURNS)}
     assert 1 < micro_batches(f"{small_files[1]}/progress_ckpt") <= q_io.MICRO_BATCHES + 1
+
+
+def test_ingest_state_stream(spark, small_files):
+    got = {r.channel_id: tuple(r)[1:] for r in q_io.q_ingest_state_stream(spark, small_files[0]).collect()}
+    assert got == {str(i): (str(1000 * i), 1, 1) for i in range(TURNS)}
+    assert 1 < micro_batches(f"{small_files[1]}/state_stream_ckpt") <= q_io.MICRO_BATCHES + 1
