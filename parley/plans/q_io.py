@@ -74,10 +74,10 @@ def q_read_message_batches(spark, sf):
 
 @register("ingest_stream", _BATCH_ORACLE)
 def q_ingest_stream(spark, sf):
-    """The same files through a restartable file stream (25 files per micro-batch) into parquet."""
+    """The same files through a restartable file stream (micro-batches bounded by bytes) into parquet."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "ingest_out"), shared_dir(spark, "ingest_ckpt")
-    ingest_stream(spark, path, out, ckpt, max_files_per_trigger=25)
+    ingest_stream(spark, path, out, ckpt, max_bytes_per_trigger=_trigger_bytes(spark, path))
     return spark.read.parquet(out).select(*_BATCH_COLS)
 
 
@@ -88,7 +88,7 @@ def q_privacy_stream(spark, sf):
     """R2: the batch-file stream through drop-empty, opt-out (stream-static anti join) and redaction."""
     path = _conversation_batches(spark, sf)
     out, ckpt = shared_dir(spark, "privacy_out"), shared_dir(spark, "privacy_ckpt")
-    s = privacy_stream(message_file_stream(spark, path, max_files_per_trigger=25), _users(spark, ("system",)))
+    s = privacy_stream(_batch_stream(spark, path), _users(spark, ("system",)))
     q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -43,3 +43,11 @@ def test_ingest_state_stream(spark, small_files):
     got = {r.channel_id: tuple(r)[1:] for r in q_io.q_ingest_state_stream(spark, small_files[0]).collect()}
     assert got == {str(i): (str(1000 * i), 1, 1) for i in range(TURNS)}
     assert 1 < micro_batches(f"{small_files[1]}/state_stream_ckpt") <= q_io.MICRO_BATCHES + 1
+
+
+def test_privacy_and_ingest_stream(spark, small_files):
+    got = sorted(r.id for r in q_io.q_privacy_stream(spark, small_files[0]).collect())
+    assert got == sorted(str(1000 * i) for i in range(TURNS) if i % 5)
+    assert q_io.q_ingest_stream(spark, small_files[0]).count() == TURNS
+    for name in ("privacy", "ingest"):
+        assert 1 < micro_batches(f"{small_files[1]}/{name}_ckpt") <= q_io.MICRO_BATCHES + 1
