@@ -277,9 +277,10 @@ def q_envelope_rotation(spark, sf):
 def q_dedup_stream(spark, sf):
     """R1 + S7: every batch file is delivered twice; a message that comes again within an hour is one row."""
     path = _conversation_batches(spark, sf)
-    spark.read.text(path, wholetext=True).select("value").write.mode("append").text(f"{path}/batch=again")
+    again = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    again.write.option("maxRecordsPerFile", 1).text(f"{path}/batch=again")  # a file holds one array
     out, ckpt = shared_dir(spark, "dedup_out"), shared_dir(spark, "dedup_ckpt")
-    once = dedup_stream(message_file_stream(spark, path, max_files_per_trigger=200))
+    once = dedup_stream(_batch_stream(spark, path))
     q = (once.select("id", "author", "content", "channel_id").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from parley.plans import q_io
+from parley.sources.batches import read_message_batches
 from parley.streaming.ingest import message_file_stream
 
 TURNS = 110
@@ -51,3 +52,10 @@ def test_privacy_and_ingest_stream(spark, small_files):
     assert q_io.q_ingest_stream(spark, small_files[0]).count() == TURNS
     for name in ("privacy", "ingest"):
         assert 1 < micro_batches(f"{small_files[1]}/{name}_ckpt") <= q_io.MICRO_BATCHES + 1
+
+
+def test_dedup_stream(spark, small_files):
+    assert sorted(int(r.id) for r in q_io.q_dedup_stream(spark, small_files[0]).collect()) == [1000 * i for i in range(TURNS)]
+    assert 1 < micro_batches(f"{small_files[1]}/dedup_ckpt") <= q_io.MICRO_BATCHES + 1
+    # every message is delivered twice
+    assert read_message_batches(spark, f"{small_files[1]}/batches").count() == 2 * TURNS
