@@ -54,7 +54,7 @@ def q_history_pages(spark, sf):
     return H.history_pages(_ev(spark, sf)).select("channel_id", "id", "page")
 
 
-PAGE_BLOCK = 2_000  # ids a folder of the stored history
+PAGE_BLOCK = 20_000  # ids a folder of the stored history
 
 
 @register("paged_source", f"""

@@ -162,27 +162,58 @@ def stream_paged(spark: SparkSession, name: str, pages: Pages, schema: str) -> D
     return spark.readStream.format(register_paged(spark, name, pages, schema)).load()
 
 
-def stored_pages(folder: str, block: int) -> Fetch:
-    """A page function over a history that Spark has stored under ``folder`` (any store that Arrow reads), partitioned by
-    channel and by blocks of ``block`` ids; a call opens the blocks that its page lies in."""
-    def fetch(channel, before, limit):
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
-        import pyarrow.fs as fs
-        from urllib.parse import quote
-        place = "__HIVE_DEFAULT_PARTITION__" if channel is None else quote(channel, safe="")
-        store, root = fs.FileSystem.from_uri(f"{folder}/channel_id={place}")
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        blocks = sorted((int(f.base_name.split("=")[1]) for f in found if f.base_name.startswith("block=")), reverse=True)
-        rows = []
-        for b in blocks:
-            if before is not None and b * block >= before:
-                continue
-            part = ds.dataset(f"{root}/block={b}", filesystem=store, format="parquet")
-            part = part.to_table(filter=None if before is None else pc.field("id") < before)
-            rows += part.sort_by([("id", "descending")]).slice(0, limit - len(rows)).to_pylist()
+class StoredPages:
+    """See :func:`stored_pages`."""
+
+    def __init__(self, folder: str, block: int):
+        self.folder, self.block = folder, block
+        self._listed: dict = {}  # channel -> (file system, root, numbers of its blocks, falling)
+        self._held: tuple = (None, None, None)  # (channel, block) of the one block that is kept, its rows and negated ids
+
+    def __reduce__(self):  # a task looks for itself
+        return type(self), (self.folder, self.block)
+
+    def _blocks(self, channel, anew: bool) -> tuple:
+        if anew or channel not in self._listed:
+            import pyarrow.fs as fs
+            from urllib.parse import quote
+            place = "__HIVE_DEFAULT_PARTITION__" if channel is None else quote(channel, safe="")
+            store, root = fs.FileSystem.from_uri(f"{self.folder}/channel_id={place}")
+            found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            numbers = (int(f.base_name.split("=")[1]) for f in found if f.base_name.startswith("block="))
+            self._listed[channel], self._held = (store, root, sorted(numbers, reverse=True)), (None, None, None)
+        return self._listed[channel]
+
+    def _open(self, channel, number: int) -> tuple:
+        if self._held[0] != (channel, number):
+            import numpy as np
+            import pyarrow.dataset as ds
+            store, root, _numbers = self._listed[channel]
+            rows = ds.dataset(f"{root}/block={number}", filesystem=store, format="parquet").to_table()
+            rows = rows.sort_by([("id", "descending")]).combine_chunks()
+            self._held = (channel, number), rows, -rows["id"].to_numpy().astype(np.int64)
+        return self._held[1:]
+
+    def __call__(self, channel, before, limit) -> list[dict]:
+        from bisect import bisect_left
+        numbers = self._blocks(channel, before is None)[2]
+        # the first block with an id below ``before`` at its start
+        first = 0 if before is None else bisect_left(numbers, 1 - before, key=lambda b: -b * self.block)
+        rows: list = []
+        for k in range(first, len(numbers)):
+            part, falling = self._open(channel, numbers[k])
+            start = 0 if before is None else int(falling.searchsorted(-before, side="right"))
+            rows += part.slice(start, limit - len(rows)).to_pylist()
             if len(rows) == limit:
                 break
         return rows
 
-    return fetch
+
+def stored_pages(folder: str, block: int) -> Fetch:
+    """A page function over a history that Spark has stored under ``folder`` (any store that Arrow reads), partitioned by
+    channel and by blocks of ``block`` ids; a call opens the blocks that its page lies in.
+
+    The blocks of a channel are listed once a walk (anew whenever the newest page is asked for), and the block that a page
+    ended in is kept, sorted, for the next one: a walk lists once and opens every block once, however many pages it has.
+    """
+    return StoredPages(folder, block)

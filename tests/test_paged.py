@@ -99,3 +99,29 @@ def test_stored_pages_open_blocks_only(spark, tmp_path):
     assert [r["id"] for r in fetch("x", None, 4)] == [87, 84, 81, 78]
     assert [r["id"] for r in fetch("y z", 43, 5)] == [40, 37, 34, 31, 28]
     assert [r["id"] for r in fetch(None, 6, 5)] == [5, 2] and fetch("nobody", None, 5) == []
+
+
+def test_a_walk_lists_once_and_opens_a_block_once(spark, tmp_path, monkeypatch):
+    import pyarrow.dataset as ds
+    import pyarrow.fs as fs
+    df = spark.createDataFrame([(i, f"m{i}", "x") for i in range(0, 300, 3)], "id bigint, content string, channel_id string")
+    df.selectExpr("*", "id div 50 as block").write.partitionBy("channel_id", "block").parquet(str(tmp_path / "h"))
+    opened, listed = [], []
+    dataset, selector = ds.dataset, fs.FileSelector
+    monkeypatch.setattr(ds, "dataset", lambda path, **kw: opened.append(path) or dataset(path, **kw))
+    monkeypatch.setattr(fs, "FileSelector", lambda *at, **kw: listed.extend(kw.get("allow_not_found", False) * [at]) or selector(*at, **kw))
+    walk = [(m["id"], page) for m, page, _ in Pages(stored_pages(f"file://{tmp_path}/h", 50), ("x",), size=4).walk("x", None)]
+    assert walk == [(i, k // 4 + 1) for k, i in enumerate(range(297, -1, -3))]
+    assert len(opened) == len(set(opened)) == 6 and len(listed) == 1
+
+
+def test_new_blocks_are_seen_by_the_next_walk(spark, tmp_path):
+    def put_block(lo, hi):
+        df = spark.range(lo, hi).selectExpr("id", "'x' channel_id", "id div 10 as block")
+        df.write.mode("append").partitionBy("channel_id", "block").parquet(str(tmp_path / "h"))
+
+    put_block(0, 15)
+    fetch = stored_pages(f"file://{tmp_path}/h", 10)
+    assert [r["id"] for r in fetch("x", None, 2)] == [14, 13]
+    put_block(15, 25)
+    assert [r["id"] for r in fetch("x", None, 7)] == [24, 23, 22, 21, 20, 19, 18]
