@@ -26,7 +26,8 @@ DEFAULT_DIM = 64
 _TOKEN = re.compile(r"[a-z]+")
 _ENCODERS: dict = {}
 _VOCAB: dict[int, dict[str, int]] = {}  # per worker: dim -> word -> bucket
-_VOCAB_MAX = 2_000_000
+_VOCAB_MAX = 100_000  # words: about 15 MB a worker
+_TEXTS_AT_ONCE = 512  # texts whose tokens are held together
 
 
 def _bucket(word: str, dim: int) -> int:
@@ -44,9 +45,16 @@ def _vocab(words: list[str], dim: int) -> dict[str, int]:
 
 
 def _unit_rows(texts: pd.Series, dim: int) -> np.ndarray:
-    """Unit vectors of token counts a text, one row each; all-zero stays all-zero."""
-    # tokenise every text of the Arrow batch, hash each distinct token once, count with one
-    # bincount over (row, bucket)
+    """Unit vectors of token counts a text, one row each; all-zero stays all-zero. The tokens of ``_TEXTS_AT_ONCE`` texts
+    are held at a time, not those of the whole Arrow batch."""
+    out = np.zeros((len(texts), dim))
+    for k in range(0, len(texts), _TEXTS_AT_ONCE):
+        out[k:k + _TEXTS_AT_ONCE] = _unit_chunk(texts.iloc[k:k + _TEXTS_AT_ONCE], dim)
+    return out
+
+
+def _unit_chunk(texts: pd.Series, dim: int) -> np.ndarray:
+    # tokenise every text, hash each distinct token once, count with one bincount over (row, bucket)
     n = len(texts)
     toks = [_TOKEN.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
     lens = np.fromiter((len(x) for x in toks), dtype=np.int64, count=n)
