@@ -26,7 +26,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

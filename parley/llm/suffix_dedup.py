@@ -17,6 +17,9 @@
    of ``report`` bytes, and a context reaches ``length - report`` bytes further, so that it holds every window of
    ``length`` bytes that starts in it. Windows of ``report`` bytes are compared only where they start in a context's own
    part, as the rest of it is another context's too.
+7. With ``passages``, runs of over 50 words that stand in another row too are reported besides, whatever their bytes; nothing is
+   removed for them. The 51-word windows are cut into contexts by anchors of 20 words as above. Equal contexts of two rows
+   repeat as a whole; the windows of anchors with several different contexts are compared by hash, one row for each context.
 
 Defined cases: a null or empty text has no bytes; texts shorter than ``length`` lose nothing; matches never cross
 documents; equal rows are copies of each other and lose all they share, also where their ids are equal; rows are keyed
@@ -36,16 +39,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import raw_texts, record_batch, written
+from parley.llm.common import raw_texts, record_batch, row_slices, written
 
 LENGTH, GRAM = 400, 160
 #: Passages of over 50 words: 99% have 280 bytes or more (measured on the test tables).
 PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 280, 112
+PASSAGE_WORD_GRAM = 20
 BLOCK = 1 << 20
 SHARD_BYTES, MAX_CONTEXTS = 1 << 20, 2048
 BASE = 0x100000001B3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FIRST = 7  # symbols of 9 bits in the first sort key
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LETTER = (np.arange(1, 257, dtype=np.uint64) * MIX) ^ (np.arange(1, 257, dtype=np.uint64) * MIX >> np.uint64(31))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
@@ -63,25 +74,27 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
             break
         part = part[:-size] * np.uint64(pow(BASE, size, 1 << 64)) + part[size:]
         size *= 2
-    out = (out ^ (out >> np.uint64(29))) * MIX
-    return out ^ (out >> np.uint64(32))
+    return mixed(out)
+
+
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least (hash, place) of every ``width`` hashes, by running minima from both ends of blocks."""
+    n, mask = len(h), np.uint64((1 << 24) - 1)
+    key = np.full(-(-n // width) * width, ~np.uint64(0))
+    key[:n] = (h & ~mask) | np.arange(n, dtype=np.uint64)
+    grid = key.reshape(-1, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n - width + 1], ahead[width - 1:n]) & mask).astype(np.int64)
 
 
 def contexts(b: np.ndarray, length: int = LENGTH, gram: int = GRAM, further: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor hash, start, bytes, windows) of the contexts of a text, block by block; each reaches ``further`` bytes beyond
     its windows, if the text does."""
-    width, mask = length - gram + 1, np.uint64((1 << 24) - 1)
     for at in range(0, len(b) - length + 1, BLOCK):
         x = b[at:at + BLOCK + length - 1]
         h = gram_hashes(x, gram)
-        n = len(h)
-        # least (hash, place) of every `width` grams, by running minima from both ends of blocks
-        key = np.full(-(-n // width) * width, ~np.uint64(0))
-        key[:n] = (h & ~mask) | np.arange(n, dtype=np.uint64)
-        grid = key.reshape(-1, width)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        place = (np.minimum(behind[:n - width + 1], ahead[width - 1:n]) & mask).astype(np.int64)
+        place = least_places(h, length - gram + 1)
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         stop = np.concatenate([start[1:], [len(place)]])
         size = np.minimum(stop - start + length - 1 + further, len(b) - at - start)
@@ -117,6 +130,110 @@ def occurrences(docs: DataFrame, length: int, gram: int, further: int = 0) -> Da
     return docs.select("doc", "text").mapInArrow(make, "anchor bigint, context bigint, doc bigint, place bigint")
 
 
+def word_hashes(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the words of texts that lie end to end and begin at ``starts``."""
+    blank, begins = SPACE[b], np.zeros(len(b) + 1, bool)
+    begins[starts] = True
+    first, last = ~blank, ~blank
+    first[1:] &= blank[:-1] | begins[1:-1]
+    last[:-1] &= blank[1:] | begins[1:-1]
+    first = np.flatnonzero(first)
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    size = np.flatnonzero(last) + 1 - first
+    at = np.cumsum(size) - size
+    power = np.multiply.accumulate(np.full(int(size.max()), BASE, np.uint64))
+    h = np.add.reduceat(LETTER[b[~blank]] * power[np.arange(int(size.sum())) - np.repeat(at, size)], at)
+    return np.searchsorted(starts, first, side="right") - 1, mixed(h)
+
+
+def words_of(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of the words of runs of whole rows. A long text is hashed in blocks of whole words, a word longer than a
+    block by itself."""
+    for i, j in row_slices(off, BLOCK):
+        b, parts = buf[off[i]:off[j]], []
+        if len(b) <= BLOCK:
+            parts.append(word_hashes(b, off[i:j] - off[i]))
+        else:
+            at = 0
+            while at < len(b):
+                stop = min(at + BLOCK, len(b))
+                if stop < len(b):
+                    blanks = np.flatnonzero(SPACE[b[at:stop + 1]])
+                    while not len(blanks) and stop < len(b):
+                        blanks = np.flatnonzero(SPACE[b[stop:stop + BLOCK]])[:1] + stop - at
+                        stop = min(stop + BLOCK, len(b))
+                    stop = at + int(blanks[-1]) if len(blanks) else len(b)
+                if stop - at > BLOCK:
+                    parts.append((np.zeros(1, np.int64), np.array([xxhash.xxh3_64_intdigest(memoryview(b[at:stop]))], np.uint64)))
+                else:
+                    parts.append(word_hashes(b[at:stop], np.zeros(1, np.int64)))
+                at = stop + 1  # the blank after it
+        row, h = map(np.concatenate, zip(*parts))
+        yield row + i, h
+
+
+def passage_contexts(row: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, anchor, context, first word, windows) of the contexts of the 51-word windows that lie in one row. The first and
+    the last window of a context cover all its words, so their hashes tell contexts apart."""
+    words = PASSAGE_WORDS + 1
+    for at in range(0, len(h) - words + 1, BLOCK):
+        x, r = h[at:at + BLOCK + words - 1], row[at:at + BLOCK + words - 1]
+        whole = np.flatnonzero(r[words - 1:] == r[:len(r) - words + 1])
+        if not len(whole):
+            continue
+        grams, window = gram_hashes(x, PASSAGE_WORD_GRAM), gram_hashes(x, words)
+        place = least_places(grams, words - PASSAGE_WORD_GRAM + 1)[whole]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        start, windows = whole[first], np.diff(np.append(first, len(place)))
+        context = mixed(window[start] * np.uint64(BASE) + window[start + windows - 1]) + windows.astype(np.uint64)
+        yield r[start], grams[place[first]], context, at + start, windows
+
+
+def passage_occurrences(docs: DataFrame) -> DataFrame:
+    """(anchor, context, doc, place, new) of the contexts of 51-word windows, in words from the text's first; ``new`` is 1 for the
+    first of a row's equal contexts, else 0."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int64()) for c in ("anchor", "context", "doc", "place", "new")])
+        for b in batches:
+            doc = b.column(0).to_numpy()
+            for row, h in words_of(*raw_texts(b.column(1))):
+                if not (found := list(passage_contexts(row, h))):
+                    continue
+                r, anchor, context, start, windows = map(np.concatenate, zip(*found))
+                place = (start - np.searchsorted(row, r)) << 18 | (windows + PASSAGE_WORDS) << 8 | windows
+                order = np.lexsort((context, anchor, r))
+                same = [x[order][1:] == x[order][:-1] for x in (r, anchor, context)]
+                new = np.ones(len(r), np.int64)
+                new[order[1:][same[0] & same[1] & same[2]]] = 0
+                yield record_batch(schema, anchor.view(np.int64), context.view(np.int64), doc[r], place, new)
+
+    return docs.select("doc", "text").mapInArrow(make, "anchor bigint, context bigint, doc bigint, place bigint, new bigint")
+
+
+def sought_windows(text: pa.Array, sought: pa.Array) -> pa.Array:
+    """The windows (start, copies, window) of the contexts ``sought`` (start, windows, several) of each row."""
+    entries = sought.flatten()
+    rows = np.repeat(np.arange(len(sought)), pa.compute.fill_null(pa.compute.list_value_length(sought), 0).to_numpy())
+    start, size = (entries.field(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
+    copies = 1 + entries.field("several").to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = np.zeros(int(size.sum()), np.uint64)
+    ends = np.cumsum(size)
+    within = np.arange(len(hashes)) - np.repeat(ends - size, size)
+    some = np.unique(rows)
+    for row, h in words_of(*raw_texts(text.take(pa.array(some)))) if len(some) else ():
+        low, high = np.searchsorted(rows, some[row[[0, -1]]] + np.array([0, 1])) if len(row) else (0, 0)
+        if low == high:
+            continue
+        each = slice(ends[low] - size[low], ends[high - 1])
+        base = np.searchsorted(row, np.searchsorted(some, rows[low:high])) + start[low:high]
+        hashes[each] = gram_hashes(h, PASSAGE_WORDS + 1)[np.repeat(base, size[low:high]) + within[each]]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, size, len(sought)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
+        [pa.array(np.repeat(start, size) + within), pa.array(np.repeat(copies, size)), pa.array(hashes.view(np.int64))],
+        ["start", "copies", "window"]))
+
+
 class RunLengthIndex:
     """The run-compressed BWT of several short texts, with the matches of each run's first and last row."""
 
@@ -279,33 +396,57 @@ def counted_marks(rows: DataFrame, length: int) -> DataFrame:
         "doc", "start", *[F.lit(length).cast("bigint").alias(c) for c in ("n", "least")])
 
 
-def contested_and_covered(docs: DataFrame, length: int, gram: int, max_contexts: int, further: int = 0) -> DataFrame:
-    """(doc, marks, sought): per document, the spans known from copies, and the contexts to look up in an index.
-
-    Sets, not lists: equal rows say the same, and what is left is bounded by the length of the text.
-    """
-    every = written(occurrences(docs, length, gram, further))
+def contested_and_covered(occurring: DataFrame, max_contexts: int | None) -> DataFrame:
+    """(doc, mark, sought): the spans known from copies, and the contexts to look up in an index; with ``max_contexts`` it is
+    told which are crowded. Where the occurrences tell which are ``new`` in their row, copies are those of other rows only."""
+    every = written(occurring)
+    by_row = "new" in every.columns
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"),
                                           F.max("context").alias("high")).where("rows > 1")
     # a table of its own, so that the join has an exchange on either side and a very frequent anchor can be split
     anchors = written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("contested")))
     again = written(every.join(anchors, "anchor"))
     distinct = again.groupBy("anchor", "context").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("contested").alias("contested"),
+        (F.sum("new") if by_row else F.count(F.lit(1))).alias("copies"), F.first("contested").alias("contested"),
         F.min(F.struct("doc", "place")).alias("at"))
     distinct = written(distinct.where("contested or copies > 1"))
     start, size = F.expr("shiftright(place, 18)"), F.expr("shiftright(place, 8) & 1023")
     covered = again.join(distinct.where("copies > 1").select("anchor", "context"), ["anchor", "context"]).select(
         "doc", F.struct(start.alias("start"), size.alias("n")).alias("mark"))
     contested = distinct.where("contested").select("anchor", "copies", "at.doc", "at.place")
-    crowded = written(contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_contexts).select(
-        "anchor", F.lit(True).alias("crowded")))
-    sought = contested.join(crowded, "anchor", "left").select("doc", F.struct(
-        "anchor", start.alias("start"), size.alias("n"), F.expr("place & 255").alias("windows"),
-        (F.col("copies") > 1).alias("several"),
-        F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("sought"))
-    return covered.unionByName(sought, allowMissingColumns=True).groupBy("doc").agg(
-        F.collect_set("mark").alias("marks"), F.collect_set("sought").alias("sought"))
+    if by_row:  # all places of a context that stands in one row only
+        contested = contested.unionByName(again.where("new = 0").join(
+            distinct.where("contested and copies = 1").select("anchor", "context", "copies"), ["anchor", "context"]).select(
+            "anchor", "copies", "doc", "place"))
+    fields = [start.alias("start"), F.expr("place & 255").alias("windows"), (F.col("copies") > 1).alias("several")]
+    if max_contexts is not None:
+        crowded = written(contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(
+            F.col("n") > max_contexts).select("anchor", F.lit(True).alias("crowded")))
+        contested = contested.join(crowded, "anchor", "left")
+        fields += ["anchor", size.alias("n"), F.coalesce("crowded", F.lit(False)).alias("crowded")]
+    return covered.unionByName(contested.select("doc", F.struct(*fields).alias("sought")), allowMissingColumns=True)
+
+
+def with_passages(rows: DataFrame, half: DataFrame) -> DataFrame:
+    """``rows`` (doc, passage_marks, ...) with n_repeated_passages and n_repeated_words instead of the marks: the maximal runs of
+    words in marks or in windows of ``half`` that stand in two rows."""
+    each = half.select("doc", F.inline("passage_windows"))
+    # a table of its own, so that the join has an exchange on either side and a very frequent window can be split
+    twice = written(each.groupBy("window").agg(F.max("copies").alias("copies"), F.min("doc").alias("low"), F.max("doc").alias(
+        "high")).where("copies > 1 or low != high").select("window"))
+    found = each.where("copies = 1").join(twice, "window").groupBy("doc").agg(F.collect_set("start").alias("found"))
+    joined = rows.join(found, "doc", "left")
+    kept = [c for c in joined.columns if c not in ("doc", "found", "passage_marks")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [merged([(x["start"], x["n"]) for x in marks or ()] + [(s, PASSAGE_WORDS + 1) for s in starts or ()])
+                    for marks, starts in zip(b.column("passage_marks").to_pylist(), b.column("found").to_pylist())]
+            n = pa.array(map(len, runs), pa.int64()), pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *n], [*kept, "n_repeated_passages", "n_repeated_words"])
+
+    schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in kept)
+    return joined.mapInArrow(count, f"{schema}, n_repeated_passages bigint, n_repeated_words bigint")
 
 
 def indexed_spans(waiting: DataFrame, length: int, report: int | None, shard_bytes: int) -> DataFrame:
@@ -333,15 +474,23 @@ def runs_of(spans: list[tuple[int, int, int]], length: int) -> list[tuple[int, i
 
 def with_repeats_removed(rows: DataFrame, finish: Callable, outputs: dict[str, str], length: int = LENGTH,
                          gram: int = GRAM, shard_bytes: int = SHARD_BYTES, max_contexts: int = MAX_CONTEXTS,
-                         report: int | None = None) -> DataFrame:
+                         report: int | None = None, passages: bool = False) -> DataFrame:
     """``rows`` (row, doc, text) as (row, *outputs): ``finish(text, runs)`` of each text and its repeated byte runs, and with
-    ``report`` ``finish(text, runs, reported runs)``.
+    ``report`` ``finish(text, runs, reported runs)``. With ``passages`` also n_repeated_passages and n_repeated_words.
 
     The text is shuffled once, to meet what is known of its document. Texts with contexts to look up are handed on and
     finished when the indexes have answered, all others at once.
     """
     least = min(length, report or length)
-    known = contested_and_covered(rows, least, gram, max_contexts, length - least)
+    known = contested_and_covered(occurrences(rows, least, gram, length - least), max_contexts)
+    # sets, not lists: equal rows say the same, and what is left is bounded by the length of the text
+    sets = [F.collect_set("mark").alias("marks"), F.collect_set("sought").alias("sought")]
+    if passages:
+        known = known.unionByName(contested_and_covered(passage_occurrences(rows), None).withColumnsRenamed(
+            {"mark": "passage_mark", "sought": "passage_sought"}), allowMissingColumns=True)
+        sets += [F.collect_set("passage_mark").alias("passage_marks"), F.collect_set("passage_sought").alias("passage_sought")]
+    known = known.groupBy("doc").agg(*sets)
+    more = ["passage_marks"] if passages else []
     row_type = rows.schema["row"].dataType.simpleString()
     out_type = ", ".join(f"{k} {v}" for k, v in outputs.items())
 
@@ -357,15 +506,19 @@ def with_repeats_removed(rows: DataFrame, finish: Callable, outputs: dict[str, s
                     for i, (w, m) in enumerate(zip(waits, spans_of(b.column("marks"))))]
             pending = pa.array([buf[off[i]:off[i + 1]].tobytes() if w else None for i, w in enumerate(waits)], pa.binary())
             cols = [pa.array([d and d[k] for d in done], arrow_type(v)) for k, v in enumerate(outputs.values())]
+            windows = [sought_windows(b.column("text"), b.column("passage_sought"))] if passages else []
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc"), *cols, pending, b.column("marks"), b.column("sought")],
-                ["row", "doc", *outputs, "pending", "marks", "sought"])
+                [b.column("row"), b.column("doc"), *cols, pending, *(b.column(c) for c in ["marks", "sought", *more]), *windows],
+                ["row", "doc", *outputs, "pending", "marks", "sought", *more, *["passage_windows"] * passages])
 
     joined = rows.join(known, "doc", "left")
-    lists = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("marks", "sought"))
+    lists = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ["marks", "sought", *more])
+    if passages:
+        lists += ", passage_windows array<struct<start:bigint,copies:bigint,window:bigint>>"
     half = written(joined.mapInArrow(first, f"row {row_type}, doc bigint, {out_type}, pending binary, {lists}"))
     waiting = half.where("pending is not null")
-    answered = waiting.select("row", "doc", "pending", "marks").join(
+    carried = ["doc", *more] if passages else []
+    answered = waiting.select("row", "doc", "pending", "marks", *more).join(
         indexed_spans(waiting, length, report, shard_bytes), "doc", "left")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,10 +527,12 @@ def with_repeats_removed(rows: DataFrame, finish: Callable, outputs: dict[str, s
             marks = zip(spans_of(b.column("marks")), spans_of(b.column("found")))
             done = [finished(memoryview(t), m + f) for t, (m, f) in zip(texts, marks)]
             cols = [pa.array([d[k] for d in done], arrow_type(v)) for k, v in enumerate(outputs.values())]
-            yield pa.RecordBatch.from_arrays([b.column("row"), *cols], ["row", *outputs])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *cols, *(b.column(c) for c in carried)], ["row", *outputs, *carried])
 
-    late = answered.mapInArrow(second, f"row {row_type}, {out_type}")
-    return half.where("pending is null").select("row", *outputs).unionByName(late)
+    also = "".join(f", {c} {half.schema[c].dataType.simpleString()}" for c in carried)
+    late = answered.mapInArrow(second, f"row {row_type}, {out_type}{also}")
+    out = half.where("pending is null").select("row", *outputs, *carried).unionByName(late)
+    return with_passages(out, half) if passages else out
 
 
 def arrow_type(name: str) -> pa.DataType:
@@ -410,13 +565,16 @@ def text_of(text: memoryview, runs: list[tuple[int, int]]) -> tuple[str]:
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row. With ``report`` also n_passages and n_passage_words: runs
     of bytes in repeated strings of ``report`` bytes and more (``PASSAGE_BYTES``) that hold over ``PASSAGE_WORDS`` whole words;
-    nothing is removed for them."""
+    nothing is removed for them. With ``passages`` also n_repeated_passages and n_repeated_words: maximal runs of words, and
+    their words, covered by sequences of over ``PASSAGE_WORDS`` words that also stand in another row; nothing is removed for
+    these either."""
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), F.xxhash64(id_col, text_col).alias("doc"),
                        F.col(text_col).alias("text"))
     outputs = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     if how.get("report"):
         outputs |= {"n_passages": "bigint", "n_passage_words": "bigint"}
-    return with_repeats_removed(rows, digest_of, outputs, **how).select("row.doc_id", *outputs)
+    passages = ["n_repeated_passages", "n_repeated_words"] if how.get("passages") else []
+    return with_repeats_removed(rows, digest_of, outputs, **how).select("row.doc_id", *outputs, *passages)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from helpers import SCHEMA, empty, messy, messy_rows, prose
 from parley.llm import suffix_dedup
+from parley.llm.queries import op3_suffix_dedup
 from parley.llm.suffix_dedup import RunLengthIndex, contexts, deduplicated, merged, repeat_digests
 
 
@@ -102,6 +103,44 @@ def test_digests_equal_brute_force(spark, monkeypatch, limits):
     assert sorted(got, key=repr) == want and sum(r[5] and not r[2] for r in want) > 2
 
 
+def brute_passages(rows):
+    texts = [re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode()) for r in rows]
+    seen = Counter(w for t in texts for w in {tuple(t[i:i + 51]) for i in range(len(t) - 50)})
+    out = []
+    for r, t in zip(rows, texts):
+        runs = merged([(i, 51) for i in range(len(t) - 50) if seen[tuple(t[i:i + 51])] > 1])
+        out.append((r[0], len(runs), sum(b - a for a, b in runs)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 300])
+def test_passages_equal_brute_force(spark, monkeypatch, block):
+    """Passages of 51 words and more are reported, also where they have fewer than 400 bytes; of 50 words none is."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rows = edited_family(3) + messy_rows()
+    rows += [(300 + i, prose(i, 30) + " " + prose(77, 49 + i) + "\n" + prose(90 + i, 20), "en", "a", 1) for i in range(6)]
+    short = " ".join("abcdefghijklmnopqrstuvwxy") + " " + " ".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    rows += [(400 + i, f"{prose(200 + i, 9)} {short} {prose(300 + i, 70)}", "en", "a", 1) for i in range(3)]
+    rows += [(410, short.rsplit(" ", 1)[0] + " %", "en", "a", 1), (411, short.replace(" ", "\n\t"), "en", "a", 1),
+             (412, "q" * 400 + " " + prose(500, 60), "en", "a", 1), (413, "q" * 400 + " " + prose(500, 60), "en", "a", 1),
+             (414, prose(501, 52) + " and " + prose(501, 52), "en", "a", 1), (415, prose(502, 50) + " z", "en", "a", 1),
+             (416, prose(502, 50), "en", "a", 1), (417, "x " * 53, "en", "a", 1), (418, prose(503, 55) + " and " + prose(503, 55), "en", "a", 1),
+             (419, "but " + prose(503, 55), "en", "a", 1)]
+    got = [tuple(r) for r in repeat_digests(spark.createDataFrame(rows, SCHEMA), passages=True).collect()]
+    assert sorted(((r[0], *r[5:]) for r in got), key=repr) == brute_passages(rows)
+    assert sorted((r[:5] for r in got), key=repr) == sorted((r[:5] for r in brute_digest(rows)), key=repr)
+    assert {r[0]: r[5] for r in got if r[0] and 400 <= r[0]} | {0: sum(r[5] and not r[2] for r in got) > 5} == {
+        400: 1, 401: 1, 402: 1, 410: 0, 411: 1, 412: 1, 413: 1, 414: 0, 415: 0, 416: 0, 417: 0, 418: 2, 419: 1, 0: True}
+
+
+def test_query_reports_passages_of_few_bytes(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [(i, f"{prose(i, 30)} {passage} {prose(50 + i, 30)}", "en", "a", 1) for i in range(2)]
+    spark.createDataFrame([*rows, (7, prose(9, 90), "en", "a", 1)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_repeated_passages, r.n_repeated_words) for r in op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, 1, 51), 1: (0, 1, 51), 7: (0, 0, 0)}
+
+
 def test_stage_removes_the_bytes(spark):
     df = messy(spark)
     out = deduplicated(df)
