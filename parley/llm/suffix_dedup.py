@@ -401,13 +401,14 @@ def contested_and_covered(occurring: DataFrame, max_contexts: int | None) -> Dat
     told which are crowded. Where the occurrences tell which are ``new`` in their row, copies are those of other rows only."""
     every = written(occurring)
     by_row = "new" in every.columns
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.min("context").alias("low"),
+    times = F.sum("new") if by_row else F.count(F.lit(1))
+    anchors = every.groupBy("anchor").agg(times.alias("rows"), F.min("context").alias("low"),
                                           F.max("context").alias("high")).where("rows > 1")
     # a table of its own, so that the join has an exchange on either side and a very frequent anchor can be split
     anchors = written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("contested")))
     again = written(every.join(anchors, "anchor"))
     distinct = again.groupBy("anchor", "context").agg(
-        (F.sum("new") if by_row else F.count(F.lit(1))).alias("copies"), F.first("contested").alias("contested"),
+        times.alias("copies"), F.first("contested").alias("contested"),
         F.min(F.struct("doc", "place")).alias("at"))
     distinct = written(distinct.where("contested or copies > 1"))
     start, size = F.expr("shiftright(place, 18)"), F.expr("shiftright(place, 8) & 1023")
