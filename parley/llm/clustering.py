@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import record_batch
+from parley.llm.common import dropped, record_batch
 from parley.session import shared_dir
 
 K, ROUNDS, DIM, SCALE, SEED = 8, 10, 64, 1024, 3
@@ -208,12 +208,6 @@ def changes(table: DataFrame, k: int, dim: int) -> tuple[list[list[int]], list[i
     return sums, counts, radius, scanned
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table of an earlier round, which nothing reads any more."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 class Clustering:
     """The rounds of one run: ``state`` is the table after the last assignment, ``centroids`` what it was assigned to."""
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.session import prepare, shared_dir
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
@@ -23,11 +25,32 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a parquet table in the shared folder: like ``kept``, but compressed and column by column."""
-    path = shared_dir(df.sparkSession, "parley-tables")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table_path(spark: SparkSession) -> str:
+    """A fresh place for a table in the shared folder."""
+    return shared_dir(spark, "parley-tables")
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` as a parquet table in the shared folder: like ``kept``, but compressed and column by column. The shuffle files
+    of the job that writes it go with the job, unless the session says otherwise: nothing reads them again, and else they
+    stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = path or table_path(spark)
+    unsaid = spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    if unsaid:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if unsaid:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import raw_texts, record_batch, row_slices, written
+from parley.llm.common import dropped, raw_texts, record_batch, row_slices, table_path, written
 
 LENGTH, GRAM = 400, 160
 #: Passages of over 50 words: 99% have 280 bytes or more (measured on the test tables).
@@ -399,14 +399,18 @@ def counted_marks(rows: DataFrame, length: int) -> DataFrame:
 def contested_and_covered(occurring: DataFrame, max_contexts: int | None) -> DataFrame:
     """(doc, mark, sought): the spans known from copies, and the contexts to look up in an index; with ``max_contexts`` it is
     told which are crowded. Where the occurrences tell which are ``new`` in their row, copies are those of other rows only."""
-    every = written(occurring)
+    spark = occurring.sparkSession
+    passing = table_path(spark), table_path(spark)  # read until ``again`` is written
+    every = written(occurring, passing[0])
     by_row = "new" in every.columns
     times = F.sum("new") if by_row else F.count(F.lit(1))
     anchors = every.groupBy("anchor").agg(times.alias("rows"), F.min("context").alias("low"),
                                           F.max("context").alias("high")).where("rows > 1")
     # a table of its own, so that the join has an exchange on either side and a very frequent anchor can be split
-    anchors = written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("contested")))
+    anchors = written(anchors.select("anchor", (F.col("low") != F.col("high")).alias("contested")), passing[1])
     again = written(every.join(anchors, "anchor"))
+    for path in passing:
+        dropped(spark, path)
     distinct = again.groupBy("anchor", "context").agg(
         times.alias("copies"), F.first("contested").alias("contested"),
         F.min(F.struct("doc", "place")).alias("at"))

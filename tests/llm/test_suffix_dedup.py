@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 
 from helpers import SCHEMA, empty, messy, messy_rows, prose
 from parley.llm import suffix_dedup
+from parley.llm.common import SHUFFLE_CLEANUP, written
 from parley.llm.queries import op3_suffix_dedup
 from parley.llm.suffix_dedup import RunLengthIndex, contexts, deduplicated, merged, repeat_digests
 
@@ -141,6 +144,39 @@ def test_query_reports_passages_of_few_bytes(spark, tmp_path):
     assert got == {0: (0, 1, 51), 1: (0, 1, 51), 7: (0, 0, 0)}
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_only_what_is_still_read_stays_on_disk(spark, monkeypatch):
+    """The shuffle files of a table's job go with the job, the tables of all contexts and anchors once they are joined."""
+    tables, left = [], set()
+
+    def watched(df, *where):
+        before = shuffle_files(spark)
+        out = written(df, *where)
+        tables.append(out)
+        ends = time.time() + 20
+        while (new := shuffle_files(spark) - before) and time.time() < ends:  # executors remove them a little later
+            time.sleep(0.1)
+        left.update(new)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", watched)
+    rows = edited_family(3) + messy_rows()
+    out = repeat_digests(spark.createDataFrame(rows, SCHEMA), passages=True)
+    assert not left
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    there = {os.path.join(spark.conf.get("spark.checkpoint.dir"), "parley-tables", name) for name in os.listdir(
+        os.path.join(spark.conf.get("spark.checkpoint.dir"), "parley-tables"))}
+    gone = [t.columns for t in tables if not {os.path.dirname(f.removeprefix("file://")) for f in t.inputFiles()} & there]
+    context = ["anchor", "context", "doc", "place"]
+    assert gone == [context, ["anchor", "contested"], [*context, "new"], ["anchor", "contested"]]
+    for _ in range(2):  # the result can be computed again
+        assert sorted((tuple(r)[:5] for r in out.collect()), key=repr) == sorted((r[:5] for r in brute_digest(rows)), key=repr)
+
+
 def test_stage_removes_the_bytes(spark):
     df = messy(spark)
     out = deduplicated(df)
